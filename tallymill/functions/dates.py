@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def parse_day_first(text: Column) -> Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DAY_FIRST_FORMATS])
 
 
+def timestamp_literal(moment: datetime) -> Column:
+    """A naive moment is read in the session's time zone, whatever the driver's own is."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp")
+
+
 def in_range(day: Column, span: DateRange) -> Column:
     return day.between(F.lit(span.start), F.lit(span.end))
 

@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def blank_to_null(text: Column) -> Column:
-    """Empty cells of a text extract count as missing."""
-    return F.when(text != "", text)
+# Cell texts that spreadsheet readers take for a missing value.
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def missing_to_null(text: Column) -> Column:
+    return F.when(~text.isin(MISSING_TEXTS), text)
 
 
 def drop_point_zero(text: Column) -> Column:

@@ -385,3 +385,178 @@ def report_sql() -> dict[str, str]:
         "pivot_product_order": _product_pivot(),
         "pivot_product_order_factories": _product_pivot(some),
     }
+
+
+def _order_rows(upload: int) -> str:
+    """What staging should hold for each line of an order upload, from the source values."""
+    when = {0: "TRUE", 1: "o_orderdate < DATE '1999-01-01'", 2: "o_orderdate >= DATE '1998-01-01'"}
+    copies = "range(2)" if upload == 2 else "range(1)"
+    added = "5 + 4 * copy" if upload == 2 else "0"
+    return f"""SELECT CASE WHEN o_orderkey % 29 <> 0 THEN CAST(o_orderdate AS DATE) END AS order_date,
+          CASE WHEN o_orderkey % 4 = 0 THEN '2202-' ELSE '2201-' END || o_orderkey || '-0001'
+            AS order_code,
+          CASE WHEN o_custkey % 10 = 3 THEN '30895.2' ELSE CAST(o_custkey AS VARCHAR) END
+            AS factory_code,
+          nullif(['ST-1', 'tn 7', 'BP', 'QT', 'st-qt', ''][o_orderkey % 6 + 1], '')
+            AS factory_order_code,
+          'P' || (o_orderkey % 500) AS product_code, 'Paint ' || (o_orderkey % 500) AS product_name,
+          CASE WHEN o_orderkey % 17 <> 0 THEN o_orderpriority END AS qc,
+          o_orderstatus AS warehouse_type,
+          floor(o_totalprice / 1000) + {added} AS order_quantity,
+          floor(o_totalprice / 2000) + {added} AS delivered_quantity,
+          CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 + 30 AS INT) AS estimated_delivery_date,
+          'Factory ' || o_custkey || ' in ' || year(o_orderdate) AS factory_name,
+          'copy ' || copy AS note, '0001' AS numerical_order, 'A' AS path, copy,
+          o_orderkey % 997 = 0 AS bad
+        FROM orders, {copies} c(copy) WHERE {when[upload]}"""
+
+
+def _sales_rows(upload: int) -> str:
+    when = {0: "TRUE", 1: "l_shipdate < DATE '1999-01-01'", 2: "l_shipdate >= DATE '1998-01-01'"}
+    return f"""SELECT CASE WHEN l_partkey % 101 <> 0 THEN CAST(l_shipdate AS DATE) END AS sales_date,
+          ['2301-', '2302-', '2399-'][l_orderkey % 3 + 1] || l_orderkey || '-' || printf('%04d',
+            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+              l_shipdate, l_quantity)) AS sales_code,
+          CASE WHEN l_suppkey % 10 = 3 THEN '30895.2' ELSE CAST(l_suppkey AS VARCHAR) END
+            AS factory_code,
+          nullif(['ST', 'TN', 'BP', 'QT', ''][l_partkey % 5 + 1], '') AS factory_order_code,
+          'P' || l_partkey AS product_code, 'Part ' || l_partkey AS product_name,
+          CASE WHEN l_partkey % 17 <> 0 THEN l_linestatus END AS qc,
+          'W' || l_returnflag AS warehouse_code, '2201-' || l_orderkey || '-0001' AS order_code,
+          l_quantity AS sales_quantity, 'Supplier ' || l_suppkey AS factory_name,
+          'Rep' AS salesman
+        FROM lineitem WHERE l_orderkey % 499 <> 0 AND {when[upload]}"""
+
+
+_ORDER_SPLIT = """CASE WHEN factory_code <> '30895.2' OR factory_order_code IS NULL THEN factory_code
+    WHEN factory_order_code IN ('QT', 'st-qt') THEN '30895.4'
+    WHEN factory_order_code = 'BP' THEN '30895.5'
+    WHEN factory_order_code = 'tn 7' THEN '30895' ELSE '30895.1' END"""
+_SALES_SPLIT = """CASE WHEN factory_code <> '30895.2' OR factory_order_code IS NULL THEN factory_code
+    ELSE map {'ST': '30895.1', 'TN': '30895', 'BP': '30895.5', 'QT': '30895.4'}
+      [factory_order_code] END"""
+
+_ORDER_SHOWN = ("order_date, order_code, factory_code, factory_order_code, product_code, "
+                "product_name, qc, warehouse_type, order_quantity, delivered_quantity, "
+                "estimated_delivery_date")
+_ORDER_STAGED = _ORDER_SHOWN + ", factory_name, note, numerical_order, path"
+_SALES_SHOWN = ("sales_date, sales_code, factory_code, factory_order_code, product_code, "
+                "product_name, qc, warehouse_code, order_code, sales_quantity")
+_SALES_STAGED = _SALES_SHOWN + ", factory_name, salesman"
+
+_FIRST, _SECOND = "'2024-01-01 06:30:00'", "'2024-02-01 06:30:00'"
+
+
+def _with(body: str, **steps: str) -> str:
+    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in steps.items()) + "\n" + body
+
+
+def _order_collapsed(source: str) -> str:
+    """Copy 0 of each order with the quantities of the last copy."""
+    return f"""SELECT a.* REPLACE (b.order_quantity AS order_quantity,
+          b.delivered_quantity AS delivered_quantity)
+        FROM (SELECT * FROM {source} WHERE NOT bad AND copy = 0) a JOIN
+          (SELECT order_code, order_quantity, delivered_quantity FROM {source}
+           WHERE copy = (SELECT max(copy) FROM {source})) b USING (order_code)"""
+
+
+_ORDER_UPLOADS = {
+    "lines1": _order_rows(1), "lines2": _order_rows(2),
+    "first": _order_collapsed("lines1"), "second": _order_collapsed("lines2"),
+}
+
+
+def _order_upserted(first: str, second: str, columns: str) -> str:
+    """Kept, changed and new rows as three branches."""
+    replaced = ("second.order_quantity AS order_quantity, "
+                "second.delivered_quantity AS delivered_quantity")
+    return f"""SELECT {columns}, change FROM (
+          SELECT *, 'kept' AS change FROM {first} WHERE order_code NOT IN (SELECT order_code FROM {second})
+          UNION ALL BY NAME
+          SELECT {first}.* REPLACE ({replaced.replace("second.", second + ".")}), 'updated' AS change
+            FROM {first} JOIN {second} USING (order_code)
+          UNION ALL BY NAME
+          SELECT *, 'inserted' AS change FROM {second}
+            WHERE order_code NOT IN (SELECT order_code FROM {first}))"""
+
+
+def _order_fact(source: str) -> str:
+    return f"""SELECT * REPLACE ({_ORDER_SPLIT} AS factory_code) FROM {source}
+        WHERE order_code LIKE '2201-%' AND qc IS NOT NULL"""
+
+
+def _sales_fact(source: str) -> str:
+    return f"""SELECT * REPLACE ({_SALES_SPLIT} AS factory_code) FROM {source}
+        WHERE sales_code NOT LIKE '2399-%' AND qc IS NOT NULL"""
+
+
+def load_sql() -> dict[str, str]:
+    sales_uploads = {"first": _sales_rows(1), "second": _sales_rows(2)}
+    any_code = "(SELECT sales_code FROM first)"
+    return {
+        "order_extract_clean": _with(f"SELECT {_ORDER_STAGED} FROM lines WHERE NOT bad",
+                                     lines=_order_rows(0)),
+        "order_extract_rejects": _with(
+            "SELECT order_code, 'bad_quantity' AS reject_reason FROM lines WHERE bad",
+            lines=_order_rows(0)),
+        "sales_extract_clean": _with(f"SELECT {_SALES_STAGED} FROM lines", lines=_sales_rows(0)),
+        "order_staging_reupload": _with(
+            f"""SELECT *, CASE WHEN change = 'kept' THEN {_FIRST} ELSE {_SECOND} END
+                AS import_timestamp FROM done""",
+            **_ORDER_UPLOADS, done=_order_upserted("first", "second", _ORDER_STAGED)),
+        "sales_staging_reupload": _with(
+            f"""SELECT {_SALES_STAGED}, 'kept' AS change, {_FIRST} AS import_timestamp FROM first
+                UNION ALL SELECT {_SALES_STAGED}, 'inserted', {_SECOND} FROM second
+                WHERE sales_code NOT IN {any_code}""", **sales_uploads),
+        "staging_incremental_read": _with(
+            f"""SELECT {_ORDER_SHOWN}, {_SECOND} AS import_timestamp FROM done
+                WHERE change <> 'kept'""",
+            **_ORDER_UPLOADS, done=_order_upserted("first", "second", _ORDER_STAGED)),
+        "order_fact_load": _with(f"SELECT {_ORDER_SHOWN} FROM fact", lines=_order_rows(0),
+                                 good="SELECT * FROM lines WHERE NOT bad", fact=_order_fact("good")),
+        "order_fact_rejects": _with(
+            """SELECT order_code, CASE WHEN order_code LIKE '2202-%' THEN 'other_document'
+                ELSE 'missing_qc' END AS reject_reason FROM lines
+                WHERE NOT bad AND (order_code LIKE '2202-%' OR qc IS NULL)""", lines=_order_rows(0)),
+        "sales_fact_load": _with(f"SELECT {_SALES_SHOWN} FROM fact", lines=_sales_rows(0),
+                                 fact=_sales_fact("lines")),
+        "sales_fact_rejects": _with(
+            """SELECT sales_code, CASE WHEN sales_code LIKE '2399-%' THEN 'other_document'
+                ELSE 'missing_qc' END AS reject_reason FROM lines
+                WHERE sales_code LIKE '2399-%' OR qc IS NULL""", lines=_sales_rows(0)),
+        "order_fact_reload": _with(
+            f"""SELECT *, CASE WHEN change = 'inserted' THEN {_SECOND} ELSE {_FIRST} END
+                  AS import_timestamp,
+                CASE WHEN change = 'kept' THEN {_FIRST} ELSE {_SECOND} END AS import_wh_timestamp
+                FROM done""",
+            **_ORDER_UPLOADS, fact1=_order_fact("first"), fact2=_order_fact("second"),
+            done=_order_upserted("fact1", "fact2", _ORDER_SHOWN)),
+        "sales_fact_reload": _with(
+            f"""SELECT a.* EXCLUDE (factory_name, salesman) REPLACE (
+                  coalesce(b.sales_quantity, a.sales_quantity) AS sales_quantity),
+                CASE WHEN b.sales_code IS NULL THEN 'kept' ELSE 'updated' END AS change,
+                {_FIRST} AS import_timestamp,
+                CASE WHEN b.sales_code IS NULL THEN {_FIRST} ELSE {_SECOND} END
+                  AS import_wh_timestamp
+                FROM fact1 a LEFT JOIN fact2 b ON a.sales_code = b.sales_code
+                UNION ALL SELECT * EXCLUDE (factory_name, salesman), 'inserted', {_SECOND}, {_SECOND}
+                FROM fact2 WHERE sales_code NOT IN (SELECT sales_code FROM fact1)""",
+            **sales_uploads, fact1=_sales_fact("first"), fact2=_sales_fact("second")),
+        "dim_factory_refresh": _sql(
+            "dim_factory",
+            """SELECT DISTINCT ON (factory_code) factory_code, factory_name,
+                'Unassigned' AS salesman, TRUE AS is_active, FALSE AS has_onsite FROM lines
+                WHERE NOT bad AND factory_code NOT IN (SELECT factory_code FROM dim_factory)
+                ORDER BY factory_code, order_date DESC NULLS LAST, order_code DESC""",
+            lines=_order_rows(0)),
+        "dim_product_refresh": _sql(
+            "dim_product",
+            """SELECT DISTINCT product_name, CAST(NULL AS VARCHAR) AS product_type,
+                CAST(NULL AS VARCHAR) AS qc FROM lines
+                WHERE NOT bad AND product_name NOT IN (SELECT product_name FROM dim_product)""",
+            lines=_order_rows(0)),
+    }
+
+
+def all_sql() -> dict[str, str]:
+    return {**report_sql(), **load_sql()}

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.params import DateRange
-from tallymill.plans import extracts, materials, monthly, product_mix, product_pivot, range_diff, totals
+from tallymill.operators.upsert import INSERTED, KEPT, insert_absent, upsert
+from tallymill.plans import (
+    dimension_refresh, extracts, facts, materials, monthly, product_mix, product_pivot,
+    range_diff, staging, totals,
+)
 from tallymill.sources.sample import SampleWarehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +168,108 @@ def report_queries() -> dict[str, Query]:
         "pivot_product_order": _product_pivot(None, True),
         "pivot_product_order_factories": _product_pivot(p.some_factories, False),
     }
+
+
+FIRST, SECOND = datetime(2024, 1, 1, 6, 30), datetime(2024, 2, 1, 6, 30)
+
+# Columns that the sample extracts fill; the others are null on this path.
+_ORDER_SHOWN = ["order_date", "order_code", "factory_code", "factory_order_code", "product_code",
+                "product_name", "qc", "warehouse_type", "order_quantity", "delivered_quantity",
+                "estimated_delivery_date"]
+_SALES_SHOWN = ["sales_date", "sales_code", "factory_code", "factory_order_code", "product_code",
+                "product_name", "qc", "warehouse_code", "order_code", "sales_quantity"]
+
+
+def _clean_orders(w: SampleWarehouse, upload: int = 0) -> DataFrame:
+    return staging.clean_orders(w.order_extract(upload), SECOND if upload == 2 else FIRST)
+
+
+def _clean_sales(w: SampleWarehouse, upload: int = 0) -> DataFrame:
+    return staging.clean_sales(w.sales_extract(upload), SECOND if upload == 2 else FIRST)
+
+
+def _time_text(column: str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+
+
+def _order_staging(w: SampleWarehouse) -> DataFrame:
+    """Staging after both uploads, each row with its change in the second one."""
+    first, second = (staging.staged_orders(_clean_orders(w, u)) for u in (1, 2))
+    return upsert(first, second, "order_code", staging.ORDER_UPDATES)
+
+
+def _sales_staging(w: SampleWarehouse) -> DataFrame:
+    first, second = (staging.staged_sales(_clean_sales(w, u)) for u in (1, 2))
+    added = insert_absent(first, second, "sales_code")
+    return first.withColumn("change", F.lit(KEPT)).unionByName(
+        added.withColumn("change", F.lit(INSERTED)))
+
+
+def _accepted(labelled: DataFrame) -> DataFrame:
+    return staging.accepted(labelled)
+
+
+def _order_facts(w: SampleWarehouse, upload: int) -> DataFrame:
+    rows = staging.staged_orders(_clean_orders(w, upload))
+    return facts.order_facts(rows, SECOND if upload == 2 else FIRST)
+
+
+def _sales_facts(w: SampleWarehouse, upload: int) -> DataFrame:
+    rows = staging.staged_sales(_clean_sales(w, upload))
+    return facts.sales_facts(rows, SECOND if upload == 2 else FIRST)
+
+
+def _order_reload(w: SampleWarehouse) -> DataFrame:
+    first, second = (_accepted(_order_facts(w, u)) for u in (1, 2))
+    return upsert(first, second, "order_code", facts.ORDER_UPDATES).select(
+        *_ORDER_SHOWN, "change", _time_text("import_timestamp"), _time_text("import_wh_timestamp"))
+
+
+def _sales_reload(w: SampleWarehouse) -> DataFrame:
+    first, second = (_accepted(_sales_facts(w, u)) for u in (1, 2))
+    return upsert(first, second, "sales_code", facts.SALES_UPDATES).select(
+        *_SALES_SHOWN, "change", _time_text("import_timestamp"), _time_text("import_wh_timestamp"))
+
+
+def _incremental(w: SampleWarehouse) -> DataFrame:
+    """Staging rows newer than what the fact of the first upload holds."""
+    fact = _accepted(_order_facts(w, 1))
+    rows = staging.staged_since(_order_staging(w), staging.watermark(fact))
+    return rows.select(*_ORDER_SHOWN, _time_text("import_timestamp"))
+
+
+def load_queries() -> dict[str, Query]:
+    def shown(build: Callable[[SampleWarehouse], DataFrame], *columns: str) -> Query:
+        return _on_sample(lambda w: build(w).select(*columns))
+
+    def rejects(build: Callable[[SampleWarehouse, int], DataFrame], code: str) -> Query:
+        return _on_sample(lambda w: staging.rejected(build(w, 0)).select(code, "reject_reason"))
+
+    order_staged = [*_ORDER_SHOWN, "factory_name", "note", "numerical_order", "path"]
+    sales_staged = [*_SALES_SHOWN, "factory_name", "salesman"]
+    return {
+        "order_extract_clean": shown(lambda w: staging.accepted(_clean_orders(w)), *order_staged),
+        "order_extract_rejects": rejects(_clean_orders, "order_code"),
+        "sales_extract_clean": shown(lambda w: staging.accepted(_clean_sales(w)), *sales_staged),
+        "order_staging_reupload": _on_sample(lambda w: _order_staging(w).select(
+            *order_staged, "change", _time_text("import_timestamp"))),
+        "sales_staging_reupload": _on_sample(lambda w: _sales_staging(w).select(
+            *sales_staged, "change", _time_text("import_timestamp"))),
+        "staging_incremental_read": _on_sample(_incremental),
+        "order_fact_load": shown(lambda w: _accepted(_order_facts(w, 0)), *_ORDER_SHOWN),
+        "order_fact_rejects": rejects(_order_facts, "order_code"),
+        "sales_fact_load": shown(lambda w: _accepted(_sales_facts(w, 0)), *_SALES_SHOWN),
+        "sales_fact_rejects": rejects(_sales_facts, "sales_code"),
+        "order_fact_reload": _on_sample(_order_reload),
+        "sales_fact_reload": _on_sample(_sales_reload),
+        "dim_factory_refresh": _on_sample(lambda w: dimension_refresh.new_factories(
+            staging.staged_orders(_clean_orders(w)), w.dim_factory)),
+        "dim_product_refresh": shown(
+            lambda w: dimension_refresh.new_products(
+                staging.staged_orders(_clean_orders(w)), w.dim_product),
+            "product_name", "product_type", "qc"),
+    }
+
+
+def all_queries() -> dict[str, Query]:
+    return {**report_queries(), **load_queries()}

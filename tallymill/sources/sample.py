@@ -128,6 +128,100 @@ class SampleWarehouse:
             F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name")
         )
 
+    def order_extract(self, upload: int = 0) -> DataFrame:
+        """Text cells of an order extract: 0 = all orders, 1 and 2 = two uploads that overlap.
+
+        The second upload holds every order twice with higher quantities.
+        """
+        key = F.col("o_orderkey")
+        orders = self.raw("orders")
+        if upload == 1:
+            orders = orders.filter("o_orderdate < '1999-01-01'")
+        elif upload == 2:
+            orders = orders.filter("o_orderdate >= '1998-01-01'")
+        copies = F.array(*map(F.lit, [0, 1] if upload == 2 else [0]))
+        orders = orders.withColumn("copy", F.explode(copies))
+        added = F.lit(0) if upload < 2 else F.lit(5) + F.col("copy") * 4
+        day = F.col("o_orderdate").cast("date")
+        tag = F.element_at(F.array(*map(F.lit, ["ST-1", "tn 7", "BP", "QT", "st-qt", ""])),
+                           (key % 6 + 1).cast("int"))
+        empty = F.lit("")
+
+        def amount(divisor: int) -> Column:
+            return (F.floor(F.col("o_totalprice") / divisor) + added).cast("string")
+
+        return orders.select(
+            F.when(key % 29 == 0, "junk").otherwise(_day_text(day, key % 3)).alias("order_date"),
+            empty.alias("ct_date"),
+            empty.alias("original_estimated_delivery_date"),
+            F.date_add(day, (key % 60 + 30).cast("int")).cast("string")
+            .alias("estimated_delivery_date"),
+            F.concat(F.when(key % 4 == 0, "2202-").otherwise("2201-"), key.cast("string"))
+            .alias("order_code"),
+            _factory_text(F.col("o_custkey")).alias("factory_code"),
+            F.concat_ws(" ", F.lit("Factory"), F.col("o_custkey").cast("string"), F.lit("in"),
+                        F.year(day).cast("string")).alias("factory_name"),
+            F.concat(F.lit("P"), (key % 500).cast("string")).alias("product_code"),
+            F.concat(F.lit("Paint "), (key % 500).cast("string"), F.lit(".0"))
+            .alias("product_name"),
+            F.when(key % 17 == 0, "NA").otherwise(F.col("o_orderpriority")).alias("qc"),
+            F.when(key % 997 == 0, "x").otherwise(amount(1000)).alias("order_quantity"),
+            amount(2000).alias("delivered_quantity"),
+            tag.alias("factory_order_code"),
+            F.concat(F.lit("copy "), F.col("copy").cast("string")).alias("note"),
+            F.when(key % 2 == 0, "1").otherwise("1.0").alias("numerical_order"),
+            F.lit("A").alias("path"),
+            F.col("o_orderstatus").alias("warehouse_type"),
+            F.floor(key / 100000).alias("source_chunk"),
+            (key * 2 + F.col("copy")).alias("source_row"),
+        )
+
+    def sales_extract(self, upload: int = 0) -> DataFrame:
+        """Text cells of a sales extract: 0 = all lines, 1 and 2 = two uploads that overlap."""
+        order, part, supplier = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+        lines = self.raw("lineitem")
+        if upload == 1:
+            lines = lines.filter("l_shipdate < '1999-01-01'")
+        elif upload == 2:
+            lines = lines.filter("l_shipdate >= '1998-01-01'")
+        day = F.col("l_shipdate").cast("date")
+        form = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
+        prefix = F.element_at(F.array(F.lit("2301-"), F.lit("2302-"), F.lit("2399-")),
+                              (order % 3 + 1).cast("int"))
+        tag = F.element_at(F.array(*map(F.lit, ["ST", "TN", "BP", "QT", ""])),
+                           (part % 5 + 1).cast("int"))
+        return lines.select(
+            F.when(part % 101 == 0, "junk").otherwise(_day_text(day, form)).alias("sales_date"),
+            F.lit("").alias("ct_date"),
+            F.when(order % 499 != 0, F.concat(prefix, order.cast("string"))).alias("sales_code"),
+            _factory_text(supplier).alias("factory_code"),
+            F.concat(F.lit("Supplier "), supplier.cast("string")).alias("factory_name"),
+            F.lit("Rep").alias("salesman"),
+            F.concat(F.lit("P"), part.cast("string")).alias("product_code"),
+            F.concat(F.lit("Part "), part.cast("string"), F.lit(".0")).alias("product_name"),
+            F.when(part % 17 != 0, F.col("l_linestatus")).alias("qc"),
+            F.concat(F.lit("W"), F.col("l_returnflag")).alias("warehouse_code"),
+            F.col("l_quantity").cast("string").alias("sales_quantity"),
+            F.concat(F.lit("2201-"), order.cast("string"), F.lit("-0001")).alias("order_code"),
+            F.lit("").alias("import_code"),
+            F.lit("null").alias("note"),
+            tag.alias("factory_order_code"),
+            F.struct("l_linenumber", "l_partkey").alias("source_chunk"),
+            F.struct("l_suppkey", "l_shipdate", "l_quantity").alias("source_row"),
+        )
+
+
+def _day_text(day: Column, form: Column) -> Column:
+    """Day first for form 0, ISO for form 1, ISO with a time for any other form."""
+    return (F.when(form == 0, F.date_format(day, "d/M/yyyy"))
+            .when(form == 1, day.cast("string"))
+            .otherwise(F.concat(day.cast("string"), F.lit(" 00:00:00"))))
+
+
+def _factory_text(key: Column) -> Column:
+    """The shared factory for every tenth key, else the key as a spreadsheet prints it."""
+    return F.when(key % 10 == 3, "30895.2").otherwise(F.concat(key.cast("string"), F.lit(".0")))
+
 
 def _product_name() -> Column:
     return F.concat(F.col("p_name"), F.lit(" #"), F.col("p_partkey").cast("string"))
