@@ -43,6 +43,14 @@ _TABLES = {
     "dim_material": """SELECT DISTINCT
         CAST(replace(material_name, 'material-', '') AS BIGINT) AS id, material_name AS name,
         CAST(NULL AS VARCHAR) AS qc, 'kg' AS unit FROM bridge_product_material""",
+    "blueprint": """SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_partkey % 100 AS VARCHAR) AS factory,
+        p_name AS name, CASE WHEN p_size < 20 THEN 'PALLET' WHEN p_size < 35 THEN 'HANGING'
+          ELSE 'ROLLER' END AS type,
+        CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS description,
+        CASE WHEN p_partkey % 50 = 7 THEN '/other/' ELSE '/app/media/blueprints/' END
+          || p_partkey || '.svg' AS file_path,
+        p_name || '.svg' AS filename, p_partkey * 10 AS file_size,
+        DATE '2020-01-01' + CAST(p_partkey % 900 AS INT) AS made FROM part""",
     "dim_retailer": "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer",
 }
 
@@ -558,5 +566,162 @@ def load_sql() -> dict[str, str]:
     }
 
 
+_FACTORY_ASKS = """SELECT s_suppkey * 2 + c AS seq, CAST(s_suppkey AS VARCHAR) AS factory_code,
+      CASE WHEN s_suppkey % 20 <> 9 OR c = 1 THEN 'New ' || s_suppkey || ' ' || c END AS factory_name,
+      'Rep' AS salesman, s_suppkey % 2 = 0 AS is_active, FALSE AS has_onsite
+    FROM supplier, range(2) r(c)"""
+_FACTORY_INSERT = {
+    "asks": _FACTORY_ASKS,
+    "judged": """SELECT *, CASE WHEN factory_name IS NULL THEN 'invalid'
+          WHEN factory_code IN (SELECT factory_code FROM dim_factory) OR seq > (
+            SELECT min(seq) FROM asks b WHERE b.factory_code = asks.factory_code
+            AND b.factory_name IS NOT NULL) THEN 'exists' ELSE 'created' END AS outcome FROM asks""",
+}
+
+_FACTORY_PATCH = {
+    "p": """SELECT s_suppkey AS k, c, CAST(s_suppkey AS VARCHAR) AS factory_code,
+          CASE WHEN (s_suppkey + c) % 3 = 0 THEN s_suppkey % 2 = 0 END AS a,
+          CASE WHEN (s_suppkey + c) % 4 = 0 THEN s_suppkey % 2 = 1 END AS o
+        FROM supplier, range(2) r(c)""",
+}
+
+_RETAILER_INSERT = {
+    "asks": """SELECT c_custkey AS seq, CASE c_custkey % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN ''
+          WHEN 2 THEN 'SHOP ' || (c_custkey + 1) ELSE 'Shop ' || c_custkey END AS name FROM customer""",
+    "judged": """SELECT seq, name, CASE WHEN name = '' THEN 'invalid'
+          WHEN lower(name) IN (SELECT lower(name) FROM dim_retailer) OR row_number() OVER (
+            PARTITION BY lower(name) ORDER BY seq) > 1 THEN 'exists' ELSE 'created' END AS outcome
+        FROM asks""",
+    "made": """SELECT seq, name, outcome, CASE WHEN outcome = 'created' THEN
+          regexp_replace(md5('batch-1:' || lower(name)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$',
+            '\\1-\\2-\\3-\\4-\\5') END AS id FROM judged""",
+}
+
+_RENAME = {
+    "asks": """SELECT c_custkey * 2 + c AS seq,
+          CASE WHEN c_custkey % 7 = 5 THEN 'x' ELSE '' END || c_custkey AS id,
+          CASE c_custkey % 6 WHEN 0 THEN upper(c_name)
+            WHEN 1 THEN 'customer#' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0')
+            WHEN 2 THEN '' WHEN 3 THEN 'Team ' || (c_custkey // 12)
+            ELSE 'Store ' || c_custkey || ' ' || c END AS name
+        FROM customer, range(2) r(c)""",
+    "early": """SELECT a.*, CASE WHEN a.name = '' THEN 'invalid' WHEN d.id IS NULL THEN 'not_found'
+          WHEN a.seq % 2 = 0 THEN 'superseded'
+          WHEN EXISTS (FROM dim_retailer o WHERE lower(o.name) = lower(a.name) AND o.id <> a.id)
+            THEN 'name_taken' ELSE 'updated' END AS so_far
+        FROM asks a LEFT JOIN dim_retailer d USING (id)""",
+    "judged": """SELECT seq, id, name, CASE WHEN so_far = 'updated' AND row_number() OVER (
+          PARTITION BY lower(name), so_far ORDER BY seq) > 1 THEN 'name_taken' ELSE so_far END
+          AS outcome FROM early""",
+}
+
+_BLUEPRINT_PATCH = {
+    "asks": """SELECT p_partkey * 2 + c AS seq,
+          CASE WHEN p_partkey % 8 = 7 THEN 'x' ELSE '' END || p_partkey AS id,
+          CASE WHEN (p_partkey + c) % 3 = 0 THEN upper(p_name) END AS name,
+          CASE (p_partkey + c) % 5 WHEN 0 THEN 'ROLLER' WHEN 1 THEN 'BELT' END AS type,
+          CASE WHEN (p_partkey + c) % 4 = 0 THEN 'checked' END AS description
+        FROM part, range(2) r(c)""",
+    "judged": """SELECT *, CASE WHEN type = 'BELT' THEN 'invalid' WHEN id LIKE 'x%' THEN 'not_found'
+          WHEN name IS NULL AND type IS NULL AND description IS NULL THEN 'empty'
+          ELSE 'updated' END AS outcome FROM asks""",
+}
+
+
+def _latest(column: str) -> str:
+    return (f"coalesce((SELECT last({column} ORDER BY seq) FROM judged j WHERE j.id = blueprint.id "
+            f"AND outcome = 'updated' AND j.{column} IS NOT NULL), {column}) AS {column}")
+
+
+_BLUEPRINT_INSERT = {
+    "asks": """SELECT p_partkey AS seq, CAST(p_partkey % 100 AS VARCHAR) AS factory, p_name AS name,
+          CASE WHEN p_partkey % 11 = 0 THEN 'BELT' ELSE 'HANGING' END AS type,
+          p_brand AS description,
+          p_name || CASE WHEN p_partkey % 13 = 0 THEN '.png' ELSE '.SVG' END AS filename,
+          p_partkey * 100000 AS file_size FROM part""",
+    "judged": """SELECT *, CASE WHEN type = 'BELT' THEN 'invalid_type'
+          WHEN filename LIKE '%.png' THEN 'not_svg' WHEN seq % 17 = 0 THEN 'wrong_content_type'
+          WHEN factory NOT IN (SELECT factory_code FROM dim_factory) THEN 'unknown_factory'
+          WHEN file_size > 104857600 THEN 'too_large' ELSE 'created' END AS outcome FROM asks""",
+    "made": """SELECT *, CASE WHEN outcome = 'created' THEN regexp_replace(md5('batch-1:' || seq),
+          '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') END AS id FROM judged""",
+}
+
+
+def dimension_sql() -> dict[str, str]:
+    def paged(tables: str, source: str, order: str, number: int, size: int) -> str:
+        return _sql(tables, f"""SELECT * EXCLUDE (rank) FROM (
+              SELECT *, count(*) OVER () AS total_count, row_number() OVER (ORDER BY {order}) AS rank
+              FROM ({source})) WHERE rank > {(number - 1) * size} AND rank <= {number * size}""")
+
+    return {
+        "factory_list": _sql("dim_factory", """SELECT * FROM dim_factory WHERE is_active AND (
+            regexp_matches(factory_name, '.1') OR regexp_matches(factory_code, '.1'))"""),
+        "factory_list_page": paged("dim_factory", "SELECT * FROM dim_factory WHERE NOT has_onsite",
+                                   "factory_code", 2, 7),
+        "product_list": _sql("dim_product", """SELECT * FROM dim_product WHERE
+            product_type IN ('ECONOMY', 'PROMO') AND contains(lower(product_name), 'ring')"""),
+        "product_list_page": paged("dim_product",
+                                   "SELECT * FROM dim_product WHERE product_type = 'LARGE'", "id", 3, 50),
+        "product_list_count": _sql("dim_product", """SELECT count(*) AS count FROM dim_product
+            WHERE contains(product_name, 'bolt')"""),
+        "material_list": _sql("bridge_product_material dim_material",
+                              "SELECT * FROM dim_material WHERE name LIKE 'material-1%'"),
+        "retailer_list": _sql("dim_retailer", """SELECT * FROM dim_retailer
+            WHERE regexp_matches(name, '00.*7')"""),
+        "retailer_list_page": paged("dim_retailer", "SELECT * FROM dim_retailer", "name", 2, 100),
+        "formula_list": _sql("bridge_product_material", """SELECT * FROM bridge_product_material
+            WHERE is_current AND material_name IN ('material-3', 'material-17')"""),
+        "formula_list_page": paged("bridge_product_material", "SELECT * FROM bridge_product_material",
+                                   "product_name, material_name, version_number", 4, 50),
+        "blueprint_list": _sql("blueprint", """SELECT * EXCLUDE (made), CASE WHEN
+            file_path LIKE '/app/media/%' THEN '/dw-media/' || substr(file_path, 12) END AS file_url
+            FROM blueprint WHERE factory = '42'"""),
+        "blueprint_list_all": _sql("blueprint", """SELECT id, factory, type, CASE WHEN
+            CAST(id AS INT) % 50 <> 7 THEN '/dw-media/blueprints/' || id || '.svg' END AS file_url
+            FROM blueprint"""),
+        "factory_lookup": _sql("dim_factory", """SELECT CAST(s_suppkey AS VARCHAR) AS factory_code,
+            factory_name, salesman, is_active, has_onsite, factory_name IS NOT NULL AS found
+            FROM supplier LEFT JOIN dim_factory ON factory_code = CAST(s_suppkey AS VARCHAR)"""),
+        "factory_insert": _sql("dim_factory", """SELECT * FROM dim_factory UNION ALL BY NAME
+            SELECT * EXCLUDE (seq, outcome) FROM judged WHERE outcome = 'created'""",
+                               **_FACTORY_INSERT),
+        "factory_insert_outcomes": _sql("dim_factory", "SELECT seq, factory_code, outcome FROM judged",
+                                        **_FACTORY_INSERT),
+        "factory_patch": _sql("dim_factory", """SELECT f.* REPLACE (
+              coalesce(y.a, x.a, is_active) AS is_active, coalesce(y.o, x.o, has_onsite) AS has_onsite)
+            FROM dim_factory f JOIN p x ON x.factory_code = f.factory_code AND x.c = 0
+            JOIN p y ON y.factory_code = f.factory_code AND y.c = 1""", **_FACTORY_PATCH),
+        "factory_patch_outcomes": _sql("dim_factory", """SELECT k * 2 + c AS seq, factory_code,
+            CASE WHEN factory_code NOT IN (SELECT factory_code FROM dim_factory) THEN 'not_found'
+              WHEN a IS NULL AND o IS NULL THEN 'empty' ELSE 'updated' END AS outcome FROM p""",
+                                       **_FACTORY_PATCH),
+        "retailer_insert": _sql("dim_retailer", """SELECT id, name FROM dim_retailer UNION ALL
+            SELECT id, name FROM made WHERE outcome = 'created'""", **_RETAILER_INSERT),
+        "retailer_insert_outcomes": _sql("dim_retailer", "SELECT seq, name, id, outcome FROM made",
+                                         **_RETAILER_INSERT),
+        "retailer_rename": _sql("dim_retailer", """SELECT id, coalesce((SELECT max(name) FROM judged j
+            WHERE j.id = d.id AND outcome = 'updated'), name) AS name FROM dim_retailer d""", **_RENAME),
+        "retailer_rename_outcomes": _sql("dim_retailer", "SELECT seq, id, outcome FROM judged",
+                                         **_RENAME),
+        "retailer_delete": _sql("dim_retailer",
+                                "SELECT * FROM dim_retailer WHERE CAST(id AS BIGINT) % 2 = 1"),
+        "retailer_delete_outcomes": """SELECT c_custkey * 2 + c AS seq,
+            CAST(c_custkey * 2 AS VARCHAR) AS id, CASE WHEN c = 0 AND c_custkey * 2 <=
+              (SELECT max(c_custkey) FROM customer) THEN 'deleted' ELSE 'not_found' END AS outcome
+            FROM customer, range(2) r(c)""",
+        "blueprint_patch": _sql("blueprint", f"""SELECT * EXCLUDE (made) REPLACE ({_latest("name")},
+            {_latest("type")}, {_latest("description")}) FROM blueprint""", **_BLUEPRINT_PATCH),
+        "blueprint_patch_outcomes": _sql("blueprint", "SELECT seq, id, outcome FROM judged",
+                                         **_BLUEPRINT_PATCH),
+        "blueprint_insert": _sql("blueprint dim_factory", """SELECT * EXCLUDE (made) FROM blueprint
+            UNION ALL BY NAME SELECT id, factory, name, type, description,
+              '/app/media/blueprints/' || id || '.SVG' AS file_path, filename, file_size
+            FROM made WHERE outcome = 'created'""", **_BLUEPRINT_INSERT),
+        "blueprint_insert_outcomes": _sql("dim_factory", "SELECT seq, factory, id, outcome FROM made",
+                                          **_BLUEPRINT_INSERT),
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**report_sql(), **load_sql()}
+    return {**report_sql(), **load_sql(), **dimension_sql()}

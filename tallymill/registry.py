@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tallymill.params import DateRange
 from tallymill.operators.upsert import INSERTED, KEPT, insert_absent, upsert
+from tallymill.operators.paging import page, row_count
 from tallymill.plans import (
-    dimension_refresh, extracts, facts, materials, monthly, product_mix, product_pivot,
+    dimension_changes, dimension_lists, dimension_refresh, extracts, facts, materials, monthly, product_mix, product_pivot,
     range_diff, staging, totals,
 )
 from tallymill.sources.sample import SampleWarehouse
@@ -271,5 +272,56 @@ def load_queries() -> dict[str, Query]:
     }
 
 
+def dimension_queries() -> dict[str, Query]:
+    lists, changes = dimension_lists, dimension_changes
+    made = datetime(2024, 3, 1)
+
+    def both(name: str, build: Callable[[SampleWarehouse], changes.Change],
+             *hidden: str) -> dict[str, Query]:
+        return {name: _on_sample(lambda w: build(w).table.drop(*hidden)),
+                f"{name}_outcomes": _on_sample(lambda w: build(w).outcomes)}
+
+    return {
+        "factory_list": _on_sample(lambda w: lists.list_factories(w.dim_factory, True, None, "_1")),
+        "factory_list_page": _on_sample(lambda w: page(
+            lists.list_factories(w.dim_factory, None, False), ["factory_code"], 2, 7)),
+        "product_list": _on_sample(lambda w: lists.list_products(
+            w.dim_product, "ECONOMY, PROMO", "RING")),
+        "product_list_page": _on_sample(lambda w: page(
+            lists.list_products(w.dim_product, ["LARGE"]), ["id"], 3)),
+        "product_list_count": _on_sample(lambda w: row_count(lists.list_products(
+            w.dim_product, None, "bolt"))),
+        "material_list": _on_sample(lambda w: lists.list_materials(w.dim_material, "AL-1")),
+        "retailer_list": _on_sample(lambda w: lists.list_retailers(w.dim_retailer, "00%7")),
+        "retailer_list_page": _on_sample(lambda w: page(w.dim_retailer, ["name"], 2, 100)),
+        "formula_list": _on_sample(lambda w: lists.list_formulas(
+            w.bridge_product_material, None, "material-3,material-17")),
+        "formula_list_page": _on_sample(lambda w: page(
+            lists.list_formulas(w.bridge_product_material, is_current=None),
+            ["product_name", "material_name", "version_number"], 4)),
+        "blueprint_list": _on_sample(lambda w: lists.list_blueprints(w.blueprint, "42").drop(
+            "created_at", "updated_at")),
+        "blueprint_list_all": _on_sample(lambda w: lists.list_blueprints(w.blueprint).select(
+            "id", "factory", "type", "file_url")),
+        "factory_lookup": _on_sample(lambda w: lists.look_up(
+            w.factory_requests().select("factory_code").distinct(), w.dim_factory, "factory_code")),
+        **both("factory_insert", lambda w: changes.insert_factories(
+            w.dim_factory, w.factory_requests())),
+        **both("factory_patch", lambda w: changes.patch_factories(
+            w.dim_factory, w.factory_patches())),
+        **both("retailer_insert", lambda w: changes.insert_retailers(
+            w.dim_retailer, w.retailer_requests(), "batch-1")),
+        **both("retailer_rename", lambda w: changes.rename_retailers(
+            w.dim_retailer, w.retailer_renames())),
+        **both("retailer_delete", lambda w: changes.delete_rows(
+            w.dim_retailer, w.retailer_deletes(), "id")),
+        **both("blueprint_patch", lambda w: changes.patch_blueprints(
+            w.blueprint, w.blueprint_patches()), "created_at", "updated_at"),
+        **both("blueprint_insert", lambda w: changes.insert_blueprints(
+            w.blueprint, w.dim_factory, w.blueprint_requests(), made, "batch-1"),
+            "created_at", "updated_at"),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**report_queries(), **load_queries()}
+    return {**report_queries(), **load_queries(), **dimension_queries()}

@@ -128,6 +128,108 @@ class SampleWarehouse:
             F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name")
         )
 
+    @property
+    def blueprint(self) -> DataFrame:
+        """One blueprint per part, at a factory that may lack a dimension row."""
+        key = F.col("p_partkey")
+        made = F.date_add(F.lit("2020-01-01").cast("date"), (key % 900).cast("int")).cast("timestamp")
+        return self.raw("part").select(
+            key.cast("string").alias("id"),
+            (key % 100).cast("string").alias("factory"),
+            F.col("p_name").alias("name"),
+            F.when(F.col("p_size") < 20, "PALLET").when(F.col("p_size") < 35, "HANGING")
+            .otherwise("ROLLER").alias("type"),
+            F.when(key % 3 != 0, F.col("p_brand")).alias("description"),
+            F.concat(F.when(key % 50 == 7, "/other/").otherwise("/app/media/blueprints/"),
+                     key.cast("string"), F.lit(".svg")).alias("file_path"),
+            F.concat(F.col("p_name"), F.lit(".svg")).alias("filename"),
+            (key * 10).alias("file_size"),
+            made.alias("created_at"), made.alias("updated_at"),
+        )
+
+    def factory_requests(self) -> DataFrame:
+        """Two requests per supplier; some lack a name."""
+        key = F.col("s_suppkey")
+        return self.raw("supplier").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+            (key * 2 + F.col("copy")).alias("seq"),
+            key.cast("string").alias("factory_code"),
+            F.when((key % 20 != 9) | (F.col("copy") == 1),
+                   F.concat_ws(" ", F.lit("New"), key.cast("string"), F.col("copy").cast("string")))
+            .alias("factory_name"),
+            F.lit("Rep").alias("salesman"),
+            (key % 2 == 0).alias("is_active"),
+            F.lit(False).alias("has_onsite"),
+        )
+
+    def factory_patches(self) -> DataFrame:
+        """Two patches per supplier; values are missing in turn."""
+        key, copy = F.col("s_suppkey"), F.col("copy")
+        return self.raw("supplier").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+            (key * 2 + copy).alias("seq"),
+            key.cast("string").alias("factory_code"),
+            F.when((key + copy) % 3 == 0, key % 2 == 0).alias("is_active"),
+            F.when((key + copy) % 4 == 0, key % 2 == 1).alias("has_onsite"),
+        )
+
+    def retailer_requests(self) -> DataFrame:
+        """Names that exist in other case, new names asked for twice, and empty names."""
+        key = F.col("c_custkey")
+        name = (F.when(key % 5 == 0, F.upper("c_name")).when(key % 5 == 1, F.lit(""))
+                .when(key % 5 == 2, F.concat(F.lit("SHOP "), (key + 1).cast("string")))
+                .otherwise(F.concat(F.lit("Shop "), key.cast("string"))))
+        return self.raw("customer").select(key.alias("seq"), name.alias("name"))
+
+    def retailer_renames(self) -> DataFrame:
+        """New names, own names in other case, names of the next retailer, unknown ids, repeats."""
+        key, copy = F.col("c_custkey"), F.col("copy")
+        other = F.concat(F.lit("customer#"), F.lpad((key + 1).cast("string"), 9, "0"))
+        name = (F.when(key % 6 == 0, F.upper("c_name")).when(key % 6 == 1, other)
+                .when(key % 6 == 2, F.lit("")).when(key % 6 == 3, F.concat(
+                    F.lit("Team "), F.floor(key / 12).cast("string")))
+                .otherwise(F.concat_ws(" ", F.lit("Store"), key.cast("string"),
+                                       copy.cast("string"))))
+        copies = F.array(*map(F.lit, [0, 1]))
+        return self.raw("customer").withColumn("copy", F.explode(copies)).select(
+            (key * 2 + copy).alias("seq"),
+            F.when(key % 7 == 5, F.concat(F.lit("x"), key.cast("string")))
+            .otherwise(key.cast("string")).alias("id"),
+            name.alias("name"),
+        )
+
+    def retailer_deletes(self) -> DataFrame:
+        """Every other retailer and as many unknown ids, all of them twice."""
+        key, copy = F.col("c_custkey"), F.col("copy")
+        copies = F.array(*map(F.lit, [0, 1]))
+        return self.raw("customer").withColumn("copy", F.explode(copies)).select(
+            (key * 2 + copy).alias("seq"), (key * 2).cast("string").alias("id"))
+
+    def blueprint_patches(self) -> DataFrame:
+        """Two patches per part, some with an unknown type, some for unknown ids, some empty."""
+        key, copy = F.col("p_partkey"), F.col("copy")
+        copies = F.array(*map(F.lit, [0, 1]))
+        return self.raw("part").withColumn("copy", F.explode(copies)).select(
+            (key * 2 + copy).alias("seq"),
+            F.when(key % 8 == 7, F.concat(F.lit("x"), key.cast("string")))
+            .otherwise(key.cast("string")).alias("id"),
+            F.when((key + copy) % 3 == 0, F.upper("p_name")).alias("name"),
+            F.when((key + copy) % 5 == 0, "ROLLER").when((key + copy) % 5 == 1, "BELT").alias("type"),
+            F.when((key + copy) % 4 == 0, F.lit("checked")).alias("description"),
+        )
+
+    def blueprint_requests(self) -> DataFrame:
+        """One request per part; each refusal reason occurs."""
+        key = F.col("p_partkey")
+        return self.raw("part").select(
+            key.alias("seq"),
+            (key % 100).cast("string").alias("factory"),
+            F.col("p_name").alias("name"),
+            F.when(key % 11 == 0, "BELT").otherwise("HANGING").alias("type"),
+            F.col("p_brand").alias("description"),
+            F.concat(F.col("p_name"), F.when(key % 13 == 0, ".png").otherwise(".SVG")).alias("filename"),
+            F.when(key % 17 == 0, "image/png").otherwise("image/svg+xml").alias("content_type"),
+            (key * 100_000).alias("file_size"),
+        )
+
     def order_extract(self, upload: int = 0) -> DataFrame:
         """Text cells of an order extract: 0 = all orders, 1 and 2 = two uploads that overlap.
 
