@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INSERTED, UPDATED, KEPT, SKIPPED = "inserted", "updated", "kept", "skipped"
+INSERTED, UPDATED, KEPT = "inserted", "updated", "kept"
 
 
 def one_row_per_key(new: DataFrame, key: str, order: Sequence[str],

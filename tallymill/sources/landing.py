@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ SOURCE_CHUNK = "source_chunk"
 SOURCE_ROW = "source_row"
 ROWS_PER_CHUNK = 1 << 20
 
+# Spreadsheets write a quote inside a cell as two quotes.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+
 
 class Admission(NamedTuple):
     accepted: DataFrame
@@ -32,10 +36,15 @@ def admit(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES
           max_bytes: int = MAX_BYTES) -> Admission:
     """Files of a folder that may be loaded, and the others with the reason.
 
-    Lists metadata only: the file content is never selected, hence never read.
+    Lists metadata only: the file content is never selected, hence never read. The names come
+    from Spark's file index, since the rows leave out empty files.
     """
-    files = spark.read.format("binaryFile").load(folder).select(
-        "path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"))
+    listing = spark.read.format("binaryFile").load(folder)
+    names = [(unquote(name).replace(":///", ":/", 1),) for name in listing.inputFiles()]
+    sizes = listing.select("path", F.col("length").alias("file_size"),
+                           F.col("modificationTime").alias("modified_at"))
+    files = spark.createDataFrame(names, "path string").join(sizes, "path", "left").withColumn(
+        "file_size", F.coalesce("file_size", F.lit(0)))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     reason = (
         F.when(~suffix.isin(list(suffixes)), "wrong_suffix")
@@ -58,8 +67,9 @@ def _read(spark: SparkSession, path: str | list[str], schema: T.StructType, file
         return raw.select(*cells, *_place(*place))
     if file_format != "csv":
         raise ValueError(f"unknown extract format {file_format}")
-    _check_arity(spark.read.option("header", True).option("multiLine", multiline).csv(path), schema)
-    raw = spark.read.schema(schema).option("header", True).option("multiLine", multiline).csv(path)
+    options = {**CSV_OPTIONS, "multiLine": multiline}
+    _check_arity(spark.read.options(**options).csv(path), schema)
+    raw = spark.read.schema(schema).options(**options).csv(path)
     place = (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     return raw.select(*schema.names, *_place(*place))
 
