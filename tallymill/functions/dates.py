@@ -10,15 +10,26 @@ from pyspark.sql import functions as F
 
 from tallymill.params import DateRange
 
-# Day before month; ISO as spreadsheets export it, with or without a time.
-DAY_FIRST_FORMATS = ("d/M/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+# Accepted cell forms and how to read them. Day before month; ISO as
+# spreadsheets export it, with or without a time.
+DATE_FORMS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy",
+    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
+    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
+}
 
 MONTH_SUFFIX = "_month"
 
 
 def parse_day_first(text: Column) -> Column:
-    """Date from text, null where no accepted form matches."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DAY_FIRST_FORMATS])
+    """Date from text, null where no accepted form matches.
+
+    The shape picks the one form to read: a failed reading costs far more than a match.
+    """
+    day = F.lit(None).cast("date")
+    for shape, form in DATE_FORMS.items():
+        day = F.when(text.rlike(shape), F.try_to_date(text, form)).otherwise(day)
+    return day
 
 
 def timestamp_literal(moment: datetime) -> Column:

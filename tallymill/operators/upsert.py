@@ -37,7 +37,8 @@ def upsert(current: DataFrame, new: DataFrame, key: str,
     """All rows after the upsert, with `change` = inserted, updated or kept.
 
     Both sides hold one row per key. A matched row keeps its columns but for the update
-    columns, which come from `new`, null included. One full outer join.
+    columns, which come from `new`, null included. `new` may lack columns, which are then
+    null in inserted rows. One full outer join.
     """
     a, b = current.alias("a"), new.alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
@@ -45,7 +46,8 @@ def upsert(current: DataFrame, new: DataFrame, key: str,
     columns = []
     for c in current.columns:
         take_new = comes if c in update_columns else ~was
-        columns.append(F.when(take_new, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c))
+        value = F.col(f"b.{c}") if c in new.columns else F.lit(None)
+        columns.append(F.when(take_new, value).otherwise(F.col(f"a.{c}")).alias(c))
     change = F.when(was & comes, UPDATED).when(was, KEPT).otherwise(INSERTED)
     return joined.select(*columns, change.alias("change"))
 

@@ -28,21 +28,23 @@ def _cells(extract: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _typed(table: str, rows: DataFrame, import_timestamp: datetime) -> DataFrame:
-    """All staging columns in order, null where the extract has none, plus reason and order."""
-    extract_date = {c for c in rows.columns if c.endswith("_date")}
+    """The staging columns that the extract fills, plus reason and place.
+
+    The store adds the others when it writes (`tables.padded`): carrying their nulls through shuffles
+    and joins would make rows several times as wide.
+    """
     columns = []
     for field in TABLES[table]:
         if field.name == "import_timestamp":
-            value = timestamp_literal(import_timestamp)
-        elif field.name not in rows.columns:
-            value = F.lit(None)
-        elif field.name in extract_date:
-            value = parse_day_first(F.col(field.name))
-        elif field.dataType.typeName() == "double":
-            value = F.col(field.name).try_cast("double")
-        else:
+            columns.append(timestamp_literal(import_timestamp).alias(field.name))
+        elif field.name in rows.columns:
             value = F.col(field.name)
-        columns.append(value.cast(field.dataType).alias(field.name))
+            kind = field.dataType.typeName()
+            if kind == "date":
+                value = parse_day_first(value)
+            elif kind == "double":
+                value = value.try_cast("double")
+            columns.append(value.alias(field.name))
     return rows.select(*columns, REASON, *SOURCE_ORDER)
 
 
@@ -54,7 +56,7 @@ def _not_a_number(*columns: str) -> Column:
 
 
 def clean_orders(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
-    """Staging rows of an order extract, each with its place and a reject reason or null.
+    """Rows of an order extract as staging holds them, with place and reject reason or null.
 
     The ordinal of the line becomes part of the order code. Rows without code or ordinal,
     and rows whose ordinal or quantities are no numbers, carry a reason.
@@ -77,7 +79,7 @@ def clean_orders(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
 
 
 def clean_sales(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
-    """Staging rows of a sales extract, each with its place and a reject reason or null.
+    """Rows of a sales extract as staging holds them, with place and reject reason or null.
 
     Lines that share a sales code are numbered in source order, and the number becomes part
     of the code. A line rejected for its quantity keeps its number.

@@ -17,6 +17,7 @@ from tallymill.plans import (
     range_diff, staging, totals,
 )
 from tallymill.sources.sample import SampleWarehouse
+from tallymill.sources.tables import padded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -264,7 +265,7 @@ def load_queries() -> dict[str, Query]:
         "order_fact_reload": _on_sample(_order_reload),
         "sales_fact_reload": _on_sample(_sales_reload),
         "dim_factory_refresh": _on_sample(lambda w: dimension_refresh.new_factories(
-            staging.staged_orders(_clean_orders(w)), w.dim_factory)),
+            padded("order_staging", staging.staged_orders(_clean_orders(w))), w.dim_factory)),
         "dim_product_refresh": shown(
             lambda w: dimension_refresh.new_products(
                 staging.staged_orders(_clean_orders(w)), w.dim_product),
