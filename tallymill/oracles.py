@@ -566,6 +566,64 @@ def load_sql() -> dict[str, str]:
     }
 
 
+def run_sql() -> dict[str, str]:
+    """Whole loads end where the set-based steps end; counts come from the source rows."""
+    loads = load_sql()
+    sales = {"first": _sales_rows(1), "second": _sales_rows(2)}
+    added = "SELECT * FROM second WHERE sales_code NOT IN (SELECT sales_code FROM first)"
+    orders = {**_ORDER_UPLOADS, "fact1": _order_fact("first"), "fact2": _order_fact("second")}
+    fresh = "SELECT factory_code, factory_name, order_date, order_code FROM {}"
+    return {
+        "order_load": f"SELECT * EXCLUDE (change) FROM ({loads['order_fact_reload']})",
+        "order_load_dimensions": _sql(
+            "dim_factory",
+            f"""SELECT * FROM dim_factory UNION ALL (
+                SELECT factory_code, first(factory_name ORDER BY upload, order_date DESC NULLS LAST,
+                  order_code DESC), 'Unassigned', TRUE, FALSE
+                FROM (SELECT *, 1 AS upload FROM ({fresh.format("first")}) UNION ALL
+                  SELECT *, 2 FROM ({fresh.format("second")}))
+                WHERE factory_code NOT IN (SELECT factory_code FROM dim_factory)
+                GROUP BY factory_code)""", **_ORDER_UPLOADS),
+        "order_load_counts": _with(
+            """SELECT CAST((SELECT count(*) FROM first) + (SELECT count(*) FROM second
+                  WHERE order_code NOT IN (SELECT order_code FROM first)) AS BIGINT)
+                  AS staging_inserted,
+                (SELECT count(*) FROM second SEMI JOIN first USING (order_code)) AS staging_updated,
+                (SELECT count(*) FROM lines2 WHERE NOT bad) - (SELECT count(*) FROM second)
+                  AS staging_skipped,
+                (SELECT count(*) FROM lines1 WHERE bad) + (SELECT count(*) FROM lines2 WHERE bad)
+                  AS staging_rejected,
+                (SELECT count(*) FROM fact1) + (SELECT count(*) FROM fact2 ANTI JOIN fact1
+                  USING (order_code)) AS fact_inserted,
+                (SELECT count(*) FROM fact2 SEMI JOIN fact1 USING (order_code)) AS fact_updated,
+                (SELECT count(*) FROM first) + (SELECT count(*) FROM second)
+                  - (SELECT count(*) FROM fact1) - (SELECT count(*) FROM fact2) AS fact_rejected,
+                (SELECT count(DISTINCT factory_code) FROM (FROM first UNION ALL BY NAME FROM second)
+                  WHERE factory_code NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier
+                  WHERE s_suppkey % 10 <> 9)) AS factories_added,
+                (SELECT count(DISTINCT product_name) FROM (FROM first UNION ALL BY NAME FROM second))
+                  AS products_added""", **orders),
+        "sales_load": _with(
+            f"""SELECT {_SALES_SHOWN}, {_FIRST} AS import_timestamp FROM fact1
+                UNION ALL SELECT {_SALES_SHOWN}, {_SECOND} FROM fact2""",
+            **sales, added=added, fact1=_sales_fact("first"), fact2=_sales_fact("added")),
+        "sales_load_counts": _with(
+            """SELECT (SELECT count(*) FROM first) + (SELECT count(*) FROM added)
+                  AS staging_inserted, CAST(0 AS BIGINT) AS staging_updated,
+                (SELECT count(*) FROM second) - (SELECT count(*) FROM added) AS staging_skipped,
+                (SELECT count(*) FROM lineitem WHERE l_orderkey % 499 = 0 AND l_shipdate <
+                  DATE '1999-01-01') + (SELECT count(*) FROM lineitem WHERE l_orderkey % 499 = 0
+                  AND l_shipdate >= DATE '1998-01-01') AS staging_rejected,
+                (SELECT count(*) FROM fact1) + (SELECT count(*) FROM fact2) AS fact_inserted,
+                CAST(0 AS BIGINT) AS fact_updated,
+                (SELECT count(*) FROM first) + (SELECT count(*) FROM added)
+                  - (SELECT count(*) FROM fact1) - (SELECT count(*) FROM fact2) AS fact_rejected,
+                CAST(0 AS BIGINT) AS factories_added, CAST(0 AS BIGINT) AS products_added""",
+            **sales, added=added, fact1=_sales_fact("first"), fact2=_sales_fact("added")),
+        "landed_sales_stream": loads["sales_fact_load"],
+    }
+
+
 _FACTORY_ASKS = """SELECT s_suppkey * 2 + c AS seq, CAST(s_suppkey AS VARCHAR) AS factory_code,
       CASE WHEN s_suppkey % 20 <> 9 OR c = 1 THEN 'New ' || s_suppkey || ' ' || c END AS factory_name,
       'Rep' AS salesman, s_suppkey % 2 = 0 AS is_active, FALSE AS has_onsite
@@ -724,4 +782,4 @@ def dimension_sql() -> dict[str, str]:
 
 
 def all_sql() -> dict[str, str]:
-    return {**report_sql(), **load_sql(), **dimension_sql()}
+    return {**report_sql(), **load_sql(), **dimension_sql(), **run_sql()}

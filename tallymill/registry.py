@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymill.params import DateRange
 from tallymill.operators.upsert import INSERTED, KEPT, insert_absent, upsert
@@ -16,8 +19,13 @@ from tallymill.plans import (
     dimension_changes, dimension_lists, dimension_refresh, extracts, facts, materials, monthly, product_mix, product_pivot,
     range_diff, staging, totals,
 )
+from tallymill.plans.loads import STATS, load_orders, load_sales
+from tallymill.schemas import ORDER_EXTRACT, SALES_EXTRACT
+from tallymill.session import shared_folder
+from tallymill.sources.landing import read_order_extract, read_sales_extract
 from tallymill.sources.sample import SampleWarehouse
-from tallymill.sources.tables import padded
+from tallymill.sources.tables import Store, padded
+from tallymill.streaming.landing import load_landed_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -240,6 +248,82 @@ def _incremental(w: SampleWarehouse) -> DataFrame:
     return rows.select(*_ORDER_SHOWN, _time_text("import_timestamp"))
 
 
+# --- Whole loads through files and stored tables ---
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+
+
+def _write_csv(extract: DataFrame, order: list[str], folder: str, schema: T.StructType) -> None:
+    """An extract as CSV files whose names sort in source order."""
+    extract.orderBy(*order).select(*schema.names).write.options(
+        header=True, quote='"', escape='"', emptyValue="").csv(folder)
+
+
+_ORDER_SOURCE = ["source_chunk", "source_row"]
+
+
+@lru_cache(maxsize=4)
+def _order_run(spark: SparkSession, folder: str) -> tuple[Store, list[DataFrame]]:
+    """Both order uploads, written as files and loaded one after the other.
+
+    Three queries look at the outcome of this one run.
+    """
+    w, root = SampleWarehouse(spark, folder), _scratch(spark)
+    store = Store(spark, f"{root}/warehouse")
+    store.append("dim_factory", w.dim_factory)
+    stats = []
+    for upload, now in ((1, FIRST), (2, SECOND)):
+        landed = f"{root}/orders-{upload}"
+        _write_csv(w.order_extract(upload), _ORDER_SOURCE, landed, ORDER_EXTRACT)
+        stats.append(load_orders(store, read_order_extract(spark, landed), now))
+    return store, stats
+
+
+def _sales_files(w: SampleWarehouse, upload: int, folder: str) -> None:
+    extract = w.sales_extract(upload).withColumn("code_order", F.col("sales_code"))
+    _write_csv(extract, ["code_order", "source_chunk", "source_row"], folder, SALES_EXTRACT)
+
+
+@lru_cache(maxsize=4)
+def _sales_run(spark: SparkSession, folder: str) -> tuple[Store, list[DataFrame]]:
+    w, root = SampleWarehouse(spark, folder), _scratch(spark)
+    store, stats = Store(spark, f"{root}/warehouse"), []
+    for upload, now in ((1, FIRST), (2, SECOND)):
+        landed = f"{root}/sales-{upload}"
+        _sales_files(w, upload, landed)
+        stats.append(load_sales(store, read_sales_extract(spark, landed), now))
+    return store, stats
+
+
+def _sales_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole sales extract, landed as files and loaded by the stream."""
+    w, root = SampleWarehouse(spark, folder), _scratch(spark)
+    _sales_files(w, 0, f"{root}/landed")
+    store = Store(spark, f"{root}/warehouse")
+    query = load_landed_sales(store, f"{root}/landed", f"{root}/progress")
+    query.awaitTermination()
+    return store.read("fact_sales").select(*_SALES_SHOWN)
+
+
+def _summed(stats: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, stats).agg(*[F.sum(c).alias(c) for c in STATS])
+
+
+def run_queries() -> dict[str, Query]:
+    shown = [*_ORDER_SHOWN, _time_text("import_timestamp"), _time_text("import_wh_timestamp")]
+    sold = [*_SALES_SHOWN, _time_text("import_timestamp")]
+    return {
+        "order_load": lambda s, f: _order_run(s, f)[0].read("fact_order").select(*shown),
+        "order_load_dimensions": lambda s, f: _order_run(s, f)[0].read("dim_factory"),
+        "order_load_counts": lambda s, f: _summed(_order_run(s, f)[1]),
+        "sales_load": lambda s, f: _sales_run(s, f)[0].read("fact_sales").select(*sold),
+        "sales_load_counts": lambda s, f: _summed(_sales_run(s, f)[1]),
+        "landed_sales_stream": _sales_stream,
+    }
+
+
 def load_queries() -> dict[str, Query]:
     def shown(build: Callable[[SampleWarehouse], DataFrame], *columns: str) -> Query:
         return _on_sample(lambda w: build(w).select(*columns))
@@ -325,4 +409,4 @@ def dimension_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return {**report_queries(), **load_queries(), **dimension_queries()}
+    return {**report_queries(), **load_queries(), **dimension_queries(), **run_queries()}

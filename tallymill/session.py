@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +30,28 @@ def session(app: str = "tallymill", master: str | None = None, **extra: str) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in `spark.checkpoint.dir`, which all executors share.
+
+    Only a local master, where driver and executors share one disk, may fall back to a
+    folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallymill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the cluster's shared folder, so that lost executors cost no recompute.
+    """Write `df` to the shared folder and go on from there.
 
-    The folder is the one named in `spark.checkpoint.dir`. Only a local master, where
-    driver and executors share one disk, may fall back to a folder of its own.
+    Lost executors then cost no recompute, later reads take only the columns they need, and
+    Spark knows the true size when it picks a join.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tallymill-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/tallymill/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
