@@ -312,13 +312,16 @@ def _summed(stats: list[DataFrame]) -> DataFrame:
 
 
 def run_queries() -> dict[str, Query]:
-    shown = [*_ORDER_SHOWN, _time_text("import_timestamp"), _time_text("import_wh_timestamp")]
-    sold = [*_SALES_SHOWN, _time_text("import_timestamp")]
+    def stored(df: DataFrame, columns: list[str], *times: str) -> DataFrame:
+        return df.select(*columns, *map(_time_text, times))
+
     return {
-        "order_load": lambda s, f: _order_run(s, f)[0].read("fact_order").select(*shown),
+        "order_load": lambda s, f: stored(_order_run(s, f)[0].read("fact_order"), _ORDER_SHOWN,
+                                          "import_timestamp", "import_wh_timestamp"),
         "order_load_dimensions": lambda s, f: _order_run(s, f)[0].read("dim_factory"),
         "order_load_counts": lambda s, f: _summed(_order_run(s, f)[1]),
-        "sales_load": lambda s, f: _sales_run(s, f)[0].read("fact_sales").select(*sold),
+        "sales_load": lambda s, f: stored(_sales_run(s, f)[0].read("fact_sales"), _SALES_SHOWN,
+                                          "import_timestamp"),
         "sales_load_counts": lambda s, f: _summed(_sales_run(s, f)[1]),
         "landed_sales_stream": _sales_stream,
     }
