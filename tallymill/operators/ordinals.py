@@ -2,7 +2,9 @@
 
 A plain `row_number()` per key sends all rows of a key to one task. Here rows are numbered
 within (key, chunk), where a chunk is a bounded run of the source order, and the number of
-rows in the key's earlier chunks is added. Only chunk sizes are ever gathered per key.
+rows in the key's earlier chunks is added. Only chunk sizes are ever gathered per key, and
+only keys that span several chunks take part in the join: where chunks are files or file
+blocks those are few, and Spark broadcasts them.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ def ordinal_in_key(df: DataFrame, key: str, chunk: str, row: str, name: str) ->
     inside = Window.partitionBy(key, chunk).orderBy(row)
     earlier = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     before = df.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("chunk_rows")).select(
-        key, chunk, F.coalesce(F.sum("chunk_rows").over(earlier), F.lit(0)).alias("rows_before"))
-    numbered = df.withColumn(name, F.row_number().over(inside))
-    return numbered.join(before, [key, chunk]).withColumn(
-        name, F.col(name) + F.col("rows_before")).drop("rows_before")
+        key, chunk, F.sum("chunk_rows").over(earlier).alias("rows_before")
+    ).filter(F.col("rows_before").isNotNull())
+    numbered = df.withColumn(name, F.row_number().over(inside).cast("bigint"))
+    return numbered.join(before, [key, chunk], "left").withColumn(
+        name, F.col(name) + F.coalesce("rows_before", F.lit(0))).drop("rows_before")
 
 
 def number_after(df: DataFrame, column: str, start: Column, name: str,

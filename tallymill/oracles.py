@@ -741,6 +741,10 @@ def dimension_sql() -> dict[str, str]:
         "factory_lookup": _sql("dim_factory", """SELECT CAST(s_suppkey AS VARCHAR) AS factory_code,
             factory_name, salesman, is_active, has_onsite, factory_name IS NOT NULL AS found
             FROM supplier LEFT JOIN dim_factory ON factory_code = CAST(s_suppkey AS VARCHAR)"""),
+        "blueprint_lookup": _sql("blueprint", """SELECT asked.id, name, type, file_size, CASE WHEN
+            file_path LIKE '/app/media/%' THEN '/dw-media/' || substr(file_path, 12) END AS file_url,
+            blueprint.id IS NOT NULL AS found FROM (SELECT DISTINCT id FROM asks) asked
+            LEFT JOIN blueprint ON blueprint.id = asked.id""", **_BLUEPRINT_PATCH),
         "factory_insert": _sql("dim_factory", """SELECT * FROM dim_factory UNION ALL BY NAME
             SELECT * EXCLUDE (seq, outcome) FROM judged WHERE outcome = 'created'""",
                                **_FACTORY_INSERT),

@@ -1,4 +1,4 @@
-"""Calendar slices that reports join to facts.
+"""The date dimension, and the slices of it that reports join to facts.
 
 A slice holds at most one row per day of the asked range. It carries no broadcast
 hint: Spark broadcasts it because its size is known to be small.
@@ -8,12 +8,27 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.params import DateRange, month_end
 
 
+def calendar_days(spark: SparkSession, span: DateRange) -> DataFrame:
+    """Rows of `dim_date` for a range: ISO weeks, weekdays from Monday = 1."""
+    days = F.sequence(F.lit(span.start), F.lit(span.end))
+    date = F.col("date")
+    return spark.range(0, 1, 1, 1).select(F.explode(days).alias("date")).select(
+        "date",
+        F.year(date).alias("year"),
+        F.quarter(date).alias("quarter"),
+        F.month(date).alias("month"),
+        F.weekofyear(date).alias("week_of_year"),
+        (F.weekday(date) + 1).alias("day_of_week"),
+        F.dayofmonth(date).alias("day"),
+    )
+
+
 def day_window(dim_date: DataFrame, days: tuple[int, int], months: tuple[int, int],
                year: int) -> DataFrame:
     """`calendar_date, month` of the days in a day window of some months of one year."""

@@ -65,8 +65,11 @@ def public_url(path: Column) -> Column:
 def list_blueprints(blueprint: DataFrame, factory: str | None = None) -> DataFrame:
     """Blueprints, newest first, with their public address."""
     rows = where_equal(blueprint, "factory", factory)
-    return rows.withColumn("file_url", public_url(F.col("file_path"))).orderBy(
-        F.desc("created_at"), "id")
+    return _with_url(rows).orderBy(F.desc("created_at"), "id")
+
+
+def _with_url(blueprint: DataFrame) -> DataFrame:
+    return blueprint.withColumn("file_url", public_url(F.col("file_path")))
 
 
 def look_up(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -74,3 +77,8 @@ def look_up(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     known = table.withColumn("found", F.lit(True))
     return keys.select(key).join(known, key, "left").withColumn(
         "found", F.coalesce("found", F.lit(False)))
+
+
+def look_up_blueprints(keys: DataFrame, blueprint: DataFrame) -> DataFrame:
+    """D7 for blueprints: with their public address."""
+    return _with_url(look_up(keys, blueprint, "id"))

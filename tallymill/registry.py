@@ -22,7 +22,7 @@ from tallymill.plans import (
 from tallymill.plans.loads import STATS, load_orders, load_sales
 from tallymill.schemas import ORDER_EXTRACT, SALES_EXTRACT
 from tallymill.session import shared_folder
-from tallymill.sources.landing import read_order_extract, read_sales_extract
+from tallymill.sources.landing import admit, read_order_extract, read_sales_extract
 from tallymill.sources.sample import SampleWarehouse
 from tallymill.sources.tables import Store, padded
 from tallymill.streaming.landing import load_landed_sales
@@ -307,6 +307,13 @@ def _sales_stream(spark: SparkSession, folder: str) -> DataFrame:
     return store.read("fact_sales").select(*_SALES_SHOWN)
 
 
+def _admission(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample files themselves, judged as if they had landed."""
+    accepted, refused = admit(spark, folder)
+    return accepted.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(
+        refused).select(F.substring_index("path", "/", -1).alias("file"), "file_size", "reject_reason")
+
+
 def _summed(stats: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, stats).agg(*[F.sum(c).alias(c) for c in STATS])
 
@@ -324,6 +331,7 @@ def run_queries() -> dict[str, Query]:
                                           "import_timestamp"),
         "sales_load_counts": lambda s, f: _summed(_sales_run(s, f)[1]),
         "landed_sales_stream": _sales_stream,
+        "landing_admission": _admission,
     }
 
 
@@ -393,6 +401,9 @@ def dimension_queries() -> dict[str, Query]:
             "id", "factory", "type", "file_url")),
         "factory_lookup": _on_sample(lambda w: lists.look_up(
             w.factory_requests().select("factory_code").distinct(), w.dim_factory, "factory_code")),
+        "blueprint_lookup": _on_sample(lambda w: lists.look_up_blueprints(
+            w.blueprint_patches().select("id").distinct(), w.blueprint).select(
+            "id", "name", "type", "file_size", "file_url", "found")),
         **both("factory_insert", lambda w: changes.insert_factories(
             w.dim_factory, w.factory_requests())),
         **both("factory_patch", lambda w: changes.patch_factories(

@@ -87,11 +87,6 @@ CALENDAR_FIELDS = ["year", "quarter", "month", "week_of_year", "day_of_week", "d
 
 PRODUCTION_LINES = ["PALLET", "HANGING", "ROLLER"]
 
-PRODUCT_TYPES = [
-    "成品溶劑DUNG MOI TP", "底漆 LOT", "水性SON NUOC", "色母SON CAI", "木調色PM GO",
-    "補土 BOT TRET", "半成品BAN THANHPHAM", "助劑PHU GIA", "原料溶劑 NL DUNG MOI", "面漆 BONG",
-    "色精TINH MAU", "粉類 BOT", "硬化劑chat cung", "烤調色PM HAP",
-]
 THINNER_TYPES = ["原料溶劑 NL DUNG MOI", "成品溶劑DUNG MOI TP"]
 PAINT_TYPES = ["烤調色PM HAP", "木調色PM GO", "底漆 LOT", "面漆 BONG"]
 

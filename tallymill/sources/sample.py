@@ -12,6 +12,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.params import DateRange
+from tallymill.plans.calendars import calendar_days
+
 # Columns of the sample files that the mapping uses. Stated, so that no job
 # has to read a footer for them.
 SAMPLE_SCHEMAS = {
@@ -45,18 +48,7 @@ class SampleWarehouse:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        days = F.explode(F.sequence(F.lit("1995-01-01").cast("date"),
-                                    F.lit("2001-12-31").cast("date")))
-        date = F.col("date")
-        return self._spark.range(0, 1, 1, 1).select(days.alias("date")).select(
-            "date",
-            F.year(date).alias("year"),
-            F.quarter(date).alias("quarter"),
-            F.month(date).alias("month"),
-            F.weekofyear(date).alias("week_of_year"),
-            (F.weekday(date) + 1).alias("day_of_week"),
-            F.dayofmonth(date).alias("day"),
-        )
+        return calendar_days(self._spark, DateRange.of("1995-01-01", "2001-12-31"))
 
     @cached_property
     def dim_factory(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymill.params import DateRange, code_list, number_list, rest_of_month
 from tallymill.plans import extracts, materials, monthly, product_mix, product_pivot, range_diff, totals
-from tallymill.plans.calendars import year_spans
+from tallymill.plans.calendars import calendar_days, year_spans
 from tallymill.schemas import TABLES
 
 SALES = "sales_date string, factory_code string, product_name string, product_code string, " \
@@ -40,12 +40,7 @@ def factories(spark, *codes):
 
 @pytest.fixture(scope="module")
 def days(spark):
-    day = F.col("date")
-    return spark.sql(
-        "SELECT explode(sequence(DATE'2022-01-01', DATE'2024-12-31')) AS date").select(
-        "date", F.year(day).alias("year"), F.quarter(day).alias("quarter"),
-        F.month(day).alias("month"), F.weekofyear(day).alias("week_of_year"),
-        (F.weekday(day) + 1).alias("day_of_week"), F.dayofmonth(day).alias("day")).cache()
+    return calendar_days(spark, DateRange.of("2022-01-01", "2024-12-31")).cache()
 
 
 def rows(df, *columns):
