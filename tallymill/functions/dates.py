@@ -10,26 +10,23 @@ from pyspark.sql import functions as F
 
 from tallymill.params import DateRange
 
-# Accepted cell forms and how to read them. Day before month; ISO as
-# spreadsheets export it, with or without a time.
-DATE_FORMS = {
-    r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy",
-    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
-}
+# Accepted cell forms. Day before month; ISO as spreadsheets export it, with
+# or without a time.
+DAY_FIRST = r"\d{1,2}/\d{1,2}/\d{4}"
+ISO = r"\d{4}-\d{2}-\d{2}( ([01]\d|2[0-3]):[0-5]\d:[0-5]\d)?"
 
 MONTH_SUFFIX = "_month"
 
 
 def parse_day_first(text: Column) -> Column:
-    """Date from text, null where no accepted form matches.
+    """Date from text, null where no accepted form matches or the day does not exist.
 
-    The shape picks the one form to read: a failed reading costs far more than a match.
+    The parts are put in ISO order and cast, which is several times as fast as reading
+    each cell with a date pattern.
     """
-    day = F.lit(None).cast("date")
-    for shape, form in DATE_FORMS.items():
-        day = F.when(text.rlike(shape), F.try_to_date(text, form)).otherwise(day)
-    return day
+    day, month, year = (F.split_part(text, F.lit("/"), F.lit(n)) for n in (1, 2, 3))
+    iso = F.when(text.contains("/"), F.concat_ws("-", year, month, day)).otherwise(text)
+    return F.when(text.rlike(f"^({DAY_FIRST}|{ISO})$"), iso.try_cast("date"))
 
 
 def timestamp_literal(moment: datetime) -> Column:

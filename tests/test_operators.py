@@ -41,8 +41,10 @@ def test_texts(spark):
     assert evaluate(spark, ["", "NA", "nan", "x", " "], "string", missing_to_null) == [
         None, None, None, "x", " "]
     got = evaluate(spark, ["1/3/2024", "31/12/2024", "2024-03-01", "2024-03-01 10:00:00", "32/1/2024",
-                           "3/1", "junk", None], "string", lambda c: parse_day_first(c).cast("string"))
-    assert got == ["2024-03-01", "2024-12-31", "2024-03-01", "2024-03-01", None, None, None, None]
+                           "3/1", "junk", None, "1/2/2024/3", "2024-03-01 25:00:00", "29/2/2023",
+                           "29/02/2024", "2024-3-1"], "string", lambda c: parse_day_first(c).cast("string"))
+    assert got == ["2024-03-01", "2024-12-31", "2024-03-01", "2024-03-01", None, None, None, None,
+                   None, None, None, "2024-02-29", None]
 
 
 def test_ordinals_with_a_hot_key(spark):
