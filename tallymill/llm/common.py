@@ -57,13 +57,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _letters() -> np.ndarray:
-    values = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
-    values[65:91] = values[97:123]
-    return values
-
-
-_LETTERS = _letters()
+_LETTERS = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
+_FOLDED = _LETTERS.copy()
+_FOLDED[65:91] = _LETTERS[97:123]
 _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(LONG_WORD, _ODD, np.uint64))])
 
 
@@ -91,27 +87,30 @@ class FlatWords:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word, A-Z taken as a-z."""
+    def hashes(self, fold: bool = True, limit: int | None = None) -> np.ndarray:
+        """64 bits for each word, or its first `limit` bytes; with `fold`, A-Z are taken as a-z."""
         out = np.zeros(len(self.start), np.uint64)
         size = self.end - self.start
+        if limit is not None:
+            size = np.minimum(size, limit)
         runs = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + SLICE_BYTES, SLICE_BYTES))
         for a, b in zip(runs, np.append(runs[1:], len(size))):
             if a < b:
-                out[a:b] = self._run_hashes(self.start[a:b], size[a:b])
+                out[a:b] = self._run_hashes(self.start[a:b], size[a:b], fold)
         return mix(out + size.astype(np.uint64))
 
-    def _run_hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _run_hashes(self, start: np.ndarray, size: np.ndarray, fold: bool) -> np.ndarray:
         out = np.zeros(len(start), np.uint64)
         short = size <= LONG_WORD
         for i in np.flatnonzero(~short):
-            word = self.data[start[i]:start[i] + size[i]].tobytes().lower()
+            word = self.data[start[i]:start[i] + size[i]].tobytes()
+            word = word.lower() if fold else word
             out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         start, size = start[short], size[short]
         if len(size):
             begin = np.cumsum(size) - size
             place = np.arange(size.sum()) - np.repeat(begin, size)
-            letters = _LETTERS[self.data[place + np.repeat(start, size)]]
+            letters = (_FOLDED if fold else _LETTERS)[self.data[place + np.repeat(start, size)]]
             out[short] = np.add.reduceat(letters * _POWERS[place], begin)
         return out
 

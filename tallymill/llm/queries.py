@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymill.llm import decontaminate, quality_rules, url_filter
+from tallymill.llm import bpe, decontaminate, html_text, quality_rules, token_counts, toxicity, url_filter, warc
 from tallymill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,14 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
              ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), ["doc_id"]).drop("ids")
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filter.RULE_SCHEMA)
     return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
@@ -25,9 +34,28 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents"), ["doc_id"])
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return warc.archived(pages).select(
+        F.col("id").cast(pages.schema["page_id"].dataType).alias("page_id"), "payload_bytes",
+        "payload_digest", "record_type", F.col("refers_to").cast(
+            pages.schema["page_id"].dataType).alias("refers_to"))
+
+
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_url_filter, op6_quality_rules, op8_decontaminate)}
+    return {f.__name__: f for f in (
+        op1_token_counts, op4_bpe, op5_url_filter, op6_quality_rules, op7_toxicity,
+        op8_decontaminate, op9_warc, op10_html_text)}
