@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, html_text, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
+from tallymill.llm import bpe, decontaminate, html_text, ngram_join, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
 from tallymill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.removed(table(spark, folder, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_documents(table(spark, folder, "documents"))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), ["doc_id"]).drop("ids")
 
@@ -61,5 +65,5 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_token_counts, op2_substring_dedup, op4_bpe, op5_url_filter, op6_quality_rules, op7_toxicity,
+        op1_token_counts, op2_substring_dedup, op3_ngram_join, op4_bpe, op5_url_filter, op6_quality_rules, op7_toxicity,
         op8_decontaminate, op9_warc, op10_html_text)}
