@@ -8,7 +8,7 @@ shingles within one comparison:
 1. Documents with equal sets are one class (128-bit digests of the sets); the smallest id stands
    for it. Copies cost nothing further.
 2. Shingles are ordered from rare to frequent, frequencies being counted over all classes for a
-   quarter of the shingle space (the rest follows in digest order, without counting). Two sets that
+   part of the shingle space (the rest follows in digest order, without counting). Two sets that
    link share one of the first n - ceil(percent n) + 1 shingles of both, so only those make
    candidates; boilerplate shared by many documents is at the end of the order and makes none.
 3. Sizes of linked sets are within `percent` of each other, so candidates meet by shingle and
@@ -23,8 +23,9 @@ shingles within one comparison:
 6. Components of hub links and block links.
 
 Null, empty and blank texts have empty sets and link with nothing. Rows without an id link with
-nothing and get no component. Rows that repeat an id with other text are compared row by row. An
-empty table gives an empty result; other columns are ignored.
+nothing and get no component. Repeated rows count once. Of rows
+that share an id but not the text one text stands for the id in links; the others are only put together
+with equal sets. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +45,6 @@ from tallymill.session import durable
 
 SHINGLE = 4
 PERCENT = 85
-# Shingle digests below this are counted: a quarter of all, more than prefixes take.
-COUNTED = 1 << 62
 BLOCK = 400_000
 CHUNK = 2_048
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64))
@@ -82,6 +81,19 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
+def counted_below(percent: int) -> int:
+    """Digests below this are counted: five thirds of the share of shingles that a prefix takes,
+    so that a set may be boilerplate for two fifths and still have a prefix without any."""
+    return min(2 ** 63 - 1, 2 ** 64 * 5 * (100 - percent) // 300)
+
+
+def signatures(values: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two digests of each set that do not depend on the order of its shingles."""
+    ends = np.cumsum(n)
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values + f))]) for f in _FACTORS[-2:]]
+    return [mix(s[ends] - s[ends - n] + n.astype(np.uint64)).view(np.int64) for s in sums]
+
+
 def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: set size, digests of the set, and its smallest shingle digests."""
 
@@ -89,11 +101,9 @@ def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
         for batch in batches:
             for part in slices(batch):
                 values, n = shingle_sets(part.column("text"), size)
-                ends = np.cumsum(n)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values + f))]) for f in _FACTORS[-2:]]
-                sig = [mix(s[ends] - s[ends - n] + n.astype(np.uint64)).view(np.int64) for s in sums]
+                ends, sig = np.cumsum(n), signatures(values, n)
                 prefix = np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
-                below = np.concatenate([[0], np.cumsum(values < np.uint64(COUNTED))])
+                below = np.concatenate([[0], np.cumsum(values < np.uint64(counted_below(percent)))])
                 counted = below[ends] - below[ends - n]
                 kept = np.maximum(prefix, counted)
                 place = np.arange(len(values)) - np.repeat(ends - n, n)
@@ -118,7 +128,7 @@ def candidates(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         F.count(F.lit(1)).alias("frequency")).where("frequency > 1"))
     shared = tokens.join(frequencies, "token")
     own = Window.partitionBy("rep")
-    tail = ~F.col("token").between(0, COUNTED - 1)
+    tail = ~F.col("token").between(0, counted_below(percent) - 1)
     shared = shared.withColumns({
         "uniq": F.col("counted") - F.sum(F.when(tail, 0).otherwise(1)).over(own),
         "place": F.row_number().over(own.orderBy(tail, "frequency", "token"))})
@@ -143,7 +153,8 @@ def groups(meeting: DataFrame) -> DataFrame:
 
 def member_sets(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int) -> DataFrame:
     """The whole sets of grouped classes, written."""
-    wanted = durable(grouped.join(classes.select("rep", "sig1", "sig2"), "rep"))
+    wanted = durable(grouped.join(classes, "rep"))
+    carried = ["rep", "grp", "uniq", "n", "home"]
     schema = ("rep long, grp long, uniq int, n int, home long, shingles array<long>, "
               "right boolean")
 
@@ -151,14 +162,17 @@ def member_sets(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: i
         for batch in batches:
             for part in slices(batch):
                 values, n = shingle_sets(part.column("text"), size)
-                same = pa.array(n == part.column("n").to_numpy())
+                # A row that shares the id has another text.
+                right = [a == part.column(c).to_numpy() for a, c in zip(
+                    signatures(values, n), ("sig1", "sig2"))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("rep", "grp", "uniq", "n", "home")), _lists(values, n), same],
-                    ["rep", "grp", "uniq", "n", "home", "shingles", "right"])
+                    [*(part.column(c) for c in carried), _lists(values, n), pa.array(right[0] & right[1])],
+                    [*carried, "shingles", "right"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(if_small(wanted), "rep")
-    return durable(rows.select("rep", "grp", F.col("uniq").cast("int").alias("uniq"), "n", "home",
-                               "text").mapInArrow(run, schema).where("right").drop("right"))
+    found = rows.select(*carried[:2], F.col("uniq").cast("int").alias("uniq"), *carried[3:], "sig1",
+                        "sig2", "text").mapInArrow(run, schema)
+    return durable(found.where("right").drop("right"))
 
 
 def hub_links(members: DataFrame, percent: int) -> DataFrame:
@@ -259,22 +273,58 @@ def block_links(members: DataFrame, hubs: DataFrame, meeting: DataFrame, percent
     return tasks.groupBy("grp", "b1", "b2").applyInArrow(run, "a long, b long")
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    return durable(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+
+
+def without_repeated_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """`docs` with one of each rows alike in id and digests (or `columns`). Only rows whose id is
+    repeated are shuffled."""
+    ids = repeated_ids(docs)
+    if ids.isEmpty():
+        return docs
+    return docs.join(if_small(ids), "doc_id", "left_anti").unionByName(
+        docs.join(if_small(ids), "doc_id", "left_semi").dropDuplicates(
+            ["doc_id", *(columns or ("sig1", "sig2"))]))
+
+
 def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     found = durable(sets(docs, size, percent))
     classes = durable(found.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(
         F.min("doc_id").alias("rep")))
-    meeting = candidates(found, classes, percent)
+    # An id stands for one set only.
+    standing = durable(classes.groupBy("rep").agg(F.min(F.struct("sig1", "sig2")).alias("sig")).select(
+        "rep", "sig.*"))
+    meeting = candidates(without_repeated_rows(found), standing, percent)
     grouped = groups(meeting)
-    members = member_sets(docs, classes, grouped, size)
+    members = member_sets(without_repeated_rows(docs, "text"), standing, grouped, size)
     hubs = hub_links(members, percent)
     links = hubs.where("linked").select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(
         block_links(members, hubs, meeting, percent))
     reached = components(links)
-    of_class = durable(classes.join(reached, F.col("rep") == F.col("id"), "left").select(
+    reached = standing.join(reached, F.col("rep") == F.col("id")).select("sig1", "sig2", "component")
+    of_class = durable(classes.join(reached, ["sig1", "sig2"], "left").select(
         "sig1", "sig2", F.coalesce("component", "rep").alias("component")))
     return found.join(if_small(of_class), ["sig1", "sig2"], "left").select(
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).cast(
             docs.schema["doc_id"].dataType).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of their component; one row for each id.
+
+    Rows without an id and rows without words stay.
+    """
+    linked = linked_documents(docs, size, percent)
+    flags = durable(linked.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        F.min(F.col("component_id") != F.col("doc_id")).alias("__gone")).where("__rows > 1 or __gone"))
+    marked = docs.join(if_small(flags), F.col("doc_id") == F.col("__id"), "left").where(
+        ~F.coalesce("__gone", F.lit(False)))
+    repeated = flags.where("__rows > 1 and not __gone").isEmpty()
+    kept = marked if repeated else marked.where("__id is null").unionByName(
+        marked.where("__id is not null").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
