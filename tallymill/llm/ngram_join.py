@@ -298,7 +298,7 @@ def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
         "rep", "sig.*"))
     meeting = candidates(without_repeated_rows(found), standing, percent)
     grouped = groups(meeting)
-    members = member_sets(without_repeated_rows(docs, "text"), standing, grouped, size)
+    members = member_sets(without_repeated_rows(docs.select("doc_id", "text"), "text"), standing, grouped, size)
     hubs = hub_links(members, percent)
     links = hubs.where("linked").select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(
         block_links(members, hubs, meeting, percent))

@@ -131,14 +131,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, least: int = LEAST,
     Texts without a repeat stay as they are; documents of which only white space is left go.
     """
     spans = durable(repeated_spans(docs, window, least).groupBy("doc_key").agg(
-        F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans")).withColumnRenamed(
+        F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("__spans")).withColumnRenamed(
         "doc_key", "__key"))
     hit = docs.withColumn("__doc", F.xxhash64("doc_id", "text")).join(
         if_small(spans), F.col("__doc") == F.col("__key"), "left")
     # Kept pieces: from the end of each span (or the start) to the begin of the next (or the end).
-    count = F.size("spans")
-    begins = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("spans", lambda s: s["begin"]), F.array(F.length("text")))
+    count = F.size("__spans")
+    begins = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("__spans", lambda s: s["begin"]), F.array(F.length("text")))
     pieces = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
     text = F.when(count > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
     out = hit.withColumn("__text", text).where(

@@ -59,9 +59,12 @@ def expressions(places: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
-    """`urls` with host, path, rule (host and path as one text, else null) and verdict."""
+    """`urls` with host, path, rule (host and path as one text, else null) and verdict.
+
+    Columns of `urls` with these names are replaced.
+    """
     host, path = host_and_path(F.col(url))
-    placed = urls.withColumns({"host": host, "path": path})
+    placed = urls.withColumns({"host": host, "path": path}).drop("rule", "verdict")
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
     lengths = rules.agg(F.array_sort(F.collect_set(F.length("rule_path"))))
     known = _hashed(rules, "rule_host", "rule_path").withColumnRenamed("digest", "rule_digest")
