@@ -105,7 +105,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) ->
     cut = durable(units(docs, window))
     firsts = durable(cut.groupBy("digest").agg(
         F.min("doc_rank").alias("kept_rank"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    later = cut.join(if_small(firsts), "digest").where(
+    # Repeated digests grow with the corpus: both sides are shuffled, and a hot one is split.
+    later = cut.join(firsts, "digest").where(
         F.col("again") | (F.col("kept_rank") < F.col("doc_rank")))
     rows = later.repartition("doc_key").dropDuplicates(["doc_key", "unit"])
     place = F.row_number().over(Window.partitionBy("doc_key").orderBy("unit"))
