@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tallymill.params import DateRange
 
-# Accepted cell forms. Day before month; ISO as spreadsheets export it, with
-# or without a time.
-DAY_FIRST = r"\d{1,2}/\d{1,2}/\d{4}"
-ISO = r"\d{4}-\d{2}-\d{2}( ([01]\d|2[0-3]):[0-5]\d:[0-5]\d)?"
+# Accepted cell forms. Day before month, or year first; one separator of three;
+# an optional time.
+DAY_FIRST = r"\d{1,2}(?<a>[/.-])\d{1,2}\k<a>\d{4}"
+YEAR_FIRST = r"\d{4}(?<b>[/.-])\d{1,2}\k<b>\d{1,2}"
+TIME = r"([ T]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d([.]\d+)?)?)?"
 
 MONTH_SUFFIX = "_month"
 
@@ -24,9 +25,11 @@ def parse_day_first(text: Column) -> Column:
     The parts are put in ISO order and cast, which is several times as fast as reading
     each cell with a date pattern.
     """
-    day, month, year = (F.split_part(text, F.lit("/"), F.lit(n)) for n in (1, 2, 3))
-    iso = F.when(text.contains("/"), F.concat_ws("-", year, month, day)).otherwise(text)
-    return F.when(text.rlike(f"^({DAY_FIRST}|{ISO})$"), iso.try_cast("date"))
+    parts = F.translate(F.regexp_extract(text, "^[0-9./-]+", 0), "./", "--")
+    a, b, c = (F.split_part(parts, F.lit("-"), F.lit(n)) for n in (1, 2, 3))
+    iso = F.when(F.length(a) == 4, F.concat_ws("-", a, b, c)).otherwise(F.concat_ws("-", c, b, a))
+    return F.when(text.rlike(f"^({DAY_FIRST}|{YEAR_FIRST}){TIME}$"),
+                  iso.try_cast("date"))
 
 
 def timestamp_literal(moment: datetime) -> Column:

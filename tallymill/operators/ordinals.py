@@ -9,23 +9,26 @@ blocks those are few, and Spark broadcasts them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordinal_in_key(df: DataFrame, key: str, chunk: str, row: str, name: str) -> DataFrame:
-    """Add `name`: 1, 2, ... within `key` in the order of (`chunk`, `row`).
+def ordinal_in_key(df: DataFrame, key: Sequence[str], chunk: str, row: str,
+                   name: str) -> DataFrame:
+    """Add `name`: 1, 2, ... within the `key` columns in the order of (`chunk`, `row`).
 
-    `key` must not be null. `chunk` must sort in source order and depend on the source row
+    The key must not be null. `chunk` must sort in source order and depend on the source row
     alone, so that both readings of the source agree on it.
     """
-    inside = Window.partitionBy(key, chunk).orderBy(row)
-    earlier = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    before = df.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("chunk_rows")).select(
-        key, chunk, F.sum("chunk_rows").over(earlier).alias("rows_before")
+    inside = Window.partitionBy(*key, chunk).orderBy(row)
+    earlier = Window.partitionBy(*key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    before = df.groupBy(*key, chunk).agg(F.count(F.lit(1)).alias("chunk_rows")).select(
+        *key, chunk, F.sum("chunk_rows").over(earlier).alias("rows_before")
     ).filter(F.col("rows_before").isNotNull())
     numbered = df.withColumn(name, F.row_number().over(inside).cast("bigint"))
-    return numbered.join(before, [key, chunk], "left").withColumn(
+    return numbered.join(before, [*key, chunk], "left").withColumn(
         name, F.col(name) + F.coalesce("rows_before", F.lit(0))).drop("rows_before")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +21,26 @@ def page(df: DataFrame, keys: Sequence[str], number: int = 1, size: int = PAGE_S
     """Page `number` (from 1) in key order, with the count of the whole list on each row.
 
     The order makes pages repeatable and lets Spark keep only the first
-    `number * size` rows of each task.
+    `number * size` rows of each task; for deep pages use `page_after`.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     rows = df.orderBy(*keys).offset((number - 1) * size).limit(size)
     return rows.withColumn("total_count", row_count(df).scalar())
+
+
+def page_after(df: DataFrame, last: Mapping[str, Any], size: int = PAGE_SIZE) -> DataFrame:
+    """The page after the row whose key columns, in key order, have the values `last`.
+
+    Rows up to that key are filtered out, so a page costs `size` rows of each task however deep it
+    lies. Keys must not be null.
+    """
+    if size < 1:
+        raise ValueError("page size starts at 1")
+    keys = list(last)
+    beyond = reduce(
+        lambda rest, k: (F.col(k) > F.lit(last[k])) | ((F.col(k) == F.lit(last[k])) & rest),
+        reversed(keys), F.lit(False))
+    # Implied by `beyond`, and in a form that scans use to skip rows.
+    rows = df.filter(F.col(keys[0]) >= F.lit(last[keys[0]])).filter(beyond)
+    return rows.orderBy(*keys).limit(size)

@@ -53,5 +53,10 @@ def upsert(current: DataFrame, new: DataFrame, key: str,
 
 
 def insert_absent(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of `new` whose key is not in `current`; `new` holds one row per key."""
-    return new.join(current.select(key), key, "left_anti")
+    """Rows of `new` whose key is not in `current`; `new` holds one row per key.
+
+    The stored keys are first reduced to those that `new` has: where `new` is a small written
+    batch, Spark broadcasts its keys and does not shuffle the stored ones.
+    """
+    known = current.select(key).join(new.select(key), key, "left_semi")
+    return new.join(known, key, "left_anti")

@@ -6,6 +6,12 @@ Each text names the sample tables it needs; `_sql` puts their definitions in fro
 from __future__ import annotations
 
 from tallymill.registry import PARAMS as P
+from tallymill.schemas import TABLES
+
+
+def _known_or_not(key: str) -> str:
+    return f"CAST(CASE WHEN {key} % 10 = 9 THEN {key} + 1000000 ELSE {key} END AS VARCHAR)"
+
 
 _TABLES = {
     "dim_date": """SELECT CAST(d AS DATE) AS date, CAST(year(d) AS INT) AS year,
@@ -15,22 +21,36 @@ _TABLES = {
         FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 DAY) t(d)""",
     "dim_factory": """SELECT CAST(s_suppkey AS VARCHAR) AS factory_code, s_name AS factory_name,
         'Rep ' || CAST(s_nationkey AS VARCHAR) AS salesman, s_suppkey % 4 <> 0 AS is_active,
-        s_suppkey % 3 = 0 AS has_onsite FROM supplier WHERE s_suppkey % 10 <> 9""",
+        s_suppkey % 3 = 0 AS has_onsite FROM supplier""",
     "dim_product": """SELECT p_partkey AS id,
         p_name || ' #' || CAST(p_partkey AS VARCHAR) AS product_name,
         p_type AS product_type, p_brand AS qc FROM part""",
-    "fact_sales": """SELECT CAST(l_orderkey AS VARCHAR) AS order_code,
-        CAST(l_suppkey AS VARCHAR) AS factory_code, CAST(l_partkey AS VARCHAR) AS product_code,
-        p_name || ' #' || CAST(l_partkey AS VARCHAR) AS product_name,
-        CAST(l_shipdate AS DATE) AS sales_date, l_quantity AS sales_quantity
+    "fact_sales": f"""SELECT CAST(l_orderkey AS VARCHAR) AS order_code,
+        {_known_or_not("l_suppkey")} AS factory_code, CAST(l_partkey AS VARCHAR) AS product_code,
+        p_name || ' #' || CAST(l_partkey AS VARCHAR) AS product_name, p_brand AS qc,
+        CAST(l_shipdate AS DATE) AS sales_date,
+        '2301-' || l_orderkey || '-' || l_linenumber AS sales_code, l_quantity AS sales_quantity,
+        'kg' AS unit, floor(l_quantity / 4) AS package_sales_quantity,
+        CASE WHEN p_size < 25 THEN 'can' ELSE 'drum' END AS package_unit,
+        'D' || l_suppkey % 7 AS department, 'Rep ' || l_suppkey % 25 AS salesman,
+        'W' || l_returnflag AS warehouse_code, l_linestatus AS warehouse_type,
+        CAST(CAST(l_shipdate AS DATE) + 1 AS VARCHAR) || ' 00:00:00' AS import_timestamp
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
-    "fact_order": """SELECT CAST(o_orderkey AS VARCHAR) AS order_code,
-        CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR) AS factory_code,
+    "fact_order": f"""SELECT CAST(o_orderkey AS VARCHAR) AS order_code,
+        {_known_or_not("(o_custkey % (SELECT count(*) FROM supplier))")} AS factory_code,
+        'F' || o_custkey % 5 AS factory_order_code, o_orderpriority AS tax_type,
+        'D' || o_custkey % 7 AS department, 'Rep ' || o_custkey % 25 AS salesman,
+        CAST(o_orderkey % 5 * 0.25 AS DOUBLE) AS deposit_rate,
+        'Street ' || o_custkey AS delivery_address,
         CAST(p_partkey AS VARCHAR) AS product_code,
-        p_name || ' #' || CAST(p_partkey AS VARCHAR) AS product_name,
-        CAST(o_orderdate AS DATE) AS order_date,
+        p_name || ' #' || CAST(p_partkey AS VARCHAR) AS product_name, p_brand AS qc,
+        o_orderstatus AS warehouse_type, CAST(o_orderdate AS DATE) AS order_date,
         CAST(o_orderdate AS DATE) + CAST(30 + o_orderkey % 60 AS INT) AS estimated_delivery_date,
-        floor(o_totalprice / 1000) AS order_quantity
+        CAST(o_orderdate AS DATE) + 30 AS original_estimated_delivery_date,
+        floor(o_totalprice / 1000) AS order_quantity, floor(o_totalprice / 2000) AS delivered_quantity,
+        'kg' AS unit, CASE WHEN p_size < 25 THEN 'can' ELSE 'drum' END AS package_unit,
+        CAST(CAST(o_orderdate AS DATE) + 1 AS VARCHAR) || ' 00:00:00' AS import_timestamp,
+        CAST(CAST(o_orderdate AS DATE) + 2 AS VARCHAR) || ' 00:00:00' AS import_wh_timestamp
         FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""",
     "bridge_product_material": """SELECT
         p_name || ' #' || CAST(p_partkey AS VARCHAR) AS product_name,
@@ -43,7 +63,7 @@ _TABLES = {
     "dim_material": """SELECT DISTINCT
         CAST(replace(material_name, 'material-', '') AS BIGINT) AS id, material_name AS name,
         CAST(NULL AS VARCHAR) AS qc, 'kg' AS unit FROM bridge_product_material""",
-    "blueprint": """SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_partkey % 100 AS VARCHAR) AS factory,
+    "blueprint": f"""SELECT CAST(p_partkey AS VARCHAR) AS id, {_known_or_not("(p_partkey % 100)")} AS factory,
         p_name AS name, CASE WHEN p_size < 20 THEN 'PALLET' WHEN p_size < 35 THEN 'HANGING'
           ELSE 'ROLLER' END AS type,
         CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS description,
@@ -302,11 +322,26 @@ def _product_pivot(where: str = "TRUE") -> str:
     )
 
 
-def _extract(kind: str) -> str:
+_KINDS = {"string": "VARCHAR", "date": "DATE", "double": "DOUBLE", "timestamp": "VARCHAR"}
+
+
+def _all_columns(table: str, given: list[str], **values: str) -> str:
+    """Every column of a stored table: given by the source, stated, or null."""
+    def one(name: str, kind: str) -> str:
+        if name in values:
+            return f"{values[name]} AS {name}"
+        return name if name in given else f"CAST(NULL AS {_KINDS[kind]}) AS {name}"
+
+    return ", ".join(one(f.name, f.dataType.typeName()) for f in TABLES[table])
+
+
+def _extract(kind: str, given: str) -> str:
+    columns = _all_columns(f"fact_{kind}", given.split())
     return _sql(
         f"dim_factory fact_{kind}",
-        f"""SELECT f.*, factory_name FROM fact_{kind} f, dim_factory d
-            WHERE f.factory_code = d.factory_code AND {kind}_date {MAIN}""",
+        f"""SELECT {columns}, factory_name FROM (SELECT f.*, factory_name
+            FROM fact_{kind} f, dim_factory d
+            WHERE f.factory_code = d.factory_code AND {kind}_date {MAIN})""",
     )
 
 
@@ -359,6 +394,9 @@ def report_sql() -> dict[str, str]:
         "overall_breakdown": _sql("dim_factory fact_sales fact_order", "SELECT * FROM parts",
                                   **_breakdown_steps(P.year)),
         "overall_nested": _nested(P.year),
+        "factory_sales_range_diff_order": f"""SELECT factory_code, quantity_diff,
+            CAST(row_number() OVER (ORDER BY quantity_diff, factory_code) AS INT) AS place
+            FROM ({_factory_diff("sales", False)})""",
         "factory_sales_range_diff_rising": _factory_diff("sales", True),
         "factory_sales_range_diff_falling": _factory_diff("sales", False),
         "factory_order_range_diff_rising": _factory_diff("order", True),
@@ -381,8 +419,15 @@ def report_sql() -> dict[str, str]:
         "ratio_pivot": _mix_pivot("ratio", "'0'"),
         "thinner_detail_pivot": _mix_detail("thin"),
         "paint_detail_pivot": _mix_detail("NOT thin"),
-        "fact_order_extract": _extract("order"),
-        "fact_sales_extract": _extract("sales"),
+        "fact_order_extract": _extract(
+            "order", "order_code factory_code factory_order_code tax_type department salesman "
+            "deposit_rate delivery_address product_code product_name qc warehouse_type order_date "
+            "estimated_delivery_date original_estimated_delivery_date order_quantity "
+            "delivered_quantity unit package_unit import_timestamp import_wh_timestamp"),
+        "fact_sales_extract": _extract(
+            "sales", "order_code factory_code product_code product_name qc sales_date sales_code "
+            "sales_quantity unit package_sales_quantity package_unit department salesman "
+            "warehouse_code warehouse_type import_timestamp"),
         "sales_bom": _bom("sales", ["material_name"]),
         "sales_bom_by_product": _bom("sales", ["product_name", "material_name"]),
         "sales_bom_by_factory": _bom("sales", ["factory_code", "factory_name", "material_name"],
@@ -502,8 +547,10 @@ def load_sql() -> dict[str, str]:
     sales_uploads = {"first": _sales_rows(1), "second": _sales_rows(2)}
     any_code = "(SELECT sales_code FROM first)"
     return {
-        "order_extract_clean": _with(f"SELECT {_ORDER_STAGED} FROM lines WHERE NOT bad",
-                                     lines=_order_rows(0)),
+        "order_extract_clean": _with(
+            "SELECT " + _all_columns("order_staging", _ORDER_STAGED.split(", "),
+                                     import_timestamp=_FIRST)
+            + " FROM lines WHERE NOT bad", lines=_order_rows(0)),
         "order_extract_rejects": _with(
             "SELECT order_code, 'bad_quantity' AS reject_reason FROM lines WHERE bad",
             lines=_order_rows(0)),
@@ -520,13 +567,17 @@ def load_sql() -> dict[str, str]:
             f"""SELECT {_ORDER_SHOWN}, {_SECOND} AS import_timestamp FROM done
                 WHERE change <> 'kept'""",
             **_ORDER_UPLOADS, done=_order_upserted("first", "second", _ORDER_STAGED)),
-        "order_fact_load": _with(f"SELECT {_ORDER_SHOWN} FROM fact", lines=_order_rows(0),
+        "order_fact_load": _with("SELECT " + _all_columns(
+            "fact_order", _ORDER_SHOWN.split(", "), import_timestamp=_FIRST,
+            import_wh_timestamp=_FIRST) + " FROM fact", lines=_order_rows(0),
                                  good="SELECT * FROM lines WHERE NOT bad", fact=_order_fact("good")),
         "order_fact_rejects": _with(
             """SELECT order_code, CASE WHEN order_code LIKE '2202-%' THEN 'other_document'
                 ELSE 'missing_qc' END AS reject_reason FROM lines
                 WHERE NOT bad AND (order_code LIKE '2202-%' OR qc IS NULL)""", lines=_order_rows(0)),
-        "sales_fact_load": _with(f"SELECT {_SALES_SHOWN} FROM fact", lines=_sales_rows(0),
+        "sales_fact_load": _with("SELECT " + _all_columns(
+            "fact_sales", [*_SALES_SHOWN.split(", "), "salesman"], import_timestamp=_FIRST,
+            import_wh_timestamp=_FIRST) + " FROM fact", lines=_sales_rows(0),
                                  fact=_sales_fact("lines")),
         "sales_fact_rejects": _with(
             """SELECT sales_code, CASE WHEN sales_code LIKE '2399-%' THEN 'other_document'
@@ -566,6 +617,18 @@ def load_sql() -> dict[str, str]:
     }
 
 
+# A correction sets every tenth order's quantity five higher; sales that are there stay.
+_LANDED = _with(
+    """SELECT 'refused' AS kind, 'short-0.csv column_count' AS code, CAST(NULL AS DOUBLE) AS quantity,
+          CAST(NULL AS DATE) AS day FROM range(2)
+        UNION ALL SELECT 'sales', sales_code, sales_quantity, sales_date FROM sales
+        UNION ALL SELECT 'order', order_code,
+          order_quantity + CASE WHEN order_code LIKE '%0-0001' THEN 5 ELSE 0 END, order_date
+          FROM orders_made""",
+    lines=_sales_rows(0), sales=_sales_fact("lines"), rows=_order_rows(0),
+    good="SELECT * FROM rows WHERE NOT bad", orders_made=_order_fact("good"))
+
+
 def run_sql() -> dict[str, str]:
     """Whole loads end where the set-based steps end; counts come from the source rows."""
     loads = load_sql()
@@ -593,14 +656,16 @@ def run_sql() -> dict[str, str]:
                   AS staging_skipped,
                 (SELECT count(*) FROM lines1 WHERE bad) + (SELECT count(*) FROM lines2 WHERE bad)
                   AS staging_rejected,
+                (SELECT count(*) FROM lines1 WHERE NOT bad AND order_date IS NULL) + (SELECT count(*)
+                  FROM lines2 WHERE NOT bad AND order_date IS NULL) AS staging_bad_dates,
                 (SELECT count(*) FROM fact1) + (SELECT count(*) FROM fact2 ANTI JOIN fact1
                   USING (order_code)) AS fact_inserted,
                 (SELECT count(*) FROM fact2 SEMI JOIN fact1 USING (order_code)) AS fact_updated,
                 (SELECT count(*) FROM first) + (SELECT count(*) FROM second)
                   - (SELECT count(*) FROM fact1) - (SELECT count(*) FROM fact2) AS fact_rejected,
                 (SELECT count(DISTINCT factory_code) FROM (FROM first UNION ALL BY NAME FROM second)
-                  WHERE factory_code NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier
-                  WHERE s_suppkey % 10 <> 9)) AS factories_added,
+                  WHERE factory_code NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier))
+                  AS factories_added,
                 (SELECT count(DISTINCT product_name) FROM (FROM first UNION ALL BY NAME FROM second))
                   AS products_added""", **orders),
         "sales_load": _with(
@@ -614,17 +679,22 @@ def run_sql() -> dict[str, str]:
                 (SELECT count(*) FROM lineitem WHERE l_orderkey % 499 = 0 AND l_shipdate <
                   DATE '1999-01-01') + (SELECT count(*) FROM lineitem WHERE l_orderkey % 499 = 0
                   AND l_shipdate >= DATE '1998-01-01') AS staging_rejected,
+                (SELECT count(*) FROM first WHERE sales_date IS NULL) + (SELECT count(*) FROM second
+                  WHERE sales_date IS NULL) AS staging_bad_dates,
                 (SELECT count(*) FROM fact1) + (SELECT count(*) FROM fact2) AS fact_inserted,
                 CAST(0 AS BIGINT) AS fact_updated,
                 (SELECT count(*) FROM first) + (SELECT count(*) FROM added)
                   - (SELECT count(*) FROM fact1) - (SELECT count(*) FROM fact2) AS fact_rejected,
                 CAST(0 AS BIGINT) AS factories_added, CAST(0 AS BIGINT) AS products_added""",
             **sales, added=added, fact1=_sales_fact("first"), fact2=_sales_fact("added")),
-        "landed_sales_stream": loads["sales_fact_load"],
+        "landed_sales_stream": _with(f"SELECT {_SALES_SHOWN} FROM fact", lines=_sales_rows(0),
+                                     fact=_sales_fact("lines")),
+        "landed_files_one_trigger": _LANDED,
+        "landed_files_many_triggers": _LANDED,
     }
 
 
-_FACTORY_ASKS = """SELECT s_suppkey * 2 + c AS seq, CAST(s_suppkey AS VARCHAR) AS factory_code,
+_FACTORY_ASKS = f"""SELECT s_suppkey * 2 + c AS seq, {_known_or_not("s_suppkey")} AS factory_code,
       CASE WHEN s_suppkey % 20 <> 9 OR c = 1 THEN 'New ' || s_suppkey || ' ' || c END AS factory_name,
       'Rep' AS salesman, s_suppkey % 2 = 0 AS is_active, FALSE AS has_onsite
     FROM supplier, range(2) r(c)"""
@@ -637,7 +707,7 @@ _FACTORY_INSERT = {
 }
 
 _FACTORY_PATCH = {
-    "p": """SELECT s_suppkey AS k, c, CAST(s_suppkey AS VARCHAR) AS factory_code,
+    "p": f"""SELECT s_suppkey AS k, c, {_known_or_not("s_suppkey")} AS factory_code,
           CASE WHEN (s_suppkey + c) % 3 = 0 THEN s_suppkey % 2 = 0 END AS a,
           CASE WHEN (s_suppkey + c) % 4 = 0 THEN s_suppkey % 2 = 1 END AS o
         FROM supplier, range(2) r(c)""",
@@ -692,7 +762,7 @@ def _latest(column: str) -> str:
 
 
 _BLUEPRINT_INSERT = {
-    "asks": """SELECT p_partkey AS seq, CAST(p_partkey % 100 AS VARCHAR) AS factory, p_name AS name,
+    "asks": f"""SELECT p_partkey AS seq, {_known_or_not("(p_partkey % 100)")} AS factory, p_name AS name,
           CASE WHEN p_partkey % 11 = 0 THEN 'BELT' ELSE 'HANGING' END AS type,
           p_brand AS description,
           p_name || CASE WHEN p_partkey % 13 = 0 THEN '.png' ELSE '.SVG' END AS filename,
@@ -730,6 +800,9 @@ def dimension_sql() -> dict[str, str]:
         "retailer_list_page": paged("dim_retailer", "SELECT * FROM dim_retailer", "name", 2, 100),
         "formula_list": _sql("bridge_product_material", """SELECT * FROM bridge_product_material
             WHERE is_current AND material_name IN ('material-3', 'material-17')"""),
+        "formula_list_after": _sql("bridge_product_material", """SELECT * FROM bridge_product_material
+            WHERE (material_name, product_name, version_number) > ('material-17', 'm', 1)
+            ORDER BY material_name, product_name, version_number LIMIT 40"""),
         "formula_list_page": paged("bridge_product_material", "SELECT * FROM bridge_product_material",
                                    "product_name, material_name, version_number", 4, 50),
         "blueprint_list": _sql("blueprint", """SELECT * EXCLUDE (made), CASE WHEN
@@ -738,9 +811,10 @@ def dimension_sql() -> dict[str, str]:
         "blueprint_list_all": _sql("blueprint", """SELECT id, factory, type, CASE WHEN
             CAST(id AS INT) % 50 <> 7 THEN '/dw-media/blueprints/' || id || '.svg' END AS file_url
             FROM blueprint"""),
-        "factory_lookup": _sql("dim_factory", """SELECT CAST(s_suppkey AS VARCHAR) AS factory_code,
+        "factory_lookup": _sql("dim_factory", f"""SELECT code AS factory_code,
             factory_name, salesman, is_active, has_onsite, factory_name IS NOT NULL AS found
-            FROM supplier LEFT JOIN dim_factory ON factory_code = CAST(s_suppkey AS VARCHAR)"""),
+            FROM (SELECT {_known_or_not("s_suppkey")} AS code FROM supplier)
+            LEFT JOIN dim_factory ON factory_code = code"""),
         "blueprint_lookup": _sql("blueprint", """SELECT asked.id, name, type, file_size, CASE WHEN
             file_path LIKE '/app/media/%' THEN '/dw-media/' || substr(file_path, 12) END AS file_url,
             blueprint.id IS NOT NULL AS found FROM (SELECT DISTINCT id FROM asks) asked

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from tallymill.functions.dates import timestamp_literal
 from tallymill.schemas import PRODUCTION_LINES, TABLES
 
-# Limits on names and files.
+# What names and files must be like. MAX_NAME only refuses, it never shortens.
 MAX_NAME = 255
-MAX_BLUEPRINT_BYTES = 100 * 1024 * 1024
 SVG_CONTENT_TYPES = ["image/svg+xml", "text/xml", "application/xml"]
 BLUEPRINT_FOLDER = "/app/media/blueprints/"
 
@@ -46,6 +45,14 @@ def _flagged(requests: DataFrame, table: DataFrame, key: Column, name: str) -> D
     return requests.join(known, "match", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def _match(key: Column, bad: Column) -> Column:
+    """What a request is matched by: null for a bad one, which then takes no part in joins.
+
+    Bad requests may share one value, such as an empty name, in any number.
+    """
+    return F.when(~bad, key)
+
+
 def _first_of(requests: DataFrame, wanted: Column) -> DataFrame:
     """Add `first_seq`: the earliest wanted request with the same `match` value."""
     first = requests.filter(wanted).groupBy("match").agg(F.min("seq").alias("first_seq"))
@@ -65,7 +72,7 @@ def insert_factories(dim_factory: DataFrame, requests: DataFrame) -> Change:
     """Add factories; a code that is taken, also earlier in the batch, is refused."""
     columns = TABLES["dim_factory"].names
     judged = requests.withColumns({
-        "match": F.col("factory_code"), "bad": _any_null(*columns)})
+        "match": _match(F.col("factory_code"), _any_null(*columns)), "bad": _any_null(*columns)})
     judged = _first_of(_flagged(judged, dim_factory, F.col("factory_code"), "known"),
                        ~F.col("bad"))
     outcome = F.when(F.col("bad"), INVALID).when(
@@ -83,7 +90,7 @@ def insert_retailers(dim_retailer: DataFrame, requests: DataFrame, batch: str) -
     needs its own text.
     """
     judged = requests.withColumns({
-        "match": F.lower("name"), "bad": _bad_name(F.col("name"))})
+        "match": _match(F.lower("name"), _bad_name(F.col("name"))), "bad": _bad_name(F.col("name"))})
     judged = _first_of(_flagged(judged, dim_retailer, F.lower("name"), "known"), ~F.col("bad"))
     outcome = F.when(F.col("bad"), INVALID).when(
         F.col("known") | (F.col("seq") != F.col("first_seq")), EXISTS).otherwise(CREATED)
@@ -147,7 +154,7 @@ def rename_retailers(dim_retailer: DataFrame, requests: DataFrame) -> Change:
     bad = _bad_name(F.col("name"))
     sound = ~bad & F.col("known")
     last = judged.filter(sound).groupBy("match").agg(F.max("seq").alias("last_seq"))
-    judged = judged.join(last, "match", "left").withColumn("match", F.lower("name"))
+    judged = judged.join(last, "match", "left").withColumn("match", _match(F.lower("name"), bad))
 
     # Owners of a name: two ids tell whether anybody but the asking retailer has it.
     owners = dim_retailer.groupBy(F.lower("name").alias("match")).agg(
@@ -179,10 +186,12 @@ def delete_rows(table: DataFrame, requests: DataFrame, key: str) -> Change:
 
 
 def insert_blueprints(blueprint: DataFrame, dim_factory: DataFrame, requests: DataFrame,
-                      created_at: datetime, batch: str) -> Change:
+                      created_at: datetime, batch: str, max_bytes: int | None = None,
+                      media_folder: str = BLUEPRINT_FOLDER) -> Change:
     """Add blueprint rows for known factories, known line types and SVG files.
 
-    Ids come from `batch` and `seq`; every batch needs its own text.
+    Ids come from `batch` and `seq`; every batch needs its own text. Files of more than
+    `max_bytes` are refused, if it is given.
     """
     judged = _flagged(requests.withColumn("match", F.col("factory")), dim_factory,
                       F.col("factory_code"), "known")
@@ -193,7 +202,7 @@ def insert_blueprints(blueprint: DataFrame, dim_factory: DataFrame, requests: Da
         .when(~F.coalesce(F.col("content_type").isin(SVG_CONTENT_TYPES), F.lit(False)),
               "wrong_content_type")
         .when(~F.col("known"), "unknown_factory")
-        .when(F.col("file_size") > MAX_BLUEPRINT_BYTES, "too_large")
+        .when(F.lit(False) if max_bytes is None else F.col("file_size") > max_bytes, "too_large")
         .otherwise(CREATED)
     )
     new_id = _generated_id(F.concat(F.lit(batch + ":"), F.col("seq").cast("string")))
@@ -205,7 +214,7 @@ def insert_blueprints(blueprint: DataFrame, dim_factory: DataFrame, requests: Da
         "created_at": stamp, "updated_at": stamp,
     })
     added = judged.filter(F.col("outcome") == CREATED).withColumn(
-        "file_path", F.concat(F.lit(BLUEPRINT_FOLDER), F.col("id"), suffix)
+        "file_path", F.concat(F.lit(media_folder), F.col("id"), suffix)
     ).select(*[F.col(f.name).cast(f.dataType) for f in TABLES["blueprint"]])
     return Change(blueprint.select(*added.columns).unionByName(added),
                   judged.select("seq", "factory", "id", "outcome"))

@@ -14,10 +14,12 @@ from tallymill.operators.upsert import one_row_per_key
 from tallymill.schemas import (
     ORDER_EXTRACT_COLUMNS, ORDER_STAGING_TEXT, SALES_EXTRACT_COLUMNS, SALES_STAGING_TEXT, TABLES,
 )
-from tallymill.sources.landing import SOURCE_CHUNK, SOURCE_ROW
+from tallymill.sources.landing import SOURCE_CHUNK, SOURCE_FILE, SOURCE_ROW
 
 REASON = "reject_reason"
-SOURCE_ORDER = [SOURCE_CHUNK, SOURCE_ROW]
+# True for a row with a date cell that is no date; the row is kept, its date is null.
+BAD_DATE = "bad_date"
+SOURCE_ORDER = [SOURCE_FILE, SOURCE_CHUNK, SOURCE_ROW]
 ORDER_UPDATES = ["order_quantity", "delivered_quantity", "import_timestamp"]
 FIRST_WATERMARK = datetime(1900, 1, 1)
 
@@ -33,7 +35,7 @@ def _typed(table: str, rows: DataFrame, import_timestamp: datetime) -> DataFrame
     The store adds the others when it writes (`tables.padded`): carrying their nulls through shuffles
     and joins would make rows several times as wide.
     """
-    columns = []
+    columns, bad_date = [], F.lit(False)
     for field in TABLES[table]:
         if field.name == "import_timestamp":
             columns.append(timestamp_literal(import_timestamp).alias(field.name))
@@ -41,11 +43,12 @@ def _typed(table: str, rows: DataFrame, import_timestamp: datetime) -> DataFrame
             value = F.col(field.name)
             kind = field.dataType.typeName()
             if kind == "date":
-                value = parse_day_first(value)
+                value, given = parse_day_first(value), value
+                bad_date = bad_date | (given.isNotNull() & value.isNull())
             elif kind == "double":
                 value = value.try_cast("double")
             columns.append(value.alias(field.name))
-    return rows.select(*columns, REASON, *SOURCE_ORDER)
+    return rows.select(*columns, REASON, bad_date.alias(BAD_DATE), *SOURCE_ORDER)
 
 
 def _not_a_number(*columns: str) -> Column:
@@ -81,12 +84,13 @@ def clean_orders(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
 def clean_sales(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
     """Rows of a sales extract as staging holds them, with place and reject reason or null.
 
-    Lines that share a sales code are numbered in source order, and the number becomes part
-    of the code. A line rejected for its quantity keeps its number.
+    Lines of one file that share a sales code are numbered in source order, and the number
+    becomes part of the code. A line rejected for its quantity keeps its number. A file that
+    repeats a code of an earlier one makes the same codes again.
     """
     rows = _cells(extract, SALES_EXTRACT_COLUMNS)
-    coded = ordinal_in_key(rows.filter(F.col("sales_code").isNotNull()), "sales_code",
-                           SOURCE_CHUNK, SOURCE_ROW, "ordinal")
+    coded = ordinal_in_key(rows.filter(F.col("sales_code").isNotNull()),
+                           [SOURCE_FILE, "sales_code"], SOURCE_CHUNK, SOURCE_ROW, "ordinal")
     ordinal = ordinal_text(F.col("ordinal"))
     coded = coded.withColumns({
         REASON: F.when(_not_a_number("sales_quantity"), "bad_quantity"),
@@ -101,7 +105,7 @@ def clean_sales(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
 
 
 def accepted(cleaned: DataFrame) -> DataFrame:
-    return cleaned.filter(F.col(REASON).isNull()).drop(REASON)
+    return cleaned.filter(F.col(REASON).isNull()).drop(REASON, BAD_DATE)
 
 
 def rejected(cleaned: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.functions.dates import days_within
+from tallymill.functions.dates import MONTH_SUFFIX, days_within
 from tallymill.functions.numbers import or_zero, ratio
 from tallymill.operators.stacking import stacked_sums
 from tallymill.params import DateRange, code_list
@@ -16,7 +16,14 @@ Days = tuple[int, int]
 
 
 def max_sales_date(fact_sales: DataFrame) -> DataFrame:
-    """Latest sales date as `yyyy-MM-dd` text; null for an empty table."""
+    """Latest sales date as `yyyy-MM-dd` text; null for an empty table.
+
+    Of a table stored by month only the newest month is read.
+    """
+    month = "sales_date" + MONTH_SUFFIX
+    if month in fact_sales.columns:
+        newest = fact_sales.agg(F.max(month)).scalar()
+        fact_sales = fact_sales.filter(F.col(month) == newest)
     return fact_sales.agg(F.date_format(F.max("sales_date"), "yyyy-MM-dd").alias("max_sales_date"))
 
 

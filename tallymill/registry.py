@@ -6,26 +6,27 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
-from functools import lru_cache, reduce
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymill.params import DateRange
 from tallymill.operators.upsert import INSERTED, KEPT, insert_absent, upsert
-from tallymill.operators.paging import page, row_count
+from tallymill.operators.paging import page, page_after, row_count
 from tallymill.plans import (
     dimension_changes, dimension_lists, dimension_refresh, extracts, facts, materials, monthly, product_mix, product_pivot,
     range_diff, staging, totals,
 )
-from tallymill.plans.loads import STATS, load_orders, load_sales
+from tallymill.plans.loads import STATS, load_order_files, load_sales_files
 from tallymill.schemas import ORDER_EXTRACT, SALES_EXTRACT
 from tallymill.session import shared_folder
-from tallymill.sources.landing import admit, read_order_extract, read_sales_extract
+from tallymill.sources.files import Files
+from tallymill.sources.landing import read_order_extract, read_sales_extract
 from tallymill.sources.sample import SampleWarehouse
 from tallymill.sources.tables import Store, padded
-from tallymill.streaming.landing import load_landed_sales
+from tallymill.streaming.landing import load_landed_orders, load_landed_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +111,13 @@ def _product_pivot(factory: list[str] | None, increase: bool) -> Query:
         selected_month=p.selected[1], factory=factory, increase=increase, columns=labels))
 
 
+def _ranked(build: Callable[[SampleWarehouse], DataFrame]) -> Query:
+    """A report with the place of each row in its order; reports have few rows."""
+    place = F.row_number().over(Window.orderBy("place"))
+    return _on_sample(lambda w: build(w).withColumn("place", F.monotonically_increasing_id()).withColumn(
+        "place", place))
+
+
 def report_queries() -> dict[str, Query]:
     p = PARAMS
     years = [1996, 1997]
@@ -138,6 +146,9 @@ def report_queries() -> dict[str, Query]:
             exclude_factory=p.excluded)),
         "overall_nested": _on_sample(_nested),
         "factory_sales_range_diff_rising": _factory_diff("sales", True),
+        "factory_sales_range_diff_order": _ranked(lambda w: range_diff.factory_sales_range_diff(
+            w.fact_sales, w.fact_order, w.dim_factory, w.dim_date, p.main, p.target, p.threshold,
+            False).select("factory_code", "quantity_diff")),
         "factory_sales_range_diff_falling": _factory_diff("sales", False),
         "factory_order_range_diff_rising": _factory_diff("order", True),
         "factory_order_range_diff_falling": _factory_diff("order", False),
@@ -166,10 +177,10 @@ def report_queries() -> dict[str, Query]:
         "ratio_pivot": _mix_pivot("ratio"),
         "thinner_detail_pivot": _mix_pivot("thinner_detail"),
         "paint_detail_pivot": _mix_pivot("paint_detail"),
-        "fact_order_extract": _on_sample(lambda w: extracts.fact_order_extract(
-            w.fact_order, w.dim_factory, p.main)),
-        "fact_sales_extract": _on_sample(lambda w: extracts.fact_sales_extract(
-            w.fact_sales, w.dim_factory, p.main)),
+        "fact_order_extract": _on_sample(lambda w: _times_as_text(extracts.fact_order_extract(
+            w.fact_order, w.dim_factory, p.main))),
+        "fact_sales_extract": _on_sample(lambda w: _times_as_text(extracts.fact_sales_extract(
+            w.fact_sales, w.dim_factory, p.main))),
         "sales_bom": bom("sales"),
         "sales_bom_by_product": bom("sales", "product_name"),
         "sales_bom_by_factory": bom("sales", "factory_code,factory_name", p.some_factories),
@@ -202,6 +213,15 @@ def _time_text(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
 
+def _times_as_text(df: DataFrame) -> DataFrame:
+    return df.select(*[_time_text(name) if kind == "timestamp" else name for name, kind in df.dtypes])
+
+
+def _whole(table: str, rows: DataFrame) -> DataFrame:
+    """All columns as the table stores them."""
+    return _times_as_text(padded(table, rows))
+
+
 def _order_staging(w: SampleWarehouse) -> DataFrame:
     """Staging after both uploads, each row with its change in the second one."""
     first, second = (staging.staged_orders(_clean_orders(w, u)) for u in (1, 2))
@@ -255,65 +275,102 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
 
 
+_CSV_OUT = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+
+
 def _write_csv(extract: DataFrame, order: list[str], folder: str, schema: T.StructType) -> None:
     """An extract as CSV files whose names sort in source order."""
-    extract.orderBy(*order).select(*schema.names).write.options(
-        header=True, quote='"', escape='"', emptyValue="").csv(folder)
+    extract.orderBy(*order).select(*schema.names).write.options(**_CSV_OUT).csv(folder)
 
 
-_ORDER_SOURCE = ["source_chunk", "source_row"]
+_SOURCE = ["source_chunk", "source_row"]
 
 
-@lru_cache(maxsize=4)
 def _order_run(spark: SparkSession, folder: str) -> tuple[Store, list[DataFrame]]:
-    """Both order uploads, written as files and loaded one after the other.
-
-    Three queries look at the outcome of this one run.
-    """
+    """Both order uploads, written as files and loaded one after the other."""
     w, root = SampleWarehouse(spark, folder), _scratch(spark)
     store = Store(spark, f"{root}/warehouse")
     store.append("dim_factory", w.dim_factory)
     stats = []
     for upload, now in ((1, FIRST), (2, SECOND)):
         landed = f"{root}/orders-{upload}"
-        _write_csv(w.order_extract(upload), _ORDER_SOURCE, landed, ORDER_EXTRACT)
-        stats.append(load_orders(store, read_order_extract(spark, landed), now))
+        _write_csv(w.order_extract(upload), _SOURCE, landed, ORDER_EXTRACT)
+        stats.append(load_order_files(store, read_order_extract(spark, landed), now))
     return store, stats
 
 
-def _sales_files(w: SampleWarehouse, upload: int, folder: str) -> None:
-    extract = w.sales_extract(upload).withColumn("code_order", F.col("sales_code"))
-    _write_csv(extract, ["code_order", "source_chunk", "source_row"], folder, SALES_EXTRACT)
-
-
-@lru_cache(maxsize=4)
 def _sales_run(spark: SparkSession, folder: str) -> tuple[Store, list[DataFrame]]:
     w, root = SampleWarehouse(spark, folder), _scratch(spark)
     store, stats = Store(spark, f"{root}/warehouse"), []
     for upload, now in ((1, FIRST), (2, SECOND)):
         landed = f"{root}/sales-{upload}"
-        _sales_files(w, upload, landed)
-        stats.append(load_sales(store, read_sales_extract(spark, landed), now))
+        # One extract per file: each order lies in one file as a whole.
+        extract = w.sales_extract(upload).repartition("order_code")
+        extract.sortWithinPartitions(*_SOURCE).select(*SALES_EXTRACT.names).write.options(
+            **_CSV_OUT).csv(landed)
+        stats.append(load_sales_files(store, read_sales_extract(spark, landed), now))
     return store, stats
 
 
+def _land(files: Files, extract: DataFrame, columns: list[str], code: str, folder: str, name: str,
+          suffix: str = "csv", parts: int = 1) -> None:
+    """Write an extract as `parts` files `<name>-<n>.<suffix>` that land now, each code in one."""
+    aside = f"{folder}-aside/{uuid.uuid4().hex}"
+    extract.repartition(parts, code).sortWithinPartitions(*_SOURCE).select(*columns).write.options(
+        **_CSV_OUT).csv(aside)
+    for i, part in enumerate(sorted(n for n in files.names(aside) if n.startswith("part-"))):
+        files.move(f"{aside}/{part}", f"{folder}/{name}-{i}.{suffix}")
+
+
+def _land_all(files: Files, extract: DataFrame, schema: T.StructType, code: str, quantity: str,
+              folder: str) -> None:
+    """An extract in several files, and then: a file with an upper-case suffix, a file that lands
+    again, a file that lacks its last column, and a correction whose name sorts before all."""
+    columns, share = schema.names, F.pmod(F.xxhash64(F.coalesce(code, F.lit(""))), F.lit(4))
+    _land(files, extract.filter(share < 3), columns, code, folder, "base", parts=3)
+    _land(files, extract.filter(share == 3), columns, code, folder, "MORE", "CSV")
+    _land(files, extract.filter(share == 1), columns, code, folder, "repeat")
+    _land(files, extract.filter(share == 2), columns[:-1], code, folder, "short")
+    more = F.coalesce((F.col(quantity).try_cast("double") + 5).cast("string"), F.col(quantity))
+    tenth = extract.filter(F.col(code).endswith("0")).withColumn(quantity, more)
+    _land(files, tenth, columns, code, folder, "0-corrected")
+
+
+def _landed(max_files: int) -> Query:
+    """Sales and orders that landed as files, taken by the stream `max_files` at a time."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        w, root = SampleWarehouse(spark, folder), _scratch(spark)
+        files, store = Files(spark, root), Store(spark, f"{root}/warehouse")
+        _land_all(files, w.sales_extract(0), SALES_EXTRACT, "sales_code", "sales_quantity", f"{root}/sales")
+        _land_all(files, w.order_extract(0), ORDER_EXTRACT, "order_code", "order_quantity", f"{root}/orders")
+        for start, name in ((load_landed_sales, "sales"), (load_landed_orders, "orders")):
+            query = start(store, f"{root}/{name}", f"{root}/progress-{name}", max_files=max_files)
+            query.awaitTermination()
+        refused = store.read("landing_rejects").select(
+            F.lit("refused").alias("kind"), F.concat_ws(
+                " ", F.element_at(F.split("path", "/"), -1), "reject_reason").alias("code"),
+            F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("date").alias("day"))
+        sales = store.read("fact_sales").select(
+            F.lit("sales"), "sales_code", "sales_quantity", "sales_date")
+        orders = store.read("fact_order").select(
+            F.lit("order"), "order_code", "order_quantity", "order_date")
+        return refused.union(sales).union(orders)
+
+    return run
+
+
 def _sales_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The whole sales extract, landed as files and loaded by the stream."""
     w, root = SampleWarehouse(spark, folder), _scratch(spark)
-    _sales_files(w, 0, f"{root}/landed")
+    files = Files(spark, root)
+    _land(files, w.sales_extract(0), SALES_EXTRACT.names, "order_code", f"{root}/landed", "lines", parts=4)
     store = Store(spark, f"{root}/warehouse")
     query = load_landed_sales(store, f"{root}/landed", f"{root}/progress")
     query.awaitTermination()
     return store.read("fact_sales").select(*_SALES_SHOWN)
 
 
-def _admission(spark: SparkSession, folder: str) -> DataFrame:
-    """The sample files themselves, judged as if they had landed."""
-    accepted, refused = admit(spark, folder)
-    return accepted.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(
-        refused).select(F.substring_index("path", "/", -1).alias("file"), "file_size", "reject_reason")
-
-
 def _summed(stats: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, stats).agg(*[F.sum(c).alias(c) for c in STATS])
 
@@ -331,7 +388,8 @@ def run_queries() -> dict[str, Query]:
                                           "import_timestamp"),
         "sales_load_counts": lambda s, f: _summed(_sales_run(s, f)[1]),
         "landed_sales_stream": _sales_stream,
-        "landing_admission": _admission,
+        "landed_files_one_trigger": _landed(max_files=1_000),
+        "landed_files_many_triggers": _landed(max_files=3),
     }
 
 
@@ -345,7 +403,8 @@ def load_queries() -> dict[str, Query]:
     order_staged = [*_ORDER_SHOWN, "factory_name", "note", "numerical_order", "path"]
     sales_staged = [*_SALES_SHOWN, "factory_name", "salesman"]
     return {
-        "order_extract_clean": shown(lambda w: staging.accepted(_clean_orders(w)), *order_staged),
+        "order_extract_clean": _on_sample(lambda w: _whole(
+            "order_staging", staging.accepted(_clean_orders(w)))),
         "order_extract_rejects": rejects(_clean_orders, "order_code"),
         "sales_extract_clean": shown(lambda w: staging.accepted(_clean_sales(w)), *sales_staged),
         "order_staging_reupload": _on_sample(lambda w: _order_staging(w).select(
@@ -353,9 +412,9 @@ def load_queries() -> dict[str, Query]:
         "sales_staging_reupload": _on_sample(lambda w: _sales_staging(w).select(
             *sales_staged, "change", _time_text("import_timestamp"))),
         "staging_incremental_read": _on_sample(_incremental),
-        "order_fact_load": shown(lambda w: _accepted(_order_facts(w, 0)), *_ORDER_SHOWN),
+        "order_fact_load": _on_sample(lambda w: _whole("fact_order", _accepted(_order_facts(w, 0)))),
         "order_fact_rejects": rejects(_order_facts, "order_code"),
-        "sales_fact_load": shown(lambda w: _accepted(_sales_facts(w, 0)), *_SALES_SHOWN),
+        "sales_fact_load": _on_sample(lambda w: _whole("fact_sales", _accepted(_sales_facts(w, 0)))),
         "sales_fact_rejects": rejects(_sales_facts, "sales_code"),
         "order_fact_reload": _on_sample(_order_reload),
         "sales_fact_reload": _on_sample(_sales_reload),
@@ -390,6 +449,9 @@ def dimension_queries() -> dict[str, Query]:
         "material_list": _on_sample(lambda w: lists.list_materials(w.dim_material, "AL-1")),
         "retailer_list": _on_sample(lambda w: lists.list_retailers(w.dim_retailer, "00%7")),
         "retailer_list_page": _on_sample(lambda w: page(w.dim_retailer, ["name"], 2, 100)),
+        "formula_list_after": _on_sample(lambda w: page_after(
+            lists.list_formulas(w.bridge_product_material, is_current=None),
+            {"material_name": "material-17", "product_name": "m", "version_number": 1}, 40)),
         "formula_list": _on_sample(lambda w: lists.list_formulas(
             w.bridge_product_material, None, "material-3,material-17")),
         "formula_list_page": _on_sample(lambda w: page(
@@ -417,7 +479,8 @@ def dimension_queries() -> dict[str, Query]:
         **both("blueprint_patch", lambda w: changes.patch_blueprints(
             w.blueprint, w.blueprint_patches()), "created_at", "updated_at"),
         **both("blueprint_insert", lambda w: changes.insert_blueprints(
-            w.blueprint, w.dim_factory, w.blueprint_requests(), made, "batch-1"),
+            w.blueprint, w.dim_factory, w.blueprint_requests(), made, "batch-1",
+            max_bytes=100 * 1024 * 1024),
             "created_at", "updated_at"),
     }
 

@@ -140,6 +140,7 @@ TABLES: dict[str, T.StructType] = {
     "bridge_product_material": _fields(product_name=_text, material_name=_text,
                                        ratio=T.DecimalType(18, 6), version_number=_int,
                                        effective_date=_date, end_date=_date, is_current=_flag),
+    "landing_rejects": _fields(path=_text, file_size=_long, modified_at=_time, reject_reason=_text),
     "blueprint": _fields(id=_text, factory=_text, name=_text, type=_text, description=_text,
                          file_path=_text, filename=_text, file_size=_long, created_at=_time,
                          updated_at=_time),

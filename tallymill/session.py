@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +47,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and go on from there.
 
     Lost executors then cost no recompute, later reads take only the columns they need, and
     Spark knows the true size when it picks a join.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tallymill/{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark) + '/tallymill'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cut_points(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """`durable` for steps whose copies are no longer read afterwards: they are deleted then."""
+    from tallymill.sources.files import Files
+
+    folder = f"{shared_folder(spark)}/tallymill/{uuid.uuid4().hex}"
+    try:
+        yield lambda df: durable(df, folder)
+    finally:
+        Files(spark, folder).delete(folder)

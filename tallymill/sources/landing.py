@@ -1,26 +1,39 @@
-"""Landed extract files: admission and positional reading."""
+"""Landed extract files: admission and positional reading.
+
+Nothing that lands is dropped unseen: a file is either read whole or refused with a reason.
+Rows carry their place: the file (by modification time, then path), a bounded run of rows
+within it, and the order within the run.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymill.schemas import ORDER_EXTRACT, SALES_EXTRACT
+from tallymill.schemas import ORDER_EXTRACT, SALES_EXTRACT, TABLES
+from tallymill.session import durable
 
-MAX_BYTES = 50 * 1024 * 1024
 SUFFIXES = (".csv", ".parquet")
 
-# Place of a row in its source: a bounded run of rows, and the order within the run.
+SOURCE_FILE = "source_file"
 SOURCE_CHUNK = "source_chunk"
 SOURCE_ROW = "source_row"
 ROWS_PER_CHUNK = 1 << 20
 
-# Spreadsheets write a quote inside a cell as two quotes.
+# Spreadsheets write a quote inside a cell as two quotes. No suffix is looked at here, in
+# any case: what to read is the caller's choice.
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+_RAGGED = "ragged_row"
+
+# Reasons of refusal.
+WRONG_SUFFIX, TOO_LARGE, COLUMN_COUNT = "wrong_suffix", "too_large", "column_count"
+REFUSED_COLUMNS = TABLES["landing_rejects"].names
+
+Cut = Callable[[DataFrame], DataFrame]
 
 
 class Admission(NamedTuple):
@@ -28,73 +41,144 @@ class Admission(NamedTuple):
     rejected: DataFrame
 
 
+class Landed(NamedTuple):
+    """Rows of the files that were read, and the refused files with their reason."""
+
+    rows: DataFrame
+    refused: DataFrame
+
+
 class ColumnMismatch(ValueError):
     """An extract has another number of columns than its schema."""
 
 
+def judged_files(files: DataFrame, suffixes: tuple[str, ...] = SUFFIXES,
+                 max_bytes: int | None = None) -> DataFrame:
+    """Files (path, file_size, modified_at) with `reject_reason` or null.
+
+    The suffix counts in any case. The size is not bounded unless the caller bounds it.
+    """
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    reason = F.when(~suffix.isin(list(suffixes)), WRONG_SUFFIX)
+    if max_bytes is not None:
+        reason = reason.when(F.col("file_size") > max_bytes, TOO_LARGE)
+    return files.withColumn("reject_reason", reason)
+
+
 def admit(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES,
-          max_bytes: int = MAX_BYTES) -> Admission:
+          max_bytes: int | None = None) -> Admission:
     """Files of a folder that may be loaded, and the others with the reason.
 
-    Lists metadata only: the file content is never selected, hence never read. The names come
-    from Spark's file index, since the rows leave out empty files.
+    Lists metadata only: the file content is never selected, hence never read. Files of no
+    bytes hold no rows, and Spark does not list them.
     """
-    listing = spark.read.format("binaryFile").load(folder)
-    names = [(unquote(name).replace(":///", ":/", 1),) for name in listing.inputFiles()]
-    sizes = listing.select("path", F.col("length").alias("file_size"),
-                           F.col("modificationTime").alias("modified_at"))
-    files = spark.createDataFrame(names, "path string").join(sizes, "path", "left").withColumn(
-        "file_size", F.coalesce("file_size", F.lit(0)))
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    reason = (
-        F.when(~suffix.isin(list(suffixes)), "wrong_suffix")
-        .when(F.col("file_size") > max_bytes, "too_large")
-        .when(F.col("file_size") == 0, "empty")
-    )
-    judged = files.withColumn("reject_reason", reason)
+    files = spark.read.format("binaryFile").load(folder).select(
+        "path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"))
+    judged = judged_files(files, suffixes, max_bytes)
     return Admission(judged.filter("reject_reason IS NULL").drop("reject_reason"),
                      judged.filter("reject_reason IS NOT NULL"))
 
 
-def _read(spark: SparkSession, path: str | list[str], schema: T.StructType, file_format: str,
-          multiline: bool) -> DataFrame:
-    if file_format == "parquet":
-        raw = spark.read.parquet(*([path] if isinstance(path, str) else path))
-        _check_arity(raw, schema)
-        index = F.col("_metadata.row_index")
-        place = (F.floor(index / ROWS_PER_CHUNK).cast("bigint"), index)
-        cells = [F.col(f"`{c}`").cast("string").alias(f.name) for c, f in zip(raw.columns, schema)]
-        return raw.select(*cells, *_place(*place))
-    if file_format != "csv":
-        raise ValueError(f"unknown extract format {file_format}")
-    options = {**CSV_OPTIONS, "multiLine": multiline}
-    _check_arity(spark.read.options(**options).csv(path), schema)
-    raw = spark.read.schema(schema).options(**options).csv(path)
-    place = (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return raw.select(*schema.names, *_place(*place))
+def _place(part: Column, row: Column) -> list[Column]:
+    file = F.struct(F.col("_metadata.file_modification_time").alias("modified_at"),
+                    F.col("_metadata.file_path").alias("path"))
+    return [file.alias(SOURCE_FILE), part.cast("bigint").alias(SOURCE_CHUNK), row.alias(SOURCE_ROW),
+            F.col("_metadata.file_size").alias("file_size")]
 
 
-def _place(part: Column, row: Column) -> list[Column]:
-    chunk = F.struct(F.col("_metadata.file_path").alias("file"), part.alias("part"))
-    return [chunk.alias(SOURCE_CHUNK), row.alias(SOURCE_ROW)]
+def _csv_rows(spark: SparkSession, path: str | list[str], schema: T.StructType,
+              multiline: bool) -> DataFrame:
+    checked = T.StructType([*schema.fields, T.StructField(_RAGGED, T.StringType())])
+    raw = spark.read.schema(checked).options(
+        **CSV_OPTIONS, multiLine=multiline, columnNameOfCorruptRecord=_RAGGED).csv(path)
+    return raw.select(*schema.names, F.col(_RAGGED).isNotNull().alias(_RAGGED), *_place(
+        F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
 
 
-def _check_arity(raw: DataFrame, schema: T.StructType) -> None:
+def _parquet_rows(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    raw = spark.read.option("mergeSchema", True).parquet(*([path] if isinstance(path, str) else path))
     if len(raw.columns) != len(schema):
         raise ColumnMismatch(f"expected {len(schema)} columns, found {len(raw.columns)}")
+    index = F.col("_metadata.row_index")
+    cells = [F.col(f"`{c}`").cast("string").alias(f.name) for c, f in zip(raw.columns, schema)]
+    return raw.select(*cells, F.lit(False).alias(_RAGGED), *_place(
+        F.floor(index / ROWS_PER_CHUNK), index))
+
+
+def _sorted_out(rows: DataFrame, cut: Cut) -> Landed:
+    """Files with a row of another number of cells are refused whole."""
+    rows = cut(rows)
+    bad = rows.filter(_RAGGED).select(SOURCE_FILE, "file_size").distinct()
+    refused = bad.select(
+        F.col(f"{SOURCE_FILE}.path").alias("path"), "file_size",
+        F.col(f"{SOURCE_FILE}.modified_at").alias("modified_at"),
+        F.lit(COLUMN_COUNT).alias("reject_reason"))
+    good = rows.join(bad.select(SOURCE_FILE), SOURCE_FILE, "left_anti").drop(_RAGGED, "file_size")
+    return Landed(good, refused)
+
+
+def read_extract(spark: SparkSession, path: str | list[str], schema: T.StructType,
+                 file_format: str = "csv", multiline: bool = False, cut: Cut = durable) -> Landed:
+    """Extract files as text columns by position, with the place of each row.
+
+    CSV files are split by Spark; pass `multiline=True` for files whose cells hold line breaks:
+    each is then read by one task. A CSV file with a row of another number of cells is refused.
+    Parquet files of one read share one schema; another number of columns raises.
+    The rows are written once (`cut`), so that later steps do not parse the files again.
+    """
+    if file_format == "parquet":
+        rows = _parquet_rows(spark, path, schema)
+    elif file_format == "csv":
+        rows = _csv_rows(spark, path, schema, multiline)
+    else:
+        raise ValueError(f"unknown extract format {file_format}")
+    return _sorted_out(rows, cut)
 
 
-def read_order_extract(spark: SparkSession, path: str | list[str], file_format: str = "csv",
-                       multiline: bool = True) -> DataFrame:
-    """S3: 17 text columns by position, with the place of each row.
+def read_listed(spark: SparkSession, files: DataFrame, schema: T.StructType, multiline: bool,
+                suffixes: tuple[str, ...], max_bytes: int | None, cut: Cut) -> Landed:
+    """The files of a bounded listing (path, file_size, modified_at), of either format.
 
-    Cells may hold line breaks, so each CSV file is read by one task; admission bounds its
-    size. Pass `multiline=False` for larger files without such cells, and Spark splits them.
+    Paths and Parquet column names go through the driver: bound the listing.
     """
-    return _read(spark, path, ORDER_EXTRACT, file_format, multiline)
+    judged = cut(judged_files(files, suffixes, max_bytes))
+    refused = judged.filter("reject_reason IS NOT NULL")
+    paths = [_literal(r.path) for r in judged.filter("reject_reason IS NULL").select("path").collect()]
+    parts: list[DataFrame] = []
+    csv = [p for p in paths if not p.lower().endswith(".parquet")]
+    if csv:
+        parts.append(_csv_rows(spark, csv, schema, multiline))
+    for path in sorted(set(paths) - set(csv)):
+        try:
+            parts.append(_parquet_rows(spark, path, schema))
+        except ColumnMismatch:
+            refused = refused.unionByName(judged.filter(F.col("path") == path.replace("\\", "")).withColumn(
+                "reject_reason", F.lit(COLUMN_COUNT)))
+    if not parts:
+        place = T.StructType([
+            T.StructField(SOURCE_FILE, T.StructType([T.StructField("modified_at", T.TimestampType()),
+                                                     T.StructField("path", T.StringType())])),
+            T.StructField(SOURCE_CHUNK, T.LongType()), T.StructField(SOURCE_ROW, T.LongType())])
+        return Landed(spark.createDataFrame([], T.StructType([*schema.fields, *place.fields])), refused)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    landed = _sorted_out(rows, cut)
+    return Landed(landed.rows, refused.unionByName(landed.refused))
+
+
+def _literal(path: str) -> str:
+    """A path whose characters are no glob."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+
+
+def read_order_extract(spark: SparkSession, path: str | list[str], file_format: str = "csv",
+                       multiline: bool = False, cut: Cut = durable) -> Landed:
+    """S3: 17 text columns by position; see `read_extract`."""
+    return read_extract(spark, path, ORDER_EXTRACT, file_format, multiline, cut)
 
 
 def read_sales_extract(spark: SparkSession, path: str | list[str], file_format: str = "csv",
-                       multiline: bool = True) -> DataFrame:
-    """15 text columns by position, with the place of each row; see `read_order_extract`."""
-    return _read(spark, path, SALES_EXTRACT, file_format, multiline)
+                       multiline: bool = False, cut: Cut = durable) -> Landed:
+    """15 text columns by position; see `read_extract`."""
+    return read_extract(spark, path, SALES_EXTRACT, file_format, multiline, cut)

@@ -44,7 +44,8 @@ class SampleWarehouse:
         return self.raw(name).agg(F.count(F.lit(1))).scalar()
 
     def _product_names(self) -> DataFrame:
-        return self.raw("part").select("p_partkey", _product_name().alias("product_name"))
+        return self.raw("part").select(
+            "p_partkey", "p_brand", "p_size", _product_name().alias("product_name"))
 
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -53,7 +54,7 @@ class SampleWarehouse:
     @cached_property
     def dim_factory(self) -> DataFrame:
         key = F.col("s_suppkey")
-        return self.raw("supplier").filter(key % 10 != 9).select(
+        return self.raw("supplier").select(
             key.cast("string").alias("factory_code"),
             F.col("s_name").alias("factory_name"),
             F.concat(F.lit("Rep "), F.col("s_nationkey").cast("string")).alias("salesman"),
@@ -74,13 +75,24 @@ class SampleWarehouse:
     def fact_sales(self) -> DataFrame:
         part = self._product_names()
         line = self.raw("lineitem")
+        day = F.col("l_shipdate").cast("date")
         return line.join(part, line.l_partkey == part.p_partkey).select(
             F.col("l_orderkey").cast("string").alias("order_code"),
-            F.col("l_suppkey").cast("string").alias("factory_code"),
+            _known_or_not(F.col("l_suppkey")).alias("factory_code"),
             F.col("l_partkey").cast("string").alias("product_code"),
             "product_name",
-            F.col("l_shipdate").cast("date").alias("sales_date"),
+            F.col("p_brand").alias("qc"),
+            day.alias("sales_date"),
+            F.concat_ws("-", F.lit("2301"), "l_orderkey", "l_linenumber").alias("sales_code"),
             F.col("l_quantity").alias("sales_quantity"),
+            F.lit("kg").alias("unit"),
+            F.floor(F.col("l_quantity") / 4).cast("double").alias("package_sales_quantity"),
+            _package(F.col("p_size")).alias("package_unit"),
+            F.concat(F.lit("D"), (F.col("l_suppkey") % 7).cast("string")).alias("department"),
+            F.concat(F.lit("Rep "), (F.col("l_suppkey") % 25).cast("string")).alias("salesman"),
+            F.concat(F.lit("W"), F.col("l_returnflag")).alias("warehouse_code"),
+            F.col("l_linestatus").alias("warehouse_type"),
+            F.date_add(day, 1).cast("timestamp").alias("import_timestamp"),
         )
 
     @cached_property
@@ -94,13 +106,27 @@ class SampleWarehouse:
         order_day = F.col("o_orderdate").cast("date")
         return orders.join(part, orders.part_key == part.p_partkey).select(
             F.col("o_orderkey").cast("string").alias("order_code"),
-            F.col("supplier_key").cast("string").alias("factory_code"),
+            _known_or_not(F.col("supplier_key")).alias("factory_code"),
+            F.concat(F.lit("F"), (F.col("o_custkey") % 5).cast("string")).alias("factory_order_code"),
+            F.col("o_orderpriority").alias("tax_type"),
+            F.concat(F.lit("D"), (F.col("o_custkey") % 7).cast("string")).alias("department"),
+            F.concat(F.lit("Rep "), (F.col("o_custkey") % 25).cast("string")).alias("salesman"),
+            ((F.col("o_orderkey") % 5) * 0.25).cast("double").alias("deposit_rate"),
+            F.concat(F.lit("Street "), F.col("o_custkey").cast("string")).alias("delivery_address"),
             F.col("p_partkey").cast("string").alias("product_code"),
             "product_name",
+            F.col("p_brand").alias("qc"),
+            F.col("o_orderstatus").alias("warehouse_type"),
             order_day.alias("order_date"),
             F.date_add(order_day, (F.col("o_orderkey") % 60 + 30).cast("int"))
             .alias("estimated_delivery_date"),
+            F.date_add(order_day, 30).alias("original_estimated_delivery_date"),
             F.floor(F.col("o_totalprice") / 1000).cast("double").alias("order_quantity"),
+            F.floor(F.col("o_totalprice") / 2000).cast("double").alias("delivered_quantity"),
+            F.lit("kg").alias("unit"),
+            _package(F.col("p_size")).alias("package_unit"),
+            F.date_add(order_day, 1).cast("timestamp").alias("import_timestamp"),
+            F.date_add(order_day, 2).cast("timestamp").alias("import_wh_timestamp"),
         )
 
     @cached_property
@@ -143,7 +169,7 @@ class SampleWarehouse:
         made = F.date_add(F.lit("2020-01-01").cast("date"), (key % 900).cast("int")).cast("timestamp")
         return self.raw("part").select(
             key.cast("string").alias("id"),
-            (key % 100).cast("string").alias("factory"),
+            _known_or_not(key % 100).alias("factory"),
             F.col("p_name").alias("name"),
             F.when(F.col("p_size") < 20, "PALLET").when(F.col("p_size") < 35, "HANGING")
             .otherwise("ROLLER").alias("type"),
@@ -160,7 +186,7 @@ class SampleWarehouse:
         key = F.col("s_suppkey")
         return self.raw("supplier").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select(
             (key * 2 + F.col("copy")).alias("seq"),
-            key.cast("string").alias("factory_code"),
+            _known_or_not(key).alias("factory_code"),
             F.when((key % 20 != 9) | (F.col("copy") == 1),
                    F.concat_ws(" ", F.lit("New"), key.cast("string"), F.col("copy").cast("string")))
             .alias("factory_name"),
@@ -174,7 +200,7 @@ class SampleWarehouse:
         key, copy = F.col("s_suppkey"), F.col("copy")
         return self.raw("supplier").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select(
             (key * 2 + copy).alias("seq"),
-            key.cast("string").alias("factory_code"),
+            _known_or_not(key).alias("factory_code"),
             F.when((key + copy) % 3 == 0, key % 2 == 0).alias("is_active"),
             F.when((key + copy) % 4 == 0, key % 2 == 1).alias("has_onsite"),
         )
@@ -229,7 +255,7 @@ class SampleWarehouse:
         key = F.col("p_partkey")
         return self.raw("part").select(
             key.alias("seq"),
-            (key % 100).cast("string").alias("factory"),
+            _known_or_not(key % 100).alias("factory"),
             F.col("p_name").alias("name"),
             F.when(key % 11 == 0, "BELT").otherwise("HANGING").alias("type"),
             F.col("p_brand").alias("description"),
@@ -261,7 +287,7 @@ class SampleWarehouse:
             return (F.floor(F.col("o_totalprice") / divisor) + added).cast("string")
 
         return orders.select(
-            F.when(key % 29 == 0, "junk").otherwise(_day_text(day, key % 3)).alias("order_date"),
+            F.when(key % 29 == 0, "junk").otherwise(_day_text(day, key % 8)).alias("order_date"),
             empty.alias("ct_date"),
             empty.alias("original_estimated_delivery_date"),
             F.date_add(day, (key % 60 + 30).cast("int")).cast("string")
@@ -282,12 +308,17 @@ class SampleWarehouse:
             F.when(key % 2 == 0, "1").otherwise("1.0").alias("numerical_order"),
             F.lit("A").alias("path"),
             F.col("o_orderstatus").alias("warehouse_type"),
+            F.lit(upload).alias("source_file"),
             F.floor(key / 100000).alias("source_chunk"),
             (key * 2 + F.col("copy")).alias("source_row"),
         )
 
     def sales_extract(self, upload: int = 0) -> DataFrame:
-        """Text cells of a sales extract: 0 = all lines, 1 and 2 = two uploads that overlap."""
+        """Text cells of a sales extract: 0 = all lines, 1 and 2 = two uploads that overlap.
+
+        Chunks are bounded runs of the source order (order, line, part, ...), and some orders
+        lie in two of them.
+        """
         order, part, supplier = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
         lines = self.raw("lineitem")
         if upload == 1:
@@ -295,13 +326,12 @@ class SampleWarehouse:
         elif upload == 2:
             lines = lines.filter("l_shipdate >= '1998-01-01'")
         day = F.col("l_shipdate").cast("date")
-        form = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
         prefix = F.element_at(F.array(F.lit("2301-"), F.lit("2302-"), F.lit("2399-")),
                               (order % 3 + 1).cast("int"))
         tag = F.element_at(F.array(*map(F.lit, ["ST", "TN", "BP", "QT", ""])),
                            (part % 5 + 1).cast("int"))
         return lines.select(
-            F.when(part % 101 == 0, "junk").otherwise(_day_text(day, form)).alias("sales_date"),
+            F.when(part % 101 == 0, "junk").otherwise(_day_text(day, order % 8)).alias("sales_date"),
             F.lit("").alias("ct_date"),
             F.when(order % 499 != 0, F.concat(prefix, order.cast("string"))).alias("sales_code"),
             _factory_text(supplier).alias("factory_code"),
@@ -316,16 +346,30 @@ class SampleWarehouse:
             F.lit("").alias("import_code"),
             F.lit("null").alias("note"),
             tag.alias("factory_order_code"),
-            F.struct("l_linenumber", "l_partkey").alias("source_chunk"),
-            F.struct("l_suppkey", "l_shipdate", "l_quantity").alias("source_row"),
+            F.lit(upload).alias("source_file"),
+            F.floor((order * 8 + F.col("l_linenumber")) / 100).alias("source_chunk"),
+            F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+            .alias("source_row"),
         )
 
 
 def _day_text(day: Column, form: Column) -> Column:
-    """Day first for form 0, ISO for form 1, ISO with a time for any other form."""
-    return (F.when(form == 0, F.date_format(day, "d/M/yyyy"))
-            .when(form == 1, day.cast("string"))
-            .otherwise(F.concat(day.cast("string"), F.lit(" 00:00:00"))))
+    """One day in the forms that spreadsheets write: day first or ISO, three separators, with and
+    without a time."""
+    text = day.cast("string")
+    for i, pattern in enumerate(("d/M/yyyy", "yyyy-MM-dd", "yyyy-MM-dd 00:00:00", "dd-MM-yyyy",
+                                 "d.M.yyyy", "yyyy/MM/dd", "dd/MM/yyyy 00:00:00")):
+        text = F.when(form == i, F.date_format(day, pattern)).otherwise(text)
+    return F.when(form == 7, F.concat(day.cast("string"), F.lit("T00:00:00"))).otherwise(text)
+
+
+def _known_or_not(key: Column) -> Column:
+    """The code of a supplier; every tenth code is one that no supplier has."""
+    return F.when(key % 10 == 9, key + 1_000_000).otherwise(key).cast("string")
+
+
+def _package(size: Column) -> Column:
+    return F.when(size < 25, "can").otherwise("drum")
 
 
 def _factory_text(key: Column) -> Column:

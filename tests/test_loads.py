@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import csv
+import os
+import time
 from datetime import date, datetime
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from extract_rows import write_orders, write_sales
 from pyspark.sql import functions as F
 
 from tallymill.plans import facts, staging
-from tallymill.plans.loads import load_orders, load_sales
+from tallymill.operators.upsert import insert_absent
+from tallymill.plans.loads import load_order_files, load_orders, load_sales, load_sales_files
 from tallymill.sources.landing import ColumnMismatch, admit, read_order_extract, read_sales_extract
 from tallymill.schemas import ORDER_STAGING_COLUMNS
-from tallymill.sources.tables import Store, padded
+from tallymill.session import durable, shared_folder
+from tallymill.sources import tables
+from tallymill.sources.tables import ConcurrentWrite, Store, padded
 from tallymill.streaming.landing import load_landed_orders, load_landed_sales
 
 T1, T2, T3 = (datetime(2024, 3, d, 8) for d in (1, 2, 3))
@@ -29,7 +38,6 @@ def by_code(df, code):
 def test_admission(spark, tmp_path):
     write_orders(tmp_path / "good.csv", {})
     (tmp_path / "Also.CSV").write_text("a\n")
-    (tmp_path / "empty.csv").write_text("")
     (tmp_path / "sheet.xlsx").write_text("x")
     (tmp_path / "plain").write_text("x")
     write_orders(tmp_path / "two words %.csv", {})
@@ -38,8 +46,8 @@ def test_admission(spark, tmp_path):
     names = [p.rsplit("/", 1)[1] for p in column(accepted, "path")]
     assert names == ["Also.CSV", "good.csv", "two words %.csv"]
     reasons = {r.path.rsplit("/", 1)[1]: r.reject_reason for r in rejected.collect()}
-    assert reasons == {"empty.csv": "empty", "sheet.xlsx": "wrong_suffix",
-                       "plain": "wrong_suffix", "large.csv": "too_large"}
+    assert reasons == {"sheet.xlsx": "wrong_suffix", "plain": "wrong_suffix", "large.csv": "too_large"}
+    assert admit(spark, str(tmp_path)).accepted.count() == 4
 
 
 def test_admission_reads_no_content(spark, tmp_path):
@@ -48,13 +56,38 @@ def test_admission_reads_no_content(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
-def test_wrong_number_of_columns(spark, tmp_path):
-    path = tmp_path / "short.csv"
-    path.write_text(",".join(f"c{i}" for i in range(14)) + "\n" + "," * 13 + "\n")
+def test_files_of_another_width_are_refused(spark, tmp_path):
+    """A file without its last column must not shift or lose cells; the others are read."""
+    write_sales(tmp_path / "good.csv", {}, {})
+    lines = (tmp_path / "good.csv").read_text().splitlines()
+    (tmp_path / "short.csv").write_text("\n".join(x.rsplit(",", 1)[0] for x in lines) + "\n")
+    (tmp_path / "long.csv").write_text("\n".join([*lines, lines[1] + ",more"]) + "\n")
+    landed = read_sales_extract(spark, str(tmp_path))
+    assert landed.rows.count() == 2
+    refused = {r.path.rsplit("/", 1)[1]: r.reject_reason for r in landed.refused.collect()}
+    assert refused == {"short.csv": "column_count", "long.csv": "column_count"}
+    raw = spark.read.option("header", True).csv(str(tmp_path / "short.csv")).coalesce(1)
+    raw.write.parquet(str(tmp_path / "p.parquet"))
     with pytest.raises(ColumnMismatch, match="expected 15 columns, found 14"):
-        read_sales_extract(spark, str(path))
-    with pytest.raises(ColumnMismatch):
-        read_order_extract(spark, str(path))
+        read_sales_extract(spark, str(tmp_path / "p.parquet"), "parquet")
+    store = Store(spark, str(tmp_path / "warehouse"))
+    load_sales_files(store, landed, T1)
+    assert store.read("landing_rejects").count() == 2 and store.read("fact_sales").count() == 2
+
+
+DATES = {"31-12-2024": "2024-12-31", "31.12.2024": "2024-12-31", "2024/12/31": "2024-12-31",
+         "31/12/2024 00:00:00": "2024-12-31", "2024-12-31T00:00:00": "2024-12-31", "1/3/2024": "2024-03-01",
+         "2024-3-1 8:05": "2024-03-01", "01.03.2024T23:59:59.25": "2024-03-01", "31/02/2024": None,
+         "12/31/2024": None, "1/3-2024": None, "2024-12-31 junk": None, "31/12/24": None, "": None,
+         "2024-12-31 25:00": None, "20241231": None}
+
+
+def test_date_forms(spark):
+    from tallymill.functions.dates import parse_day_first
+
+    rows = spark.createDataFrame(list(DATES), "string").select(
+        "value", parse_day_first(F.col("value")).cast("string").alias("day"))
+    assert {r.value: r.day for r in rows.collect()} == DATES
 
 
 def test_order_cleaning(spark, tmp_path):
@@ -68,7 +101,7 @@ def test_order_cleaning(spark, tmp_path):
         {"order_code": "2201-5", "order_date": "1/3/2024", "note": 'two\nlines, "quoted"'},
         {"order_code": "2201-6", "order_date": "2024-03-01 00:00:00", "factory_code": ""},
     )
-    cleaned = staging.clean_orders(read_order_extract(spark, path), T1)
+    cleaned = staging.clean_orders(read_order_extract(spark, path, multiline=True).rows, T1)
     reasons = sorted(r.reject_reason for r in staging.rejected(cleaned).collect())
     assert reasons == ["bad_ordinal", "bad_quantity", "missing_code", "missing_code"]
     rows = by_code(staging.accepted(cleaned), "order_code")
@@ -101,12 +134,11 @@ def test_sales_ordinals_follow_the_file(spark, tmp_path, file_format):
         raw.write.parquet(path)
         options = {"file_format": "parquet"}
     elif file_format == "split csv":
-        options = {"multiline": False}
         spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        extract = read_sales_extract(spark, path, **options)
+        extract = read_sales_extract(spark, path, **options).rows
         if file_format == "split csv":
-            assert extract.rdd.getNumPartitions() > 5
+            assert extract.select("source_chunk").distinct().count() > 5
         rows = staging.accepted(staging.clean_sales(extract, T1)).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -146,10 +178,10 @@ def test_order_load(spark, tmp_path):
          "order_date": "junk"},
         {"order_code": ""},
     )
-    stats = load_orders(store, read_order_extract(spark, first), T1).first().asDict()
+    stats = load_order_files(store, read_order_extract(spark, first), T1).first().asDict()
     assert stats == {
         "staging_inserted": 6, "staging_updated": 0, "staging_skipped": 1, "staging_rejected": 1,
-        "fact_inserted": 4, "fact_updated": 0, "fact_rejected": 2, "factories_added": 2,
+        "staging_bad_dates": 1, "fact_inserted": 4, "fact_updated": 0, "fact_rejected": 2, "factories_added": 2,
         "products_added": 2}
     staged = by_code(store.read("order_staging"), "order_code")
     assert staged["2201-1-0001"].order_quantity == 11
@@ -167,7 +199,7 @@ def test_order_load(spark, tmp_path):
     assert {r.product_name for r in products} == {"Gloss", "Matt"}
 
     # The same file again: no new fact rows.
-    stats = load_orders(store, read_order_extract(spark, first), T2).first().asDict()
+    stats = load_order_files(store, read_order_extract(spark, first), T2).first().asDict()
     assert (stats["staging_inserted"], stats["staging_updated"]) == (0, 6)
     assert (stats["fact_inserted"], stats["fact_updated"]) == (0, 4)
     assert stats["factories_added"] == stats["products_added"] == 0
@@ -180,7 +212,7 @@ def test_order_load(spark, tmp_path):
          "product_name": "Other", "order_date": "1/1/2020"},
         {"order_code": "2201-7", "order_date": "5/4/2024", "product_name": "Satin"})
     before = by_code(store.read("fact_order"), "order_code")
-    load_orders(store, read_order_extract(spark, second), T3)
+    load_order_files(store, read_order_extract(spark, second), T3)
     after = by_code(store.read("fact_order"), "order_code")
     assert after["2201-4-0001"].order_quantity == 99
     assert after["2201-4-0001"].delivered_quantity is None
@@ -208,7 +240,7 @@ def test_sales_load(spark, tmp_path):
         {"sales_code": "2303-1"}, {"sales_code": "2301-2", "qc": ""}, {"sales_code": ""},
         {"sales_code": "2301-3", "factory_code": "", "sales_date": "junk"},
     )
-    stats = load_sales(store, read_sales_extract(spark, first), T1).first().asDict()
+    stats = load_sales_files(store, read_sales_extract(spark, first), T1).first().asDict()
     assert stats["staging_inserted"] == 6 and stats["staging_rejected"] == 1
     assert stats["fact_inserted"] == 4 and stats["fact_rejected"] == 2
     sales = by_code(store.read("fact_sales"), "sales_code")
@@ -221,7 +253,7 @@ def test_sales_load(spark, tmp_path):
     # A corrected upload is ignored; a new line is not.
     second = write_sales(tmp_path / "2.csv", {"sales_code": "2301-1", "sales_quantity": "77"},
                          {"sales_code": "2301-8", "sales_quantity": "3"})
-    stats = load_sales(store, read_sales_extract(spark, second), T2).first().asDict()
+    stats = load_sales_files(store, read_sales_extract(spark, second), T2).first().asDict()
     assert (stats["staging_inserted"], stats["staging_skipped"]) == (1, 1)
     assert (stats["fact_inserted"], stats["fact_updated"]) == (1, 0)
     after = by_code(store.read("fact_sales"), "sales_code")
@@ -230,16 +262,16 @@ def test_sales_load(spark, tmp_path):
 
     # Nothing new: the load ends early, and no version is written.
     version = store.version("fact_sales")[0]
-    stats = load_sales(store, read_sales_extract(spark, second), T3).first().asDict()
+    stats = load_sales_files(store, read_sales_extract(spark, second), T3).first().asDict()
     assert stats["staging_skipped"] == 2 and stats["fact_inserted"] == 0
     assert store.version("fact_sales")[0] == version
 
 
 def test_empty_extract(spark, tmp_path):
     store = Store(spark, str(tmp_path / "warehouse"))
-    stats = load_orders(store, read_order_extract(spark, write_orders(tmp_path / "o.csv")), T1)
+    stats = load_order_files(store, read_order_extract(spark, write_orders(tmp_path / "o.csv")), T1)
     assert set(stats.first()) == {0}
-    stats = load_sales(store, read_sales_extract(spark, write_sales(tmp_path / "s.csv")), T1)
+    stats = load_sales_files(store, read_sales_extract(spark, write_sales(tmp_path / "s.csv")), T1)
     assert set(stats.first()) == {0}
 
 
@@ -247,11 +279,11 @@ def test_update_rewrites_only_matched_months(spark, tmp_path):
     store = Store(spark, str(tmp_path / "warehouse"))
     path = write_orders(tmp_path / "1.csv", *[
         {"order_code": f"2201-{m}", "order_date": f"1/{m}/2024"} for m in range(1, 7)])
-    load_orders(store, read_order_extract(spark, path), T1)
+    load_order_files(store, read_order_extract(spark, path), T1)
     old = set(store.version("fact_order")[1])
     assert len(old) == 6
     path = write_orders(tmp_path / "2.csv", {"order_code": "2201-3", "order_quantity": "50"})
-    load_orders(store, read_order_extract(spark, path), T2)
+    load_order_files(store, read_order_extract(spark, path), T2)
     new = set(store.version("fact_order")[1])
     assert {f.month for f in old - new} == {"2024-03-01"} == {f.month for f in new - old}
     assert store.read("fact_order").count() == 6
@@ -261,7 +293,7 @@ def test_insert_adds_folders_only(spark, tmp_path):
     store = Store(spark, str(tmp_path / "warehouse"))
     for i, when in enumerate((T1, T2)):
         path = write_sales(tmp_path / f"{i}.csv", {"sales_code": f"2301-{i}"})
-        load_sales(store, read_sales_extract(spark, path), when)
+        load_sales_files(store, read_sales_extract(spark, path), when)
     folders = store.version("fact_sales")[1]
     assert len(folders) == 2 and {f.month for f in folders} == {"2024-03-01"}
     assert store.read("fact_sales").count() == 2
@@ -274,7 +306,7 @@ def test_reports_prune_stored_months(spark, tmp_path):
     store = Store(spark, str(tmp_path / "warehouse"))
     path = write_sales(tmp_path / "1.csv", *[
         {"sales_code": f"2301-{m}", "sales_date": f"15/{m}/2024"} for m in range(1, 13)])
-    load_sales(store, read_sales_extract(spark, path), T1)
+    load_sales_files(store, read_sales_extract(spark, path), T1)
     rows = days_within(store.read("fact_sales"), "sales_date", [DateRange.of("2024-03-10", "2024-04-20")])
     assert rows.count() == 2
     plan = rows._jdf.queryExecution().executedPlan().toString()
@@ -311,7 +343,170 @@ def test_landed_files_load_as_a_stream(spark, tmp_path):
 
 def test_reject_reasons_of_facts(spark, tmp_path):
     path = write_sales(tmp_path / "s.csv", {"sales_code": "2303-1"}, {"qc": "nan"}, {})
-    staged = staging.staged_sales(staging.clean_sales(read_sales_extract(spark, path), T1))
+    staged = staging.staged_sales(staging.clean_sales(read_sales_extract(spark, path).rows, T1))
     labelled = facts.sales_facts(staged, T1)
     assert column(staging.rejected(labelled), "reject_reason") == ["missing_qc", "other_document"]
     assert column(staging.accepted(labelled), "sales_code") == ["2301-1-0002"]
+
+
+def _arrive(path, age):
+    """Set a file's time of arrival, `age` seconds ago."""
+    then = time.time() - age
+    os.utime(path, (then, then))
+
+
+def _land(folder, kind):
+    """Files whose order of arrival is not that of their names."""
+    folder.mkdir()
+    write, code, quantity, first = {
+        "sales": (write_sales, "sales_code", "sales_quantity", "2301-1"),
+        "orders": (write_orders, "order_code", "order_quantity", "2201-1")}[kind]
+    files = [("9.csv", [{code: first, quantity: "5"}, {code: first + "7", quantity: "1"}]),
+             ("10.CSV", [{code: first, quantity: "20"}]),
+             ("10 again.csv", [{code: first, quantity: "20"}]),
+             ("[1].csv", [{code: first + "8", quantity: "3"}]),
+             ("0.csv", [{code: first, quantity: "30"}])]
+    for i, (name, rows) in enumerate(files):
+        write(folder / name, *rows)
+        _arrive(folder / name, 100 - i)
+    raw = write(folder / "aside", {code: first + "9", quantity: "4"})
+    (folder / "aside").rename(folder.parent / f"{kind}.aside")
+    table = csv.DictReader(open(folder.parent / f"{kind}.aside"))
+    pq.write_table(pa.Table.from_pylist(list(table)), folder / "late.parquet")
+    (folder / "notes.txt").write_text("x")
+    return raw
+
+
+@pytest.mark.parametrize("max_files", [1, 1000])
+def test_tables_do_not_depend_on_triggers(spark, tmp_path, max_files):
+    store = Store(spark, str(tmp_path / "warehouse"))
+    for kind, start in (("sales", load_landed_sales), ("orders", load_landed_orders)):
+        _land(tmp_path / kind, kind)
+        query = start(store, str(tmp_path / kind), str(tmp_path / f"progress-{kind}"), max_files=max_files)
+        query.awaitTermination()
+    sales = {r.sales_code: r.sales_quantity for r in store.read("fact_sales").collect()}
+    assert sales == {"2301-1-0001": 5, "2301-17-0001": 1, "2301-18-0001": 3, "2301-19-0001": 4}
+    orders = {r.order_code: r.order_quantity for r in store.read("fact_order").collect()}
+    assert orders == {"2201-1-0001": 30, "2201-17-0001": 1, "2201-18-0001": 3, "2201-19-0001": 4}
+    assert [r.reject_reason for r in store.read("landing_rejects").collect()] == ["wrong_suffix"] * 2
+
+
+def test_large_files_are_loaded(spark, tmp_path):
+    folder = tmp_path / "large"
+    folder.mkdir()
+    write_orders(folder / "large.csv", *[{"order_code": f"2201-{i}", "note": "n" * 90_000} for i in range(620)])
+    assert (folder / "large.csv").stat().st_size > 50 << 20
+    store = Store(spark, str(tmp_path / "warehouse"))
+    load_landed_orders(store, str(folder), str(tmp_path / "progress")).awaitTermination()
+    assert store.read("fact_order").count() == 620
+    small = Store(spark, str(tmp_path / "bounded"))
+    load_landed_orders(small, str(folder), str(tmp_path / "progress-2"), max_bytes=1000).awaitTermination()
+    assert [r.reject_reason for r in small.read("landing_rejects").collect()] == ["too_large"]
+
+
+def test_dimensions_see_rows_of_a_load_that_ended_early(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "warehouse"))
+    load = lambda name, row, now: load_order_files(store, read_order_extract(
+        spark, write_orders(tmp_path / name, row)), now).first()
+    load("1.csv", {"order_code": "2201-1"}, T2)
+    # Stamped before the watermark: no fact row, and no look at the dimensions.
+    early = load("2.csv", {"order_code": "2201-2", "factory_code": "77"}, T1)
+    assert early.staging_inserted == 1 and early.fact_inserted == early.factories_added == 0
+    assert load("3.csv", {"order_code": "2201-3", "factory_code": "88"}, T3).factories_added == 2
+    assert set(by_code(store.read("dim_factory"), "factory_code")) == {"30673", "77", "88"}
+
+
+def _parts(number):
+    return [{"id": str(i), "name": f"n{i}"} for i in range(number)]
+
+
+def test_a_crashed_commit_is_not_in_the_way(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame(_parts(3))
+    store.append("dim_retailer", rows)
+    before = store.version("dim_retailer")
+    # What a load leaves that ends while it writes, and one that ends while it commits.
+    (tmp_path / "dim_retailer/data/load=lost/_temporary").mkdir(parents=True)
+    (tmp_path / "dim_retailer/versions/000000000002.json.5.tmp").write_text("{")
+    assert store.version("dim_retailer") == before
+    store.append("dim_retailer", rows)
+    assert store.read("dim_retailer").count() == 6
+    assert store.vacuum("dim_retailer") == 0 and store.vacuum("dim_retailer", min_age=-1) == 1
+    assert store.read("dim_retailer").count() == 6
+
+
+def test_the_second_writer_fails(spark, tmp_path):
+    store, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    rows = spark.createDataFrame(_parts(2))
+    store.append("dim_retailer", rows)
+    before = other.version("dim_retailer")
+    store.append("dim_retailer", rows)
+    with pytest.raises(ConcurrentWrite):
+        other._commit("dim_retailer", before, before.folders)
+    assert store.read("dim_retailer").count() == 4
+
+
+def test_versions_and_folders_stay_few(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame(_parts(1))
+    for _ in range(tables.VERSIONS + 15):
+        store.append("dim_retailer", rows)
+    assert store.read("dim_retailer").count() == tables.VERSIONS + 15
+    assert len(store.version("dim_retailer").folders) <= tables.FOLDERS + 1
+    assert len(list((tmp_path / "dim_retailer/versions").glob("[0-9]*.json"))) == tables.VERSIONS
+    named = {f.load for n in store._numbers("dim_retailer") for f in store._version("dim_retailer", n).folders}
+    assert {p.name for p in (tmp_path / "dim_retailer/data").iterdir()} == {f"load={x}" for x in named}
+
+
+def _stored_orders(spark, root, number):
+    store = Store(spark, str(root))
+    rows = spark.range(number).select(
+        F.concat(F.lit("2201-"), F.col("id").cast("string")).alias("order_code"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("order_date"),
+        F.lit(T1.isoformat(sep=" ")).cast("timestamp").alias("import_timestamp"))
+    store.append("fact_order", rows)
+    return store
+
+
+def test_a_small_batch_does_not_shuffle_the_stored_keys(spark, tmp_path):
+    store = _stored_orders(spark, tmp_path, 20_000)
+    new = durable(spark.createDataFrame([("2201-5",), ("2201-x",)], "order_code string"))
+    absent = insert_absent(store.read("fact_order"), new, "order_code")
+    assert column(absent, "order_code") == ["2201-x"]
+    plan = absent._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_incremental_reads_open_newer_folders_only(spark, tmp_path):
+    store = _stored_orders(spark, tmp_path, 900)
+    first = store.version("fact_order")
+    late = spark.createDataFrame([("2201-new", date(2024, 1, 5), T2)],
+                                 "order_code string, order_date date, import_timestamp timestamp")
+    store.append("fact_order", late)
+    rows = store.read_since("fact_order", first.newest)
+    assert column(rows, "order_code") == ["2201-new"] and len(rows.inputFiles()) == 1
+    assert store.version("fact_order").newest > first.newest
+    assert store.read_since("fact_order", store.version("fact_order").newest).count() == 0
+    assert column(store.read_made_after("fact_order", first.number), "order_code") == ["2201-new"]
+
+
+def test_loads_leave_no_copies(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "warehouse"))
+    shared = Path(shared_folder(spark)) / "tallymill"
+    landed = read_sales_extract(spark, write_sales(tmp_path / "1.csv", {}))
+    before = set(shared.iterdir())
+    load_sales_files(store, landed, T1)
+    assert set(shared.iterdir()) == before
+
+
+def test_newest_sales_date_reads_one_month(spark, tmp_path):
+    from tallymill.plans.totals import max_sales_date
+
+    store = Store(spark, str(tmp_path))
+    rows = [(f"2301-{m}", date(2024, m, 3)) for m in range(1, 13)]
+    store.append("fact_sales", spark.createDataFrame(rows, "sales_code string, sales_date date"))
+    newest = max_sales_date(store.read("fact_sales"))
+    assert newest.first()[0] == "2024-12-03"
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "sales_date_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
