@@ -394,6 +394,13 @@ def report_sql() -> dict[str, str]:
         "overall_breakdown": _sql("dim_factory fact_sales fact_order", "SELECT * FROM parts",
                                   **_breakdown_steps(P.year)),
         "overall_nested": _nested(P.year),
+        "overall_breakdown_order": _sql(
+            "dim_factory fact_sales fact_order",
+            """SELECT month, factory_code, CAST(row_number() OVER (ORDER BY month, factory_code) AS INT)
+                AS place FROM parts""", **_breakdown_steps(P.year)),
+        "thinner_pivot_order": _mix("""SELECT factory_code, CAST(row_number() OVER (ORDER BY
+              coalesce(sum(sales_thinner_quantity + sales_paint_quantity) FILTER (WHERE month = 12), 0)
+              DESC, factory_code) AS INT) AS place FROM summary GROUP BY factory_code"""),
         "factory_sales_range_diff_order": f"""SELECT factory_code, quantity_diff,
             CAST(row_number() OVER (ORDER BY quantity_diff, factory_code) AS INT) AS place
             FROM ({_factory_diff("sales", False)})""",

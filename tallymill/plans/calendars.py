@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.params import DateRange, month_end
@@ -32,9 +32,12 @@ def calendar_days(spark: SparkSession, span: DateRange) -> DataFrame:
 def day_window(dim_date: DataFrame, days: tuple[int, int], months: tuple[int, int],
                year: int) -> DataFrame:
     """`calendar_date, month` of the days in a day window of some months of one year."""
-    return dim_date.filter(
-        F.col("day").between(*days) & F.col("month").between(*months) & (F.col("year") == year)
-    ).select(F.col("date").alias("calendar_date"), "month")
+    return dim_date.filter(in_day_window(days, months, year)).select(
+        F.col("date").alias("calendar_date"), "month")
+
+
+def in_day_window(days: tuple[int, int], months: tuple[int, int], year: int) -> Column:
+    return F.col("day").between(*days) & F.col("month").between(*months) & (F.col("year") == year)
 
 
 def days_of_years(dim_date: DataFrame, years: list[int], *fields: str) -> DataFrame:

@@ -114,10 +114,25 @@ def thinner_paint_pivots(sales: DataFrame, thinner: Types = tuple(THINNER_TYPES)
                      extra=[latest.alias("latest_total")])
         return frame.orderBy(F.desc("latest_total"), "factory_code").drop("latest_total")
 
+    def ratios() -> DataFrame:
+        """Two numbers per month are gathered, and the text is made of them at the end."""
+        paints = [F.coalesce(F.max(F.when(F.col("month") == m, p)), F.lit(0.0)).alias(f"paint {m}")
+                  for m in shown]
+        latest = F.sum(F.when(F.col("month") == max(shown), t + p).otherwise(F.lit(0.0)))
+        frame = wide(summary, _FACTORY, "month", shown, t, 0.0, extra=[*paints, latest.alias("latest_total")])
+
+        def text(month: int) -> Column:
+            thin, paint = F.col(f"`{month}`"), F.col(f"`paint {month}`")
+            return F.when((thin != 0) | (paint != 0), _ratio_text(thin, paint)).otherwise("0").alias(str(month))
+
+        return frame.orderBy(F.desc("latest_total"), "factory_code").select(
+            *_FACTORY, *[text(m) for m in shown])
+
     def products(types: Types) -> DataFrame:
         rows = sales.filter(_is_one_of(types))
         columns = present_values(rows, "month") if months is None else shown
         return wide(rows, _PRODUCT, "month", columns, F.col("sales_quantity"), 0.0).orderBy(*_PRODUCT)
 
-    return MixPivots(ranked(t, 0.0), ranked(p, 0.0), ranked(F.col("ratio"), "0"),
+    return MixPivots(ranked(t, 0.0), ranked(p, 0.0),
+                     ratios() if shown else ranked(F.col("ratio"), "0"),
                      products(thinner), products(paint))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.dates import MONTH_SUFFIX, days_within
 from tallymill.functions.numbers import or_zero, ratio
 from tallymill.operators.stacking import stacked_sums
 from tallymill.params import DateRange, code_list
-from tallymill.plans.calendars import day_window, on_calendar
+from tallymill.plans.calendars import day_window, in_day_window, on_calendar
 from tallymill.schemas import EXCLUDED_FACTORIES
 
 Days = tuple[int, int]
@@ -37,43 +37,43 @@ def _slice(fact: DataFrame, date_column: str, quantity: str, calendar: DataFrame
     return rows.select("month", "factory_code", F.col(quantity).alias("quantity"))
 
 
-def _target_value(fact: DataFrame, date_column: str, quantity: str, calendar: DataFrame,
-                  span: DateRange, excluded: list[str]) -> Column:
-    """Target total without the excluded factories, as a scalar subquery.
-
-    A row without factory is neither in nor outside the list, hence not counted.
-    """
-    rows = _slice(fact, date_column, quantity, calendar, span)
-    kept = rows.filter(~F.col("factory_code").isin(excluded))
-    return kept.agg(or_zero(F.sum("quantity"))).scalar()
-
-
 def _overall(fact_sales: DataFrame, fact_order: DataFrame, dim_date: DataFrame, year: int,
              target_year: int, target_month: int, days: Days, months: Days,
              excluded: list[str]) -> DataFrame:
-    calendar = day_window(dim_date, days, months, year)
-    span = DateRange.months(year, *months)
-    target_calendar = day_window(dim_date, days, (target_month, target_month), target_year)
-    target_span = DateRange.months(target_year, target_month, target_month)
+    """One scan per fact: days of the window and of the target period are told apart by the
+    calendar they meet, and the target is summed along with the months.
 
-    in_list = F.col("factory_code").isin(excluded)
+    A row without factory is neither in nor outside the list, hence not in the target.
+    """
+    in_window = in_day_window(days, months, year)
+    in_target = in_day_window(days, (target_month, target_month), target_year)
+    calendar = dim_date.filter(in_window | in_target).select(
+        F.col("date").alias("calendar_date"), F.when(in_window, F.col("month")).alias("month"),
+        in_target.alias("in_target"))
+    spans = [DateRange.months(year, *months), DateRange.months(target_year, target_month, target_month)]
+
+    in_list, shown = F.col("factory_code").isin(excluded), F.col("month").isNotNull()
     facts = {"sales": (fact_sales, "sales_date", "sales_quantity"),
              "order": (fact_order, "order_date", "order_quantity")}
-    frames = [calendar.select("month").distinct()]
-    targets = {}
-    for name, source in facts.items():
-        frames.append(_slice(*source, calendar, span).select(
+    frames = [calendar.filter(shown).select("month").distinct()]
+    for name, (fact, date_column, quantity) in facts.items():
+        rows = on_calendar(days_within(fact, date_column, spans), date_column, calendar)
+        amount = F.col(quantity)
+        frames.append(rows.select(
             "month",
-            F.col("quantity").alias(f"{name}_quantity"),
-            F.when(in_list, F.col("quantity")).alias(f"exclude_factory_{name}_quantity"),
+            F.when(shown, amount).alias(f"{name}_quantity"),
+            F.when(shown & in_list, amount).alias(f"exclude_factory_{name}_quantity"),
+            F.when(F.col("in_target") & ~in_list, amount).alias(f"{name}_target"),
         ))
-        targets[name] = _target_value(*source, target_calendar, target_span, excluded)
 
     measures = [m for name in facts for m in (f"{name}_quantity", f"exclude_factory_{name}_quantity")]
-    totals = stacked_sums(frames, ["month"], measures).select(
+    sums = stacked_sums(frames, ["month"], [*measures, *(f"{name}_target" for name in facts)])
+    # A row for each month and one for the rest: the window sees thirteen rows at most.
+    everywhere = Window.partitionBy()
+    totals = sums.select(
         "month", *[or_zero(F.col(m)).alias(m) for m in measures],
-        *[targets[name].alias(f"{name}_target_value") for name in facts],
-    )
+        *[or_zero(F.sum(f"{name}_target").over(everywhere)).alias(f"{name}_target_value") for name in facts],
+    ).filter(shown)
     remain = {n: F.col(f"{n}_quantity") - F.col(f"exclude_factory_{n}_quantity") for n in facts}
 
     def reached(name: str) -> Column:

@@ -149,6 +149,11 @@ def report_queries() -> dict[str, Query]:
         "factory_sales_range_diff_order": _ranked(lambda w: range_diff.factory_sales_range_diff(
             w.fact_sales, w.fact_order, w.dim_factory, w.dim_date, p.main, p.target, p.threshold,
             False).select("factory_code", "quantity_diff")),
+        "overall_breakdown_order": _ranked(lambda w: totals.overall_breakdown(
+            w.fact_sales, w.fact_order, w.dim_factory, w.dim_date, year=p.year,
+            exclude_factory=p.excluded).select("month", "factory_code")),
+        "thinner_pivot_order": _ranked(lambda w: product_mix.thinner_paint_pivots(
+            _mix_sales(w), p.thinner, p.paint, range(1, 13)).thinner.select("factory_code")),
         "factory_sales_range_diff_falling": _factory_diff("sales", False),
         "factory_order_range_diff_rising": _factory_diff("order", True),
         "factory_order_range_diff_falling": _factory_diff("order", False),
