@@ -113,9 +113,8 @@ def _product_pivot(factory: list[str] | None, increase: bool) -> Query:
 
 def _ranked(build: Callable[[SampleWarehouse], DataFrame]) -> Query:
     """A report with the place of each row in its order; reports have few rows."""
-    place = F.row_number().over(Window.orderBy("place"))
     return _on_sample(lambda w: build(w).withColumn("place", F.monotonically_increasing_id()).withColumn(
-        "place", place))
+        "place", F.row_number().over(Window.orderBy("place"))))
 
 
 def report_queries() -> dict[str, Query]:
