@@ -242,9 +242,9 @@ def _bom(kind: str, groups: list[str], where: str = "TRUE") -> str:
         f"dim_factory fact_{kind} bridge_product_material",
         f"""SELECT {keys}, {extra}
               {two_places(f"sum({qty} * CAST(ratio AS DOUBLE))")} AS material_quantity
-            FROM fact_{kind} NATURAL JOIN dim_factory NATURAL JOIN
+            FROM fact_{kind} JOIN dim_factory USING (factory_code) JOIN
               (SELECT product_name, material_name, ratio FROM bridge_product_material
-               WHERE is_current)
+               WHERE is_current) USING (product_name)
             WHERE {day} {MAIN} AND {where} GROUP BY {keys}""",
     )
 
@@ -833,8 +833,8 @@ def dimension_sql() -> dict[str, str]:
                                         **_FACTORY_INSERT),
         "factory_patch": _sql("dim_factory", """SELECT f.* REPLACE (
               coalesce(y.a, x.a, is_active) AS is_active, coalesce(y.o, x.o, has_onsite) AS has_onsite)
-            FROM dim_factory f JOIN p x ON x.factory_code = f.factory_code AND x.c = 0
-            JOIN p y ON y.factory_code = f.factory_code AND y.c = 1""", **_FACTORY_PATCH),
+            FROM dim_factory f LEFT JOIN p x ON x.factory_code = f.factory_code AND x.c = 0
+            LEFT JOIN p y ON y.factory_code = f.factory_code AND y.c = 1""", **_FACTORY_PATCH),
         "factory_patch_outcomes": _sql("dim_factory", """SELECT k * 2 + c AS seq, factory_code,
             CASE WHEN factory_code NOT IN (SELECT factory_code FROM dim_factory) THEN 'not_found'
               WHEN a IS NULL AND o IS NULL THEN 'empty' ELSE 'updated' END AS outcome FROM p""",
