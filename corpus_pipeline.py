@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymill.llm import bpe, decontaminate, ngram_join, quality_rules, substring_dedup
-from tallymill.llm.common import table
-from tallymill.session import durable
+from tallymill.llm.common import give_package, table
+from tallymill.session import cut_points, durable
 
 ORACLE_SQL = None
 
@@ -55,7 +55,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir))
-    return docs
+    give_package(spark)
+    *stages, (_, last) = STAGES
+    with cut_points(spark) as cut:  # results of earlier stages go at the end
+        docs = table(spark, sf_dir, "documents")
+        for _, stage in stages:
+            docs = cut(stage(spark, docs, sf_dir))
+        return durable(last(spark, docs, sf_dir))

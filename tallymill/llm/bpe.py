@@ -29,8 +29,7 @@ from tallymill.llm.common import slices
 # Fixed value: how byte-level vocabularies cut text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Pieces that a worker remembers; beyond it the memory is emptied and filled again.
-REMEMBERED = 400_000
-REMEMBERED_BYTES = 256
+REMEMBERED = 150_000
 
 
 def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]+"
 # A table is broadcast only if it was written, counted and found to have at most so many rows.
 BROADCAST_ROWS = 1_000_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 LONG_WORD = 4096
 
 
@@ -23,12 +26,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """`df`, a written table of a few narrow columns, marked for broadcast if it has few rows.
 
-    Beyond the bound Spark joins by shuffle and splits skewed partitions.
+    Beyond the bound (BROADCAST_ROWS) Spark joins by shuffle and splits skewed partitions.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
+_GIVEN: set[str] = set()
+
+
+def give_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for an application.
+
+    Functions that run in tasks import it there. Only the driver reads the archive's file; Spark
+    sends it on.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _GIVEN:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _GIVEN.add(context.applicationId)
 
 
 def lower_ascii(text: Column) -> Column:

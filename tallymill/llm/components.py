@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.session import durable
+from tallymill.session import cut_points, durable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,23 +14,22 @@ def components(links: DataFrame) -> DataFrame:
     In each round a node takes the least label among its neighbours and itself, then the label of
     its label, so labels travel over doubling distances. Grouped minima are combined before the
     shuffle; a node with very many links is split by the join. Rounds end when no label changes;
-    each is written, so a lost executor costs one round at most.
+    each is written, so a lost executor costs one round at most. The result is written, the rounds go.
     """
     links = links.where("a is not null and b is not null and a <> b")
-    both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("id")).agg(
-        F.least(F.min("b"), F.col("id")).alias("component")))
-    while True:
-        seen = labels.withColumnRenamed("id", "b").withColumnRenamed("component", "near")
-        near = both.join(seen, "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        least = labels.join(near, "id").select(
-            "id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        least = durable(least)
-        jump = least.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        stepped = durable(least.join(jump, "component").select(
-            "id", F.least("component", "far").alias("component"),
-            (F.least("component", "far") < F.col("old")).alias("changed")))
-        changed = stepped.where("changed").limit(1).count()
-        labels = stepped.drop("changed")
-        if not changed:
-            return labels
+    with cut_points(links.sparkSession) as cut:
+        both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+        labels = cut(both.groupBy(F.col("a").alias("id")).agg(
+            F.least(F.min("b"), F.col("id")).alias("component")))
+        while True:
+            seen = labels.withColumnRenamed("id", "b").withColumnRenamed("component", "near")
+            near = both.join(seen, "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+            least = cut(labels.join(near, "id").select(
+                "id", F.least("component", "near").alias("component"), F.col("component").alias("old")))
+            jump = least.select(F.col("id").alias("component"), F.col("component").alias("far"))
+            stepped = cut(least.join(jump, "component").select(
+                "id", F.least("component", "far").alias("component"),
+                (F.least("component", "far") < F.col("old")).alias("changed")))
+            labels = stepped.drop("changed")
+            if stepped.where("changed").isEmpty():
+                return durable(labels)

@@ -17,11 +17,13 @@ reported as null. Empty tables give an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.common import if_small, lower_ascii, words_of
-from tallymill.session import durable
+from tallymill.session import cut_points, durable
 
 SHINGLE = 5
 PERCENT = 80
@@ -67,20 +69,23 @@ def _keyed(df: DataFrame, key: str, id_column: str) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found): each item that a document holds."""
-    items = _keyed(items, "item_key", "item_id").distinct()
-    docs = _keyed(docs, "doc_key", "doc_id")
-    wanted = durable(signatures(items, percent))
+    """(doc_id, item_id, n_shingles, n_found): each item that a document holds, written."""
+    with cut_points(docs.sparkSession) as cut:
+        return durable(_leaks(_keyed(docs, "doc_key", "doc_id"),
+                              _keyed(items, "item_key", "item_id").distinct(), percent, cut))
+
+
+def _leaks(docs: DataFrame, items: DataFrame, percent: int,
+           cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    wanted = cut(signatures(items, percent))
     bound = wanted.agg(F.max("digest"))
     probes = docs.withColumn("w", words_of(lower_ascii(F.col("text"))))
     probes = probes.withColumn("d", _digests(probes, "w")).withColumn("bound", bound.scalar())
     probes = probes.select("doc_key", F.explode(F.filter(
         "d", lambda h: h <= F.col("bound"))).alias("digest"))
-    # A hot digest is one row of the small side; the large side has no key of its own until
-    # it has met a signature.
     found = probes.join(if_small(wanted), "digest").groupBy("doc_key", "item_key").agg(
         F.count_distinct("digest").alias("n"), F.first("needed").alias("needed"))
-    pairs = durable(found.where("n >= needed").select("doc_key", "item_key"))
+    pairs = cut(found.where("n >= needed").select("doc_key", "item_key"))
     whole = items.withColumn("shingles", _texts(words_of(lower_ascii(F.col("text"))))).select(
         "item_key", "item_id", "shingles")
     # The word lists of candidates only: texts of other documents leave the scan here.
@@ -97,5 +102,5 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFram
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that hold no item; rows with a null id are judged by that id together."""
-    held = durable(leaks(docs, items, percent).select(F.col("doc_id").alias("__leaked")).distinct())
+    held = leaks(docs, items, percent).select(F.col("doc_id").alias("__leaked")).distinct()
     return docs.join(if_small(held), F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")

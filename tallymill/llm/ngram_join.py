@@ -31,7 +31,7 @@ with equal sets. An empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,13 @@ from pyspark.sql.window import Window
 
 from tallymill.llm.common import FlatWords, if_small, mix, slices
 from tallymill.llm.components import components
-from tallymill.session import durable
+from tallymill.session import cut_points, durable
 
 SHINGLE = 4
 PERCENT = 85
 BLOCK = 400_000
 CHUNK = 2_048
+Cut = Callable[[DataFrame], DataFrame]
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64))
 SET_SCHEMA = ("doc_id long, n int, sig1 long, sig2 long, prefix int, counted int, "
               "tokens array<long>")
@@ -116,7 +117,7 @@ def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SET_SCHEMA)
 
 
-def candidates(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def candidates(found: DataFrame, classes: DataFrame, percent: int, cut: Cut) -> DataFrame:
     """(key, rep, n, uniq, frequency, token): where classes may meet, written.
 
     `uniq` counts a set's own shingles: the counted ones that no other class has.
@@ -124,7 +125,7 @@ def candidates(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     tokens = found.join(if_small(classes.select(F.col("rep").alias("doc_id"), "sig1", "sig2")),
                         ["doc_id", "sig1", "sig2"]).select(
         F.col("doc_id").alias("rep"), "n", "prefix", "counted", F.explode("tokens").alias("token"))
-    frequencies = durable(tokens.groupBy("token").agg(
+    frequencies = cut(tokens.groupBy("token").agg(
         F.count(F.lit(1)).alias("frequency")).where("frequency > 1"))
     shared = tokens.join(frequencies, "token")
     own = Window.partitionBy("rep")
@@ -136,24 +137,25 @@ def candidates(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     first = shared.where(tail | (F.col("place") <= F.col("prefix") - F.col("uniq")))
     band = F.floor(F.log("n") / -math.log(percent / 100 - 1e-6)).cast("int")
     keys = F.transform(F.array(band, band + 1), lambda b: F.xxhash64("token", b))
-    return durable(first.select(F.explode(keys).alias("key"), "rep", "n", "uniq", "frequency", "token"))
+    return cut(first.select(F.explode(keys).alias("key"), "rep", "n", "uniq", "frequency", "token"))
 
 
-def groups(meeting: DataFrame) -> DataFrame:
+def groups(meeting: DataFrame, cut: Cut) -> DataFrame:
     """(rep, grp, uniq, home, n): classes that reach each other over candidates, written."""
-    leaders = durable(meeting.groupBy("key").agg(
+    leaders = cut(meeting.groupBy("key").agg(
         F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").drop("last"))
     found = components(meeting.join(leaders, "key").select(F.col("rep").alias("a"), "b"))
     about = meeting.groupBy("rep").agg(
         F.min("uniq").alias("uniq"), F.min("n").alias("n"),
         F.min_by("token", F.struct("frequency", "token")).alias("home"))
-    return durable(found.select(F.col("id").alias("rep"), F.col("component").alias("grp")).join(
+    return cut(found.select(F.col("id").alias("rep"), F.col("component").alias("grp")).join(
         about, "rep"))
 
 
-def member_sets(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int) -> DataFrame:
+def member_sets(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: int,
+                cut: Cut) -> DataFrame:
     """The whole sets of grouped classes, written."""
-    wanted = durable(grouped.join(classes, "rep"))
+    wanted = cut(grouped.join(classes, "rep"))
     carried = ["rep", "grp", "uniq", "n", "home"]
     schema = ("rep long, grp long, uniq int, n int, home long, shingles array<long>, "
               "right boolean")
@@ -172,19 +174,19 @@ def member_sets(docs: DataFrame, classes: DataFrame, grouped: DataFrame, size: i
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(if_small(wanted), "rep")
     found = rows.select(*carried[:2], F.col("uniq").cast("int").alias("uniq"), *carried[3:], "sig1",
                         "sig2", "text").mapInArrow(run, schema)
-    return durable(found.where("right").drop("right"))
+    return cut(found.where("right").drop("right"))
 
 
-def hub_links(members: DataFrame, percent: int) -> DataFrame:
+def hub_links(members: DataFrame, percent: int, cut: Cut) -> DataFrame:
     """(rep, grp, hub, linked): every member against its group's hub, written."""
-    hubs = durable(members.groupBy("grp").agg(F.min(F.struct("uniq", "rep")).alias("least")).select(
+    hubs = cut(members.groupBy("grp").agg(F.min(F.struct("uniq", "rep")).alias("least")).select(
         "grp", F.col("least.rep").alias("hub")))
     whole = members.join(hubs, (members["grp"] == hubs["grp"]) & (members["rep"] == hubs["hub"])).select(
         hubs["grp"], "hub", F.col("n").alias("hub_n"), F.col("shingles").alias("hub_shingles"))
     both = F.size(F.array_intersect("shingles", "hub_shingles"))
-    joined = members.join(durable(whole), "grp").select(
+    joined = members.join(cut(whole), "grp").select(
         "rep", "grp", "hub", "n", "hub_n", both.alias("both"))
-    return durable(joined.select("rep", "grp", "hub", (
+    return cut(joined.select("rep", "grp", "hub", (
         F.col("both") * 100 >= (F.col("n") + F.col("hub_n") - F.col("both")) * percent).alias("linked")))
 
 
@@ -216,13 +218,16 @@ def forest(shingles: pa.ChunkedArray | pa.Array, n: np.ndarray, rows: np.ndarray
         on = column_of[who] >= 0
         right[column_of[who[on]], what[on]] = 1
         overlap += left @ right.T
-    union = n[rows][:, None] + n[columns][None, :] - overlap
-    linked = overlap * 100 >= union * percent
-    label = np.arange(len(n))
+    # Whole numbers are exact in 32 bits up to 2 ** 24.
+    exact = np.float32 if n.max(initial=0) * 200 < 1 << 24 else np.float64
+    sizes, overlap = n.astype(exact), overlap.astype(exact, copy=False)
+    union = sizes[rows][:, None] + sizes[columns][None, :] - overlap
+    linked = overlap * exact(100) >= union * exact(percent)
+    label = np.arange(len(n), dtype=np.int32)
     while True:
         before = label.copy()
         for here, there, matrix in ((rows, columns, linked), (columns, rows, linked.T)):
-            least = np.where(matrix, label[there][None, :], len(n)).min(1, initial=len(n))
+            least = np.where(matrix, label[there][None, :], np.int32(len(n))).min(1, initial=len(n))
             label[here] = np.minimum(label[here], least)
         label = label[label]
         if (label == before).all():
@@ -231,28 +236,29 @@ def forest(shingles: pa.ChunkedArray | pa.Array, n: np.ndarray, rows: np.ndarray
     return joined, label[joined]
 
 
-def block_links(members: DataFrame, hubs: DataFrame, meeting: DataFrame, percent: int) -> DataFrame:
+def block_links(members: DataFrame, hubs: DataFrame, meeting: DataFrame, percent: int,
+                cut: Cut) -> DataFrame:
     """(a, b): links of the sets that no hub reached with the others of their group."""
     status = hubs.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.max(~F.col("linked")).alias("any"))
-    unfinished = durable(status.where("any and size > 2").select("grp"))
+    unfinished = cut(status.where("any and size > 2").select("grp"))
     rest = members.join(if_small(unfinished), "grp").join(
         hubs.where("rep <> hub").select("rep", (~F.col("linked")).alias("open")), "rep")
-    light = durable(rest.select("rep", "grp", "n", "home", "open"))
+    light = cut(rest.select("rep", "grp", "n", "home", "open"))
     # Large groups are cut by the rarest candidate shingle, and a part that is still large at random.
     many = light.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
     placed = light.join(many, "grp").withColumn(
         "part", F.expr("pmod(xxhash64(home), parts)"))
-    cuts = placed.groupBy("grp", "part").agg(F.ceil(F.sum("n") / BLOCK).alias("cuts"))
-    placed = durable(placed.join(cuts, ["grp", "part"]).select(
+    pieces = placed.groupBy("grp", "part").agg(F.ceil(F.sum("n") / BLOCK).alias("pieces"))
+    placed = cut(placed.join(pieces, ["grp", "part"]).select(
         "rep", "grp", "open", F.xxhash64(
-            "part", F.expr("pmod(xxhash64(rep), cuts)")).alias("block")))
-    seen = durable(meeting.select("key", "rep").join(placed, "rep").groupBy("key", "grp", "block").agg(
+            "part", F.expr("pmod(xxhash64(rep), pieces)")).alias("block")))
+    seen = cut(meeting.select("key", "rep").join(placed, "rep").groupBy("key", "grp", "block").agg(
         F.max("open").alias("open")))
     other = seen.select("key", F.col("block").alias("block2"), F.col("open").alias("open2"))
     pairs = seen.join(other, "key").where(
         (F.col("block") <= F.col("block2")) & (F.col("open") | F.col("open2"))).select(
         "grp", F.col("block").alias("b1"), F.col("block2").alias("b2")).distinct()
-    pairs = durable(pairs)
+    pairs = cut(pairs)
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("b1", "b2"))))
     tasks = members.select("rep", "n", "shingles").join(placed, "rep").join(sides, ["grp", "block"])
 
@@ -273,44 +279,47 @@ def block_links(members: DataFrame, hubs: DataFrame, meeting: DataFrame, percent
     return tasks.groupBy("grp", "b1", "b2").applyInArrow(run, "a long, b long")
 
 
-def repeated_ids(docs: DataFrame) -> DataFrame:
-    return durable(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+def repeated_ids(docs: DataFrame, cut: Cut) -> DataFrame:
+    return cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
 
 
-def without_repeated_rows(docs: DataFrame, *columns: str) -> DataFrame:
-    """`docs` with one of each rows alike in id and digests (or `columns`). Only rows whose id is
-    repeated are shuffled."""
-    ids = repeated_ids(docs)
+def without_repeated_rows(docs: DataFrame, columns: list[str], cut: Cut) -> DataFrame:
+    """`docs` with one of each rows alike in id and `columns`. Only rows whose id is repeated are
+    shuffled."""
+    ids = repeated_ids(docs, cut)
     if ids.isEmpty():
         return docs
     return docs.join(if_small(ids), "doc_id", "left_anti").unionByName(
         docs.join(if_small(ids), "doc_id", "left_semi").dropDuplicates(
-            ["doc_id", *(columns or ("sig1", "sig2"))]))
+            ["doc_id", *columns]))
 
 
 def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    found = durable(sets(docs, size, percent))
-    classes = durable(found.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(
-        F.min("doc_id").alias("rep")))
-    # An id stands for one set only.
-    standing = durable(classes.groupBy("rep").agg(F.min(F.struct("sig1", "sig2")).alias("sig")).select(
-        "rep", "sig.*"))
-    meeting = candidates(without_repeated_rows(found), standing, percent)
-    grouped = groups(meeting)
-    members = member_sets(without_repeated_rows(docs.select("doc_id", "text"), "text"), standing, grouped, size)
-    hubs = hub_links(members, percent)
-    links = hubs.where("linked").select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(
-        block_links(members, hubs, meeting, percent))
-    reached = components(links)
-    reached = standing.join(reached, F.col("rep") == F.col("id")).select("sig1", "sig2", "component")
-    of_class = durable(classes.join(reached, ["sig1", "sig2"], "left").select(
-        "sig1", "sig2", F.coalesce("component", "rep").alias("component")))
-    return found.join(if_small(of_class), ["sig1", "sig2"], "left").select(
-        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).cast(
-            docs.schema["doc_id"].dataType).alias("component_id"))
+    """(doc_id, n_shingles, component_id) of every row, written; what was written on the way goes."""
+    with cut_points(docs.sparkSession) as cut:
+        found = cut(sets(docs, size, percent))
+        classes = cut(found.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(
+            F.min("doc_id").alias("rep")))
+        # An id stands for one set only.
+        standing = cut(classes.groupBy("rep").agg(F.min(F.struct("sig1", "sig2")).alias("sig")).select(
+            "rep", "sig.*"))
+        once = without_repeated_rows(found, ["sig1", "sig2"], cut)
+        meeting = candidates(once, standing, percent, cut)
+        grouped = groups(meeting, cut)
+        texts = without_repeated_rows(docs.select("doc_id", "text"), ["text"], cut)
+        members = member_sets(texts, standing, grouped, size, cut)
+        hubs = hub_links(members, percent, cut)
+        links = hubs.where("linked").select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(
+            block_links(members, hubs, meeting, percent, cut))
+        reached = standing.join(components(links), F.col("rep") == F.col("id")).select(
+            "sig1", "sig2", "component")
+        of_class = cut(classes.join(reached, ["sig1", "sig2"], "left").select(
+            "sig1", "sig2", F.coalesce("component", "rep").alias("component")))
+        kind = docs.schema["doc_id"].dataType
+        return durable(found.join(if_small(of_class), ["sig1", "sig2"], "left").select(
+            F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).cast(kind).alias(
+                "component_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

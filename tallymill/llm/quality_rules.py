@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import words_of
+from tallymill.llm.common import if_small, words_of
 from tallymill.session import durable
 
 WINDOW = 5
@@ -92,16 +92,16 @@ def host_rates(measures: DataFrame, host: str = "source") -> DataFrame:
 
 
 def rejected_hosts(measures: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    return host_rates(measures, host).where(F.col("rate") > limit).select(
-        F.col(host).alias("__host"), F.lit(True).alias("__rejected"))
+    """The hosts that go, written: Spark broadcasts them while they are few."""
+    return if_small(durable(host_rates(measures, host).where(F.col("rate") > limit).select(
+        F.col(host).alias("__host"), F.lit(True).alias("__rejected"))))
 
 
 def judged(docs: DataFrame, columns: list[str], text: str = "text", host: str = "source",
            limit: float = HOST_LIMIT) -> DataFrame:
     """`columns` of `docs` with MEASURES, `base_failed` and `kept`.
 
-    The measures are written once; hosts are summed from them and joined back. Spark broadcasts
-    the rejected hosts where they are small and splits a hot host otherwise.
+    The measures are written once; hosts are summed from them and joined back.
     """
     wanted = list(dict.fromkeys([*columns, host, text]))
     rows = measured(docs.select(*wanted), text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm import bpe, decontaminate, html_text, ngram_join, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
-from tallymill.llm.common import table
+from tallymill.llm.common import give_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,15 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+def _with_package(query: Query) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        give_package(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (
-        op1_token_counts, op2_substring_dedup, op3_ngram_join, op4_bpe, op5_url_filter, op6_quality_rules, op7_toxicity,
-        op8_decontaminate, op9_warc, op10_html_text)}
+    return {f.__name__: _with_package(f) for f in (
+        op1_token_counts, op2_substring_dedup, op3_ngram_join, op4_bpe, op5_url_filter,
+        op6_quality_rules, op7_toxicity, op8_decontaminate, op9_warc, op10_html_text)}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallymill.llm.common import FlatWords, if_small, mix, slices
-from tallymill.session import durable
+from tallymill.session import cut_points, durable
 
 WINDOW = 12
 # So that every passage of 51 words or more is found.
@@ -101,19 +101,23 @@ def units(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(doc_key, doc_rank, begin, end, n_words, kept_rank): what to remove from each document."""
-    cut = durable(units(docs, window))
-    firsts = durable(cut.groupBy("digest").agg(
-        F.min("doc_rank").alias("kept_rank"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    # Repeated digests grow with the corpus: both sides are shuffled, and a hot one is split.
-    later = cut.join(firsts, "digest").where(
-        F.col("again") | (F.col("kept_rank") < F.col("doc_rank")))
-    rows = later.repartition("doc_key").dropDuplicates(["doc_key", "unit"])
-    place = F.row_number().over(Window.partitionBy("doc_key").orderBy("unit"))
-    runs = rows.withColumn("run", F.col("unit") - place).groupBy("doc_key", "run").agg(
-        F.min("doc_rank").alias("doc_rank"), F.min("begin").alias("begin"), F.max("end").alias("end"),
-        F.sum("n_words").alias("n_words"), F.min("kept_rank").alias("kept_rank"))
-    return runs.where(F.col("n_words") >= least).drop("run")
+    """(doc_key, doc_rank, begin, end, n_words, kept_rank): what to remove from each document.
+
+    The spans are written; the units go.
+    """
+    with cut_points(docs.sparkSession) as cut:
+        pieces = cut(units(docs, window))
+        firsts = cut(pieces.groupBy("digest").agg(
+            F.min("doc_rank").alias("kept_rank"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+        # Repeated digests grow with the corpus: both sides are shuffled, and a hot one is split.
+        later = pieces.join(firsts, "digest").where(
+            F.col("again") | (F.col("kept_rank") < F.col("doc_rank")))
+        rows = later.repartition("doc_key").dropDuplicates(["doc_key", "unit"])
+        place = F.row_number().over(Window.partitionBy("doc_key").orderBy("unit"))
+        runs = rows.withColumn("run", F.col("unit") - place).groupBy("doc_key", "run").agg(
+            F.min("doc_rank").alias("doc_rank"), F.min("begin").alias("begin"), F.max("end").alias("end"),
+            F.sum("n_words").alias("n_words"), F.min("kept_rank").alias("kept_rank"))
+        return durable(runs.where(F.col("n_words") >= least).drop("run"))
 
 
 def removed(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:

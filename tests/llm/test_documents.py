@@ -14,7 +14,7 @@ from conftest import prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from tallymill.llm import (bpe, decontaminate, ngram_join, quality_rules, substring_dedup,
+from tallymill.llm import (bpe, common, decontaminate, ngram_join, quality_rules, substring_dedup,
                            token_counts, toxicity, vocabulary)
 from tallymill.llm.components import components
 
@@ -55,17 +55,19 @@ def test_leaks(spark, documents, corpus):
     assert left == {i for i, _ in corpus} - {r.doc_id for r in found}
 
 
-@pytest.mark.parametrize("size, percent", [(4, 85), (5, 80)])
-@pytest.mark.parametrize("block", [400_000, 300])
-def test_joined_documents(documents, corpus, size, percent, block, monkeypatch):
+@pytest.mark.parametrize("size, percent, block, rows", [
+    (4, 85, 400_000, 1_000_000), (4, 85, 300, 0), (5, 80, 300, 1_000_000)])
+def test_joined_documents(documents, corpus, size, percent, block, rows, monkeypatch):
+    """The same with small blocks, and with joins by shuffle throughout."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    rows = ngram_join.linked_documents(documents, size, percent).collect()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    found = ngram_join.linked_documents(documents, size, percent).collect()
     sets = {i: brute.shingles(t, size) for i, t in corpus if i is not None}
     truth = brute.components(sets, percent)
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == {
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == {
         (i, len(sets[i]), truth[i]) for i in sets}
-    assert [r.component_id for r in rows if r.doc_id is None] == [None, None]
-    assert len(rows) == len(corpus)
+    assert [r.component_id for r in found if r.doc_id is None] == [None, None]
+    assert len(found) == len(corpus)
 
 
 def test_one_of_each_group_stays(documents, corpus):
