@@ -45,7 +45,7 @@ from tallymill.session import cut_points, durable
 
 SHINGLE = 4
 PERCENT = 85
-BLOCK = 400_000
+BLOCK = 120_000
 CHUNK = 2_048
 Cut = Callable[[DataFrame], DataFrame]
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64))
