@@ -15,10 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     its label, so labels travel over doubling distances. Grouped minima are combined before the
     shuffle; a node with very many links is split by the join. Rounds end when no label changes;
     each is written, so a lost executor costs one round at most. The result is written, the rounds go.
+
+    Links are computed once and written before they are mirrored: a second computation may choose
+    other ones (another spanning forest of the same parts), and a link without its mirror loses nodes.
     """
     links = links.where("a is not null and b is not null and a <> b")
     with cut_points(links.sparkSession) as cut:
-        both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+        once = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        both = once.union(once.select("b", "a"))
         labels = cut(both.groupBy(F.col("a").alias("id")).agg(
             F.least(F.min("b"), F.col("id")).alias("component")))
         while True:

@@ -236,6 +236,23 @@ def forest(shingles: pa.ChunkedArray | pa.Array, n: np.ndarray, rows: np.ndarray
     return joined, label[joined]
 
 
+def part_links(part: pa.Table, percent: int) -> pa.Table:
+    """(a, b): a spanning forest of one pair of blocks, whatever order its rows come in."""
+    part = part.sort_by("rep")
+    n = part.column("n").to_numpy().astype(np.int64)
+    rep = part.column("rep").to_numpy()
+    block, is_open = part.column("block").to_numpy(), part.column("open").to_numpy()
+    one = part.column("b1")[0].as_py() == part.column("b2")[0].as_py()
+    edges = []
+    for mine in [block == block] if one else [block == b for b in np.unique(block)]:
+        rows, columns = np.flatnonzero(mine & is_open), np.flatnonzero(mine if one else ~mine)
+        if len(rows) and len(columns):
+            a, b = forest(part.column("shingles"), n, rows, columns, percent)
+            edges.append((rep[a], rep[b]))
+    a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def block_links(members: DataFrame, hubs: DataFrame, meeting: DataFrame, percent: int,
                 cut: Cut) -> DataFrame:
     """(a, b): links of the sets that no hub reached with the others of their group."""
@@ -263,18 +280,7 @@ def block_links(members: DataFrame, hubs: DataFrame, meeting: DataFrame, percent
     tasks = members.select("rep", "n", "shingles").join(placed, "rep").join(sides, ["grp", "block"])
 
     def run(part: pa.Table) -> pa.Table:
-        n = part.column("n").to_numpy().astype(np.int64)
-        rep = part.column("rep").to_numpy()
-        block, is_open = part.column("block").to_numpy(), part.column("open").to_numpy()
-        one = part.column("b1")[0].as_py() == part.column("b2")[0].as_py()
-        edges = []
-        for mine in [block == block] if one else [block == b for b in np.unique(block)]:
-            rows, columns = np.flatnonzero(mine & is_open), np.flatnonzero(mine if one else ~mine)
-            if len(rows) and len(columns):
-                a, b = forest(part.column("shingles"), n, rows, columns, percent)
-                edges.append((rep[a], rep[b]))
-        a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return part_links(part, percent)
 
     return tasks.groupBy("grp", "b1", "b2").applyInArrow(run, "a long, b long")
 

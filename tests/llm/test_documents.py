@@ -98,6 +98,36 @@ def test_components(spark):
     assert found == {k: v for k, v in parent.items() if any(k in e and e[0] != e[1] for e in links)}
 
 
+def test_links_that_differ_at_each_computation_lose_no_node(spark):
+    """A star around a random root of each group, as a forest of rows in any order may be."""
+
+    def run(batches):
+        for batch in batches:
+            edges = []
+            for group in batch.column(0).to_pylist():
+                root = random.SystemRandom().randrange(20)
+                edges += [(group * 20 + k, group * 20 + root) for k in range(20) if k != root]
+            a, b = zip(*edges)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    links = spark.range(40, numPartitions=4).mapInArrow(run, "a long, b long")
+    assert {r.id: r.component for r in components(links).collect()} == {
+        i: i // 20 * 20 for i in range(800)}
+
+
+def test_links_of_a_part_do_not_depend_on_the_order_of_its_rows():
+    common, rng = list(range(30)), random.Random(4)
+    rows = [(50 - i, [*common, 100 + i], 31, i % 2, True, 0, 1) for i in range(12)]
+    names = ["rep", "shingles", "n", "block", "open", "b1", "b2"]
+    found = set()
+    for _ in range(6):
+        rng.shuffle(rows)
+        part = pa.table(dict(zip(names, zip(*rows))))
+        links = ngram_join.part_links(part, 85).to_pydict()
+        found.add(tuple(sorted(zip(links["a"], links["b"]))))
+    assert len(found) == 1 and len({x for e in found.pop() for x in e}) == 12
+
+
 def test_forest_joins_what_links():
     sets = [[1, 2, 3, 4], [1, 2, 3, 5], [9, 10], [1, 2, 3, 4, 6], [9, 10, 11]]
     lists = pa.array(sets, pa.list_(pa.int64()))
