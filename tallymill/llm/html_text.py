@@ -50,6 +50,8 @@ ENDS = {
 ENDS_PARAGRAPH = SPACED | set("address article aside center details dialog dd dir div dt fieldset "
                               "figcaption footer form header hgroup li main menu nav search section "
                               "summary".split())
+# Any other start tag, and text, ends an open head.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 # An end tag does not reach out of these.
 BORDERS = {"td", "th", "table", "caption", "template"}
 
@@ -98,6 +100,8 @@ def parse(page: str) -> Node:
         hit = _TOKEN.search(page, at)
         text = page[at:hit.start()] if hit else page[at:]
         if text:
+            if open_[-1].name == "head" and text.strip(" \t\n\f\r"):
+                open_.pop()
             open_[-1].children.append(html.unescape(text) if "&" in text else text)
         if not hit:
             break
@@ -116,6 +120,8 @@ def parse(page: str) -> Node:
             if name == "br":
                 open_[-1].children.append(Node("br", {}))
             continue
+        if open_[-1].name == "head" and name not in IN_HEAD:
+            open_.pop()
         if name in ENDS_PARAGRAPH:
             _close(open_, {"p"}, {"table", "td", "th", "caption", "button"})
         if name in ENDS:

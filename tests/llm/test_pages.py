@@ -149,6 +149,15 @@ LAID_OUT = {
 }
 
 
+LAID_OUT |= {
+    "<html><head><title>T</title><p>Hello <b>you</b>": "Hello you",
+    "<head><meta charset=utf-8>\n<link rel=x><script>s</script><style>c</style><h1>a</h1>b": "a\n\nb",
+    "<html><head><title>T</title>\nplain <i>text</i>": "plain text",
+    "<head><title>T</title> <template><p>n</p></template><noscript>n</noscript></head><body>y": "y",
+    "<head><br>a": "a", "<head></p>a</head>b": "ab", "<head><head>a": "a", "<head><html><p>a": "a", "<head><title>T</title></br>a": "a",
+}
+
+
 @pytest.mark.parametrize("page", LAID_OUT)
 def test_layout(page):
     assert html_text.render(page) == LAID_OUT[page]
