@@ -2,7 +2,8 @@
 
 A tree is built from the tags with the implied ones added (paragraphs, list items, rows and
 cells end where the next begins), then walked without recursion, so depth has no limit. Hidden
-are: the head, scripts, styles, templates and other elements that show nothing, elements with
+are: the head, scripts, styles, templates and other elements that show nothing (of formulas and
+drawings only what is not drawn: annotations, definitions, descriptions), elements with
 `hidden`, `display:none` or `visibility:hidden`, and closed dialogs. All other text is written:
 white space is collapsed outside `pre` and `textarea`, blocks start new lines, paragraphs, headings,
 lists and tables are set off by a blank line, list items are marked and indented, table cells
@@ -29,8 +30,12 @@ MAX_PAD = 40
 # Element names of the HTML standard by what they do to the layout.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = set("head script style template noscript title iframe noembed noframes object svg math "
+HIDDEN = set("head script style template noscript title iframe noembed noframes object "
              "audio video canvas datalist meta link base map".split())
+# Within svg and math: what is not shown, and what stands apart from the text before.
+UNSEEN = set("annotation annotation-xml mphantom defs desc metadata title symbol clippath mask marker "
+             "pattern".split())
+APART = {"text", "mtr", "mtd"}
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure hr".split())
 BLOCKS = SPACED | set(
     "html body address article aside center details dialog dd dir div dt fieldset figcaption "
@@ -60,6 +65,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]*))?")
 _NO_SHOW = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+# The slash of an unquoted value is part of the value.
+_OWN_END = re.compile(r"(?:\A|[\s\"'])[^\s=\"']*/\Z")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -93,9 +100,18 @@ def _close(open_: list[Node], names: set[str], borders: set[str]) -> None:
             break
 
 
+def _foreign(open_: list[Node]) -> bool:
+    """Whether an element that starts here belongs to a formula or drawing."""
+    for node in reversed(open_):
+        if node.name in ("svg", "math", "foreignobject"):
+            return node.name != "foreignobject"
+    return False
+
+
 def parse(page: str) -> Node:
     root = Node("#root", {})
     open_, at, end = [root], 0, len(page)
+    drawn = False  # a formula or drawing has begun somewhere before
     while at < end:
         hit = _TOKEN.search(page, at)
         text = page[at:hit.start()] if hit else page[at:]
@@ -127,7 +143,15 @@ def parse(page: str) -> Node:
         if name in ENDS:
             _close(open_, *ENDS[name])
         node = Node(name, _attributes(hit.group(3)))
+        drawn = drawn or name in ("svg", "math")
+        inside = drawn and (name in ("svg", "math") or _foreign(open_))
+        if inside and name in UNSEEN:
+            node.attributes["hidden"] = ""
+        elif inside and name in APART:
+            open_[-1].children.append(" ")
         open_[-1].children.append(node)
+        if inside and _OWN_END.search(hit.group(3)):
+            continue
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             body = page[at:stop.start()] if stop else page[at:]

@@ -158,6 +158,18 @@ LAID_OUT |= {
 }
 
 
+LAID_OUT |= {
+    "a <math><mi>x</mi><mo>+</mo><mi>y</mi></math> b": "a x+y b",
+    "<math><semantics><mi>x</mi><annotation encoding=t>\\x</annotation><annotation-xml><mi>n</mi>"
+    "</annotation-xml></semantics></math>": "x",
+    "<svg viewBox='0 0 9 9'><title>n</title><desc>n</desc><metadata>n</metadata><defs><text>n</text></defs>"
+    "<path d='M0 0'/><text x=1>A <tspan>b</tspan></text><text>C</text></svg> d": "A b C d",
+    "<svg/>a": "a", "<svg><title/><defs /><text id=a/b/>x</text></svg>y": "xy",
+    "<p>a<svg hidden><text>n</text></svg><desc>b</desc>": "ab",
+    "<svg><style>n</style><script>n</script><foreignObject><p>a<p>b</foreignObject></svg>": "a\n\nb",
+}
+
+
 @pytest.mark.parametrize("page", LAID_OUT)
 def test_layout(page):
     assert html_text.render(page) == LAID_OUT[page]
