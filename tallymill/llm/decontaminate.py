@@ -11,8 +11,8 @@ item): every digest below the greatest signature value takes part in the join. C
 enough signature values; they are verified by exact containment of shingle texts.
 
 Null and empty texts on either side have no shingles and match nothing. Rows that repeat a
-doc_id or item_id are compared one by one and reported once per pair of ids. Null ids are
-reported as null. Empty tables give an empty result.
+doc_id or item_id are compared one by one and reported once per pair of ids; `clean` drops those
+that hold an item, not others with their id. Null ids are reported as null. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -72,7 +72,9 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFram
     """(doc_id, item_id, n_shingles, n_found): each item that a document holds, written."""
     with cut_points(docs.sparkSession) as cut:
         return durable(_leaks(_keyed(docs, "doc_key", "doc_id"),
-                              _keyed(items, "item_key", "item_id").distinct(), percent, cut))
+                              _keyed(items, "item_key", "item_id").distinct(), percent, cut).groupBy(
+            "doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"),
+                                     F.max("n_found").alias("n_found")))
 
 
 def _leaks(docs: DataFrame, items: DataFrame, percent: int,
@@ -91,16 +93,17 @@ def _leaks(docs: DataFrame, items: DataFrame, percent: int,
     # The word lists of candidates only: texts of other documents leave the scan here.
     texts = docs.join(if_small(pairs), "doc_key").withColumn(
         "w", words_of(lower_ascii(F.col("text"))))
-    texts = texts.select("doc_id", "item_key", _texts(F.col("w")).alias("held"))
+    texts = texts.select("doc_key", "doc_id", "item_key", _texts(F.col("w")).alias("held"))
     checked = texts.join(whole, "item_key").select(
-        "doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"),
+        "doc_key", "doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"),
         F.size(F.array_intersect("shingles", "held")).cast("long").alias("n_found"))
-    return checked.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent).groupBy(
-        "doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"),
-                                 F.max("n_found").alias("n_found"))
+    return checked.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent)
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that hold no item; rows with a null id are judged by that id together."""
-    held = leaks(docs, items, percent).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(if_small(held), F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")
+    """The rows of `docs` that hold no item, each judged by its own id and text."""
+    with cut_points(docs.sparkSession) as cut:
+        held = durable(_leaks(_keyed(docs, "doc_key", "doc_id"),
+                              _keyed(items, "item_key", "item_id").distinct(), percent, cut).select(
+            F.col("doc_key").alias("__leaked")).distinct())
+    return docs.join(if_small(held), F.xxhash64("doc_id", "text") == F.col("__leaked"), "left_anti")

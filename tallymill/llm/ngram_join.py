@@ -300,8 +300,12 @@ def without_repeated_rows(docs: DataFrame, columns: list[str], cut: Cut) -> Data
             ["doc_id", *columns]))
 
 
-def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row, written; what was written on the way goes."""
+def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
+                     signed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, written; what was written on the way goes.
+
+    With `signed`, also the digests of its set (sig1, sig2).
+    """
     with cut_points(docs.sparkSession) as cut:
         found = cut(sets(docs, size, percent))
         classes = cut(found.where("n > 0 and doc_id is not null").groupBy("sig1", "sig2").agg(
@@ -325,21 +329,32 @@ def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
         return durable(found.join(if_small(of_class), ["sig1", "sig2"], "left").select(
             F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).cast(kind).alias(
-                "component_id")))
+                "component_id"), *(["sig1", "sig2"] if signed else [])))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component; one row for each id.
+    """The rows of `docs` whose id is the smallest of their component; one row for each id and set.
 
-    Rows without an id and rows without words stay.
+    Rows without an id stay, and rows without words, once for each id and text. Rows that share an id
+    but not the set are judged each by its own set; of rows alike in id and set one text stays.
     """
-    linked = linked_documents(docs, size, percent)
-    flags = durable(linked.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(
+    linked = linked_documents(docs, size, percent, signed=True).where("doc_id is not null")
+    flags = durable(linked.groupBy(F.col("doc_id").alias("__id")).agg(
         F.count(F.lit(1)).alias("__rows"),
         F.min(F.col("component_id") != F.col("doc_id")).alias("__gone")).where("__rows > 1 or __gone"))
-    marked = docs.join(if_small(flags), F.col("doc_id") == F.col("__id"), "left").where(
-        ~F.coalesce("__gone", F.lit(False)))
-    repeated = flags.where("__rows > 1 and not __gone").isEmpty()
-    kept = marked if repeated else marked.where("__id is null").unionByName(
-        marked.where("__id is not null").dropDuplicates(["doc_id"]))
+    marked = docs.join(if_small(flags), F.col("doc_id") == F.col("__id"), "left")
+    kept = marked.where("__id is null")
+    if not flags.where("__rows > 1").isEmpty():
+        shared = marked.where("__rows > 1").withColumn("__key", F.xxhash64("doc_id", "text"))
+        texts = shared.select("__key", "doc_id", "text").dropDuplicates(["__key"])
+        own = sets(texts.select(F.col("__key").alias("doc_id"), "text"), size, percent).select(
+            F.col("doc_id").alias("__key"), "n", "sig1", "sig2").join(
+            texts.select("__key", "doc_id"), "__key")
+        staying = linked.where("component_id = doc_id").select("doc_id", "sig1", "sig2").distinct()
+        # Texts without words stay apart.
+        apart = F.when(F.col("n") == 0, F.col("__key"))
+        keys = durable(own.join(staying, ["doc_id", "sig1", "sig2"]).groupBy(
+            "doc_id", "sig1", "sig2", apart).agg(F.min("__key").alias("__key")).select("__key"))
+        kept = kept.unionByName(shared.join(if_small(keys), "__key", "left_semi").dropDuplicates(
+            ["__key"]).drop("__key"))
     return kept.select(*docs.columns)

@@ -85,6 +85,19 @@ def test_repeated_ids_do_not_break_the_join(spark):
         (1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
 
 
+def test_rows_that_share_an_id_are_judged_each_by_its_own_text(spark):
+    first, second, third, fourth = (" ".join(f"{c}{i}" for i in range(30)) for c in "pqrs")
+    rows = [(0, first), (1, first), (1, second), (1, second.upper()), (1, second), (5, second), (6, third),
+            (7, fourth), (7, third), (8, ""), (8, None), (8, ""), (None, first), (None, fourth)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(((r.doc_id, r.text and r.text.lower()) for r in ngram_join.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(0, first), (1, second), (6, third), (7, fourth), (8, ""), (8, None),
+                           (None, first), (None, fourth)], key=repr)
+    items = spark.createDataFrame([(1, first)], "item_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in decontaminate.clean(docs, items).collect()), key=repr)
+    assert left == sorted((r for r in rows if r[1] != first), key=repr)
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [
