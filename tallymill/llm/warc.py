@@ -128,12 +128,13 @@ def arc_records(name: str, content: bytes) -> Iterator[dict]:
         named = dict(zip(expected[len(values)], values))
         begin = stop + 1
         block = content[begin:begin + int(values[-1])]
+        leading = at == 0
         record |= {"uri": named["URL"], "ip": named["IP-address"], "truncated":
                    len(block) < int(values[-1]), "content_type": named["Content-type"]}
         d = named["Archive-date"].ljust(14, "0")
         record["date"] = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
         at = begin + len(block)
-        if named["URL"].startswith("filedesc:"):
+        if leading and named["URL"].startswith("filedesc:"):  # elsewhere it is the url of a page
             lines = block.decode("utf-8", "replace").split("\n")
             if len(lines) > 1 and lines[1].startswith("URL "):
                 fields = lines[1].split()

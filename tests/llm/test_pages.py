@@ -104,6 +104,15 @@ def test_conversion_of_both_versions(version):
     assert found == list(warc.arc_records("some.arc", content))[1:]
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_a_page_may_have_the_url_of_an_archive_head(version):
+    rows = [("filedesc:x", 1, b"a\nURL b c"), ("filedesc://some.arc", 2, b"b"), ("http://c/", 3, b"c")]
+    info, *found = warc.arc_records("some.arc", warc.arc_archive("some.arc", rows, "20200102030405", version))
+    assert info["record_type"] == "warcinfo"
+    assert [(r["record_type"], r["uri"], r["id"], r["payload"]) for r in found] == [
+        ("response", *row) for row in rows]
+
+
 def test_cut_and_broken_archives():
     content = warc.arc_archive("a", [("http://a/", 1, b"abcdef" * 9)], "20200101000000", 2)
     *_, last = warc.arc_records("a", content[:-20])
