@@ -71,6 +71,16 @@ SELECT doc_id, item_id, max(n) AS n_shingles, max(found) AS n_found
 FROM held JOIN sizes USING (brow) WHERE found * 100 >= n * 80 GROUP BY doc_id, item_id
 """
 
+COPIES = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+                  regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM documents),
+placed AS (SELECT doc_id, row, body, count(*) OVER (PARTITION BY body) AS group_size,
+                  first_value(doc_id) OVER best AS keep_id, row_number() OVER best AS place
+           FROM d WINDOW best AS (PARTITION BY body ORDER BY length(text) DESC, doc_id NULLS LAST, row))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM placed
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op5_url_filter": URLS, "op6_quality_rules": QUALITY, "op8_decontaminate": LEAKS}
+    return {"op5_url_filter": URLS, "op6_quality_rules": QUALITY, "op8_decontaminate": LEAKS,
+            "op11_exact_dedup": COPIES}
