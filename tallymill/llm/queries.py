@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
+from tallymill.llm import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc, whitening
 from tallymill.llm.common import give_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.copies(table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 def _with_package(query: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         give_package(spark)
@@ -78,4 +82,4 @@ def _with_package(query: Query) -> Query:
 def all_queries() -> dict[str, Query]:
     return {f.__name__: _with_package(f) for f in (
         op1_token_counts, op2_substring_dedup, op3_ngram_join, op4_bpe, op5_url_filter,
-        op6_quality_rules, op7_toxicity, op8_decontaminate, op9_warc, op10_html_text, op11_exact_dedup)}
+        op6_quality_rules, op7_toxicity, op8_decontaminate, op9_warc, op10_html_text, op11_exact_dedup, op12_whitening)}
