@@ -80,7 +80,27 @@ placed AS (SELECT doc_id, row, body, count(*) OVER (PARTITION BY body) AS group_
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM placed
 """
 
+HARD = """
+WITH e AS (SELECT row_number() OVER () AS row, vec_id AS id,
+                  CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.row AS anchor, a.id AS anchor_id, b.row, b.id, a.label = b.label AS alike,
+             CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.row <> b.row AND len(a.x) = len(b.x) WHERE a.id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id NULLS LAST, row) AS place
+      FROM s WHERE alike),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score,
+             s.score AS negative_score, row_number() OVER (
+                 PARTITION BY p.anchor, p.row ORDER BY s.score DESC, s.id NULLS LAST, s.row) AS place
+      FROM p JOIN s ON s.anchor = p.anchor AND NOT s.alike
+          AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.place <= 5)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE place <= 3
+"""
+
 
 def all_sql() -> dict[str, str]:
     return {"op5_url_filter": URLS, "op6_quality_rules": QUALITY, "op8_decontaminate": LEAKS,
-            "op11_exact_dedup": COPIES}
+            "op11_exact_dedup": COPIES, "op13_hard_negatives": HARD}

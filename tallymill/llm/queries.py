@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc, whitening
+from tallymill.llm import bpe, decontaminate, exact_dedup, hard_negatives, html_text, ngram_join, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc, whitening
 from tallymill.llm.common import give_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,12 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), anchors=F.col("id") % 50 == 0)
+
+
 def _with_package(query: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         give_package(spark)
@@ -82,4 +88,5 @@ def _with_package(query: Query) -> Query:
 def all_queries() -> dict[str, Query]:
     return {f.__name__: _with_package(f) for f in (
         op1_token_counts, op2_substring_dedup, op3_ngram_join, op4_bpe, op5_url_filter,
-        op6_quality_rules, op7_toxicity, op8_decontaminate, op9_warc, op10_html_text, op11_exact_dedup, op12_whitening)}
+        op6_quality_rules, op7_toxicity, op8_decontaminate, op9_warc, op10_html_text, op11_exact_dedup, op12_whitening,
+        op13_hard_negatives)}
