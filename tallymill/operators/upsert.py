@@ -8,28 +8,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INSERTED, UPDATED, KEPT = "inserted", "updated", "kept"
 
 
-def one_row_per_key(new: DataFrame, key: str, order: Sequence[str],
+def one_row_per_key(new: DataFrame, key: str, place: Column, without: Sequence[str] = (),
                     update_columns: Sequence[str] = ()) -> DataFrame:
-    """First row of each key in source order, update columns from the key's last row.
+    """First row of each key by `place`, update columns from the key's last row.
 
-    An aggregate, not a window: a key with very many rows is reduced on the map side.
-    The order columns are left out of the result.
+    `place` is a long that no two rows of a key share. `new` is read three times: write it first.
+    Keys are reduced to their first and last place by hash, on the map side too; rows then meet
+    these by key and place, so a key with very many rows is spread over all tasks. The columns
+    `without` are left out of the result.
     """
-    place = F.struct(*order)
-    kept = [c for c in new.columns if c not in {key, *order, *update_columns}]
-    picked = [F.min_by(F.struct(*kept), place).alias("first_row")]
-    if update_columns:
-        picked.append(F.max_by(F.struct(*update_columns), place).alias("last_row"))
-    rows = new.groupBy(key).agg(*picked)
-    last = [F.col(f"last_row.{c}").alias(c) for c in update_columns]
-    names = [c for c in new.columns if c not in order]
-    return rows.select(key, "first_row.*", *last).select(*names)
+    placed = new.withColumn("__place", place).drop(*without)
+    ends = placed.select(key, "__place").groupBy(key).agg(
+        F.min("__place").alias("__first"), F.max("__place").alias("__last"))
+    names = [c for c in new.columns if c not in without]
+    first = placed.join(ends.select(key, F.col("__first").alias("__place")), [key, "__place"]).drop("__place")
+    if not update_columns:
+        return first.select(*names)
+    last = placed.select(key, "__place", F.struct(*update_columns).alias("__row")).join(
+        ends.where("__first < __last").select(key, F.col("__last").alias("__place")),
+        [key, "__place"]).drop("__place")
+    several = F.col("__row").isNotNull()
+    return first.join(last, key, "left").select(*[
+        F.when(several, F.col(f"__row.{c}")).otherwise(F.col(c)).alias(c) if c in update_columns
+        else F.col(c) for c in names])
 
 
 def upsert(current: DataFrame, new: DataFrame, key: str,
@@ -55,8 +62,6 @@ def upsert(current: DataFrame, new: DataFrame, key: str,
 def insert_absent(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of `new` whose key is not in `current`; `new` holds one row per key.
 
-    The stored keys are first reduced to those that `new` has: where `new` is a small written
-    batch, Spark broadcasts its keys and does not shuffle the stored ones.
+    Stored tables are bucketed by their key, so `new` alone is shuffled; few stored keys are broadcast.
     """
-    known = current.select(key).join(new.select(key), key, "left_semi")
-    return new.join(known, key, "left_anti")
+    return new.join(current.select(key), key, "left_anti")

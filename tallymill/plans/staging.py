@@ -14,7 +14,7 @@ from tallymill.operators.upsert import one_row_per_key
 from tallymill.schemas import (
     ORDER_EXTRACT_COLUMNS, ORDER_STAGING_TEXT, SALES_EXTRACT_COLUMNS, SALES_STAGING_TEXT, TABLES,
 )
-from tallymill.sources.landing import SOURCE_CHUNK, SOURCE_FILE, SOURCE_ROW
+from tallymill.sources.landing import SOURCE_CHUNK, SOURCE_FILE, SOURCE_ROW, place_in_source
 
 REASON = "reject_reason"
 # True for a row with a date cell that is no date; the row is kept, its date is null.
@@ -35,7 +35,7 @@ def _typed(table: str, rows: DataFrame, import_timestamp: datetime) -> DataFrame
     The store adds the others when it writes (`tables.padded`): carrying their nulls through shuffles
     and joins would make rows several times as wide.
     """
-    columns, bad_date = [], F.lit(False)
+    columns, dates = [], []
     for field in TABLES[table]:
         if field.name == "import_timestamp":
             columns.append(timestamp_literal(import_timestamp).alias(field.name))
@@ -43,12 +43,17 @@ def _typed(table: str, rows: DataFrame, import_timestamp: datetime) -> DataFrame
             value = F.col(field.name)
             kind = field.dataType.typeName()
             if kind == "date":
-                value, given = parse_day_first(value), value
-                bad_date = bad_date | (given.isNotNull() & value.isNull())
+                dates.append(field.name)
+                value = parse_day_first(value)
             elif kind == "double":
                 value = value.try_cast("double")
             columns.append(value.alias(field.name))
-    return rows.select(*columns, REASON, bad_date.alias(BAD_DATE), *SOURCE_ORDER)
+    given = F.array(*[F.col(c).isNotNull() for c in dates]).alias("given")
+    typed = rows.select(*columns, REASON, given, *SOURCE_ORDER)
+    bad_date = F.lit(False)
+    for i, c in enumerate(dates):
+        bad_date = bad_date | (F.col("given")[i] & F.col(c).isNull())
+    return typed.withColumn(BAD_DATE, bad_date).drop("given")
 
 
 def _not_a_number(*columns: str) -> Column:
@@ -113,13 +118,16 @@ def rejected(cleaned: DataFrame) -> DataFrame:
 
 
 def staged_orders(cleaned: DataFrame) -> DataFrame:
-    """One staging row per order code, ready for the upsert."""
-    return one_row_per_key(accepted(cleaned), "order_code", SOURCE_ORDER, ORDER_UPDATES)
+    """One staging row per order code, ready for the upsert. Write `cleaned` first: it is read thrice."""
+    return one_row_per_key(accepted(cleaned), "order_code", place_in_source(), SOURCE_ORDER, ORDER_UPDATES)
 
 
 def staged_sales(cleaned: DataFrame) -> DataFrame:
-    """One staging row per sales code, ready to be inserted if absent."""
-    return one_row_per_key(accepted(cleaned), "sales_code", SOURCE_ORDER)
+    """One staging row per sales code, ready to be inserted if absent. Write `cleaned` first.
+
+    Codes are numbered within a file, so only rows of different files share one.
+    """
+    return one_row_per_key(accepted(cleaned), "sales_code", F.col(SOURCE_FILE).cast("long"), SOURCE_ORDER)
 
 
 def watermark(fact: DataFrame) -> Column:

@@ -21,7 +21,7 @@ from tallymill.plans import (
 )
 from tallymill.plans.loads import STATS, load_order_files, load_sales_files
 from tallymill.schemas import ORDER_EXTRACT, SALES_EXTRACT
-from tallymill.session import shared_folder
+from tallymill.session import durable, shared_folder
 from tallymill.sources.files import Files
 from tallymill.sources.landing import read_order_extract, read_sales_extract
 from tallymill.sources.sample import SampleWarehouse
@@ -205,6 +205,14 @@ _SALES_SHOWN = ["sales_date", "sales_code", "factory_code", "factory_order_code"
                 "product_name", "qc", "warehouse_code", "order_code", "sales_quantity"]
 
 
+def _staged_orders(w: SampleWarehouse, upload: int = 0) -> DataFrame:
+    return staging.staged_orders(durable(_clean_orders(w, upload)))
+
+
+def _staged_sales(w: SampleWarehouse, upload: int = 0) -> DataFrame:
+    return staging.staged_sales(durable(_clean_sales(w, upload)))
+
+
 def _clean_orders(w: SampleWarehouse, upload: int = 0) -> DataFrame:
     return staging.clean_orders(w.order_extract(upload), SECOND if upload == 2 else FIRST)
 
@@ -228,12 +236,12 @@ def _whole(table: str, rows: DataFrame) -> DataFrame:
 
 def _order_staging(w: SampleWarehouse) -> DataFrame:
     """Staging after both uploads, each row with its change in the second one."""
-    first, second = (staging.staged_orders(_clean_orders(w, u)) for u in (1, 2))
+    first, second = (_staged_orders(w, u) for u in (1, 2))
     return upsert(first, second, "order_code", staging.ORDER_UPDATES)
 
 
 def _sales_staging(w: SampleWarehouse) -> DataFrame:
-    first, second = (staging.staged_sales(_clean_sales(w, u)) for u in (1, 2))
+    first, second = (_staged_sales(w, u) for u in (1, 2))
     added = insert_absent(first, second, "sales_code")
     return first.withColumn("change", F.lit(KEPT)).unionByName(
         added.withColumn("change", F.lit(INSERTED)))
@@ -244,12 +252,12 @@ def _accepted(labelled: DataFrame) -> DataFrame:
 
 
 def _order_facts(w: SampleWarehouse, upload: int) -> DataFrame:
-    rows = staging.staged_orders(_clean_orders(w, upload))
+    rows = _staged_orders(w, upload)
     return facts.order_facts(rows, SECOND if upload == 2 else FIRST)
 
 
 def _sales_facts(w: SampleWarehouse, upload: int) -> DataFrame:
-    rows = staging.staged_sales(_clean_sales(w, upload))
+    rows = _staged_sales(w, upload)
     return facts.sales_facts(rows, SECOND if upload == 2 else FIRST)
 
 
@@ -423,10 +431,10 @@ def load_queries() -> dict[str, Query]:
         "order_fact_reload": _on_sample(_order_reload),
         "sales_fact_reload": _on_sample(_sales_reload),
         "dim_factory_refresh": _on_sample(lambda w: dimension_refresh.new_factories(
-            padded("order_staging", staging.staged_orders(_clean_orders(w))), w.dim_factory)),
+            padded("order_staging", _staged_orders(w)), w.dim_factory)),
         "dim_product_refresh": shown(
             lambda w: dimension_refresh.new_products(
-                staging.staged_orders(_clean_orders(w)), w.dim_product),
+                _staged_orders(w), w.dim_product),
             "product_name", "product_type", "qc"),
     }
 

@@ -59,13 +59,17 @@ def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of copies that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def cut_points(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """`durable` for steps whose copies are no longer read afterwards: they are deleted then."""
-    from tallymill.sources.files import Files
-
     folder = f"{shared_folder(spark)}/tallymill/{uuid.uuid4().hex}"
     try:
         yield lambda df: durable(df, folder)
     finally:
-        Files(spark, folder).delete(folder)
+        drop_folder(spark, folder)

@@ -1,8 +1,8 @@
 """Landed extract files: admission and positional reading.
 
 Nothing that lands is dropped unseen: a file is either read whole or refused with a reason.
-Rows carry their place: the file (by modification time, then path), a bounded run of rows
-within it, and the order within the run.
+Rows carry their place in numbers: that of the file (by modification time, then path), that of
+a bounded run of rows (over all files, in their order), and the order within the run.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ SOURCE_FILE = "source_file"
 SOURCE_CHUNK = "source_chunk"
 SOURCE_ROW = "source_row"
 ROWS_PER_CHUNK = 1 << 20
+# A row's number within its chunk takes so many bits of its place.
+ROW_BITS = 33
 
 # Spreadsheets write a quote inside a cell as two quotes. No suffix is looked at here, in
 # any case: what to read is the caller's choice.
@@ -79,13 +81,30 @@ def admit(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES
                      judged.filter("reject_reason IS NOT NULL"))
 
 
+def place_in_source() -> Column:
+    """The place of a row as one long: chunk and row."""
+    return F.shiftleft(F.col(SOURCE_CHUNK).cast("long"), ROW_BITS).bitwiseOR(F.col(SOURCE_ROW).cast("long"))
+
+
 def _place(part: Column, row: Column) -> list[Column]:
     file = F.struct(F.col("_metadata.file_modification_time").alias("modified_at"),
                     F.col("_metadata.file_path").alias("path"))
-    return [file.alias(SOURCE_FILE), part.cast("bigint").alias(SOURCE_CHUNK), row.alias(SOURCE_ROW),
+    return [file.alias(SOURCE_FILE), part.cast("bigint").alias(SOURCE_CHUNK),
+            row.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias(SOURCE_ROW),
             F.col("_metadata.file_size").alias("file_size")]
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Written rows with numbers for file and chunk. The numbering sees one row for each chunk."""
+    files, chunks = Window.orderBy(SOURCE_FILE), Window.orderBy(SOURCE_FILE, SOURCE_CHUNK)
+    numbers = rows.select(SOURCE_FILE, SOURCE_CHUNK).distinct().withColumns({
+        "file_number": F.dense_rank().over(files).cast("long"),
+        "chunk_number": F.row_number().over(chunks).cast("long")})
+    return rows.join(numbers, [SOURCE_FILE, SOURCE_CHUNK]).withColumns({
+        SOURCE_FILE: F.col("file_number"), SOURCE_CHUNK: F.col("chunk_number")}).drop(
+        "file_number", "chunk_number")
+
+
 def _csv_rows(spark: SparkSession, path: str | list[str], schema: T.StructType,
               multiline: bool) -> DataFrame:
     checked = T.StructType([*schema.fields, T.StructField(_RAGGED, T.StringType())])
@@ -114,7 +133,7 @@ def _sorted_out(rows: DataFrame, cut: Cut) -> Landed:
         F.col(f"{SOURCE_FILE}.modified_at").alias("modified_at"),
         F.lit(COLUMN_COUNT).alias("reject_reason"))
     good = rows.join(bad.select(SOURCE_FILE), SOURCE_FILE, "left_anti").drop(_RAGGED, "file_size")
-    return Landed(good, refused)
+    return Landed(_numbered(good), refused)
 
 
 def read_extract(spark: SparkSession, path: str | list[str], schema: T.StructType,
@@ -155,10 +174,7 @@ def read_listed(spark: SparkSession, files: DataFrame, schema: T.StructType, mul
             refused = refused.unionByName(judged.filter(F.col("path") == path.replace("\\", "")).withColumn(
                 "reject_reason", F.lit(COLUMN_COUNT)))
     if not parts:
-        place = T.StructType([
-            T.StructField(SOURCE_FILE, T.StructType([T.StructField("modified_at", T.TimestampType()),
-                                                     T.StructField("path", T.StringType())])),
-            T.StructField(SOURCE_CHUNK, T.LongType()), T.StructField(SOURCE_ROW, T.LongType())])
+        place = T.StructType([T.StructField(c, T.LongType()) for c in (SOURCE_FILE, SOURCE_CHUNK, SOURCE_ROW)])
         return Landed(spark.createDataFrame([], T.StructType([*schema.fields, *place.fields])), refused)
     rows = parts[0]
     for part in parts[1:]:

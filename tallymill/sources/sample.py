@@ -310,7 +310,7 @@ class SampleWarehouse:
             F.col("o_orderstatus").alias("warehouse_type"),
             F.lit(upload).alias("source_file"),
             F.floor(key / 100000).alias("source_chunk"),
-            (key * 2 + F.col("copy")).alias("source_row"),
+            (key % 100000 * 2 + F.col("copy")).alias("source_row"),
         )
 
     def sales_extract(self, upload: int = 0) -> DataFrame:

@@ -15,13 +15,12 @@ from extract_rows import write_orders, write_sales
 from pyspark.sql import functions as F
 
 from tallymill.plans import facts, staging
-from tallymill.operators.upsert import insert_absent
+from tallymill.operators.upsert import insert_absent, one_row_per_key, upsert
 from tallymill.plans.loads import load_order_files, load_orders, load_sales, load_sales_files
 from tallymill.sources.landing import ColumnMismatch, admit, read_order_extract, read_sales_extract
 from tallymill.schemas import ORDER_STAGING_COLUMNS
 from tallymill.session import durable, shared_folder
-from tallymill.sources import tables
-from tallymill.sources.tables import ConcurrentWrite, Store, padded
+from tallymill.sources.tables import COPIED, Store, padded
 from tallymill.streaming.landing import load_landed_orders, load_landed_sales
 
 T1, T2, T3 = (datetime(2024, 3, d, 8) for d in (1, 2, 3))
@@ -248,7 +247,7 @@ def test_sales_load(spark, tmp_path):
     assert sales["2302-1-0001"].factory_code == "30895.4"
     assert sales["2301-3-0001"].factory_code is None
     assert sales["2301-3-0001"].sales_date is None
-    assert store.version("dim_factory")[0] == 0
+    assert store.read("dim_factory").count() == 0
 
     # A corrected upload is ignored; a new line is not.
     second = write_sales(tmp_path / "2.csv", {"sales_code": "2301-1", "sales_quantity": "77"},
@@ -260,11 +259,11 @@ def test_sales_load(spark, tmp_path):
     assert after["2301-1-0001"].sales_quantity == 1.5
     assert after["2301-8-0001"].sales_quantity == 3
 
-    # Nothing new: the load ends early, and no version is written.
-    version = store.version("fact_sales")[0]
+    # Nothing new: the load ends early, and nothing is written.
+    load = store.last_load("fact_sales")
     stats = load_sales_files(store, read_sales_extract(spark, second), T3).first().asDict()
     assert stats["staging_skipped"] == 2 and stats["fact_inserted"] == 0
-    assert store.version("fact_sales")[0] == version
+    assert store.last_load("fact_sales") == load
 
 
 def test_empty_extract(spark, tmp_path):
@@ -275,28 +274,38 @@ def test_empty_extract(spark, tmp_path):
     assert set(stats.first()) == {0}
 
 
+def _files(root, table):
+    return {p: p.stat().st_mtime_ns for p in (Path(root) / table).rglob("*.parquet")}
+
+
 def test_update_rewrites_only_matched_months(spark, tmp_path):
     store = Store(spark, str(tmp_path / "warehouse"))
     path = write_orders(tmp_path / "1.csv", *[
         {"order_code": f"2201-{m}", "order_date": f"1/{m}/2024"} for m in range(1, 7)])
     load_order_files(store, read_order_extract(spark, path), T1)
-    old = set(store.version("fact_order")[1])
-    assert len(old) == 6
-    path = write_orders(tmp_path / "2.csv", {"order_code": "2201-3", "order_quantity": "50"})
+    old = _files(store.root, "fact_order")
+    assert len({p.parent for p in old}) == 6
+    path = write_orders(tmp_path / "2.csv", {"order_code": "2201-3", "order_quantity": "50"},
+                        {"order_code": "2201-9", "order_date": "1/9/2024"})
     load_order_files(store, read_order_extract(spark, path), T2)
-    new = set(store.version("fact_order")[1])
-    assert {f.month for f in old - new} == {"2024-03-01"} == {f.month for f in new - old}
-    assert store.read("fact_order").count() == 6
+    new = _files(store.root, "fact_order")
+    months = lambda files: {p.parent.name for p in files}
+    assert months(old.keys() - new.keys()) == {"order_date_month=2024-03-01"}
+    assert months(new.keys() - old.keys()) == {"order_date_month=2024-03-01", "order_date_month=2024-09-01"}
+    assert store.read("fact_order").count() == 7
 
 
-def test_insert_adds_folders_only(spark, tmp_path):
+def test_insert_only_adds_files(spark, tmp_path):
     store = Store(spark, str(tmp_path / "warehouse"))
     for i, when in enumerate((T1, T2)):
         path = write_sales(tmp_path / f"{i}.csv", {"sales_code": f"2301-{i}"})
         load_sales_files(store, read_sales_extract(spark, path), when)
-    folders = store.version("fact_sales")[1]
-    assert len(folders) == 2 and {f.month for f in folders} == {"2024-03-01"}
+        if i == 0:
+            old = _files(store.root, "fact_sales")
+    assert old.items() < _files(store.root, "fact_sales").items()
     assert store.read("fact_sales").count() == 2
+    store.compact("fact_sales", [date(2024, 3, 1)])
+    assert store.read("fact_sales").count() == 2 and not old.keys() & _files(store.root, "fact_sales").keys()
 
 
 def test_reports_prune_stored_months(spark, tmp_path):
@@ -416,79 +425,111 @@ def test_dimensions_see_rows_of_a_load_that_ended_early(spark, tmp_path):
     assert set(by_code(store.read("dim_factory"), "factory_code")) == {"30673", "77", "88"}
 
 
-def _parts(number):
-    return [{"id": str(i), "name": f"n{i}"} for i in range(number)]
-
-
-def test_a_crashed_commit_is_not_in_the_way(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    rows = spark.createDataFrame(_parts(3))
-    store.append("dim_retailer", rows)
-    before = store.version("dim_retailer")
-    # What a load leaves that ends while it writes, and one that ends while it commits.
-    (tmp_path / "dim_retailer/data/load=lost/_temporary").mkdir(parents=True)
-    (tmp_path / "dim_retailer/versions/000000000002.json.5.tmp").write_text("{")
-    assert store.version("dim_retailer") == before
-    store.append("dim_retailer", rows)
-    assert store.read("dim_retailer").count() == 6
-    assert store.vacuum("dim_retailer") == 0 and store.vacuum("dim_retailer", min_age=-1) == 1
-    assert store.read("dim_retailer").count() == 6
-
-
-def test_the_second_writer_fails(spark, tmp_path):
-    store, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
-    rows = spark.createDataFrame(_parts(2))
-    store.append("dim_retailer", rows)
-    before = other.version("dim_retailer")
-    store.append("dim_retailer", rows)
-    with pytest.raises(ConcurrentWrite):
-        other._commit("dim_retailer", before, before.folders)
-    assert store.read("dim_retailer").count() == 4
-
-
-def test_versions_and_folders_stay_few(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    rows = spark.createDataFrame(_parts(1))
-    for _ in range(tables.VERSIONS + 15):
-        store.append("dim_retailer", rows)
-    assert store.read("dim_retailer").count() == tables.VERSIONS + 15
-    assert len(store.version("dim_retailer").folders) <= tables.FOLDERS + 1
-    assert len(list((tmp_path / "dim_retailer/versions").glob("[0-9]*.json"))) == tables.VERSIONS
-    named = {f.load for n in store._numbers("dim_retailer") for f in store._version("dim_retailer", n).folders}
-    assert {p.name for p in (tmp_path / "dim_retailer/data").iterdir()} == {f"load={x}" for x in named}
-
-
 def _stored_orders(spark, root, number):
     store = Store(spark, str(root))
     rows = spark.range(number).select(
         F.concat(F.lit("2201-"), F.col("id").cast("string")).alias("order_code"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("order_date"),
-        F.lit(T1.isoformat(sep=" ")).cast("timestamp").alias("import_timestamp"))
+        F.lit(1.0).alias("order_quantity"), F.lit(T1.isoformat(sep=" ")).cast("timestamp").alias("import_timestamp"))
     store.append("fact_order", rows)
     return store
 
 
-def test_a_small_batch_does_not_shuffle_the_stored_keys(spark, tmp_path):
+def _batch(spark, *rows):
+    return spark.createDataFrame(rows, "order_code string, order_date date, order_quantity double, "
+                                       "import_timestamp timestamp")
+
+
+def test_a_load_that_ended_while_it_overwrote_is_finished(spark, tmp_path, monkeypatch):
+    store = _stored_orders(spark, tmp_path, 900)
+    write = Store._write
+
+    def lost(self, table, rows, overwrite=False):
+        if overwrite:  # the months are gone, and nothing has taken their place
+            for folder in (tmp_path / table).glob("order_date_month=2024-01-01"):
+                for file in folder.iterdir():
+                    file.unlink()
+            raise OSError("gone")
+        write(self, table, rows, overwrite)
+
+    new = _batch(spark, ("2201-0", date(2024, 1, 1), 7.0, T2), ("2201-new", date(2024, 5, 1), 8.0, T2))
+    monkeypatch.setattr(Store, "_write", lost)
+    with pytest.raises(OSError):
+        store.upsert("fact_order", new, ["order_quantity"])
+    monkeypatch.undo()
+    again = Store(spark, str(tmp_path))
+    assert again.upsert("fact_order", new, ["order_quantity"]) == {"inserted": 0, "updated": 2}
+    rows = {r.order_code: r.order_quantity for r in again.read("fact_order").collect()}
+    assert len(rows) == 901 and rows["2201-0"] == 7 and rows["2201-new"] == 8 and rows["2201-1"] == 1
+    states = [r.state for r in again._table("loads").orderBy("load").collect()]
+    assert states.count(COPIED) == 2 and states[-1] != COPIED
+    assert not list((tmp_path / "copies").iterdir()) and not again.finish("fact_order")
+
+
+def test_another_session_finds_the_tables(spark, tmp_path):
+    _stored_orders(spark, tmp_path, 300)
+    other = spark.newSession()
+    for name in [t.name for t in other.catalog.listTables()]:
+        other.sql(f"DROP TABLE {name}")  # what a new catalog does not know
+    store = Store(other, str(tmp_path))
+    assert store.read("fact_order").count() == 300
+    assert store.insert_absent("fact_order", _batch(other, ("2201-5", None, 1.0, T2), ("x", None, 1.0, T2))) == {
+        "inserted": 1}
+    assert Store(spark, str(tmp_path)).read("fact_order").where("order_date_month IS NULL").count() == 1
+    with pytest.raises(ValueError, match="8 buckets, not 4"):
+        Store(spark, str(tmp_path), buckets=4)
+
+
+def test_stored_rows_are_not_shuffled(spark, tmp_path):
+    """Neither where a large batch meets stored keys nor where it meets the rows of touched months."""
     store = _stored_orders(spark, tmp_path, 20_000)
-    new = durable(spark.createDataFrame([("2201-5",), ("2201-x",)], "order_code string"))
-    absent = insert_absent(store.read("fact_order"), new, "order_code")
-    assert column(absent, "order_code") == ["2201-x"]
-    plan = absent._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert "Exchange hashpartitioning" not in plan
+    new = durable(_batch(spark, ("2201-5", date(2024, 1, 6), 9.0, T2), ("2201-x", date(2024, 1, 6), 9.0, T2)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = store.near_keys("fact_order", "2201-5", "2201-x")
+        month = store.read_months("fact_order", [date(2024, 1, 1)])
+        assert column(insert_absent(near, new, "order_code"), "order_code") == ["2201-x"]
+        for frame in (insert_absent(near, new, "order_code"), near.join(new.select("order_code"), "order_code"),
+                      upsert(month, new, "order_code", ["order_quantity"])):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            lines = plan.splitlines()
+            scan = next(i for i, x in enumerate(lines) if "Bucketed: true" in x)
+            depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+            above, limit = [], depth(lines[scan])
+            for x in reversed(lines[:scan]):
+                if depth(x) < limit:
+                    above, limit = [*above, x], depth(x)
+            assert not any("Exchange" in x for x in above if "Broadcast" not in x), plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "PushedFilters: [IsNotNull(order_code), GreaterThanOrEqual(order_code,2201-5)" in (
+        near._jdf.queryExecution().executedPlan().toString())
 
 
-def test_incremental_reads_open_newer_folders_only(spark, tmp_path):
+def test_incremental_reads_open_newer_months_only(spark, tmp_path):
     store = _stored_orders(spark, tmp_path, 900)
-    first = store.version("fact_order")
-    late = spark.createDataFrame([("2201-new", date(2024, 1, 5), T2)],
-                                 "order_code string, order_date date, import_timestamp timestamp")
-    store.append("fact_order", late)
-    rows = store.read_since("fact_order", first.newest)
-    assert column(rows, "order_code") == ["2201-new"] and len(rows.inputFiles()) == 1
-    assert store.version("fact_order").newest > first.newest
-    assert store.read_since("fact_order", store.version("fact_order").newest).count() == 0
-    assert column(store.read_made_after("fact_order", first.number), "order_code") == ["2201-new"]
+    first, load = store.newest("fact_order"), store.last_load("fact_order")
+    store.append("fact_order", _batch(spark, ("2201-new", date(2024, 1, 5), 1.0, T2)))
+    rows = store.read_since("fact_order", first)
+    assert column(rows, "order_code") == ["2201-new"]
+    assert {f.rsplit("/", 2)[1] for f in rows.inputFiles()} == {"order_date_month=2024-01-01"}
+    assert store.newest("fact_order") > first
+    assert store.read_since("fact_order", store.newest("fact_order")).count() == 0
+    assert column(store.read_stored_after("fact_order", load).where("order_quantity = 1").select(
+        "order_date_month").distinct(), "order_date_month") == ["2024-01-01"]
+
+
+def test_one_row_per_key_sorts_no_rows(spark):
+    rows = durable(spark.range(2000).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('k', id % 500)) AS k", "id AS place_of", "concat('a', id) AS a",
+        "if(id % 2 = 0, null, id) AS b"))
+    found = one_row_per_key(rows, "k", F.col("place_of"), ["place_of"], ["b"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    truth = {}
+    for r in rows.orderBy("place_of").collect():
+        truth.setdefault(r.k, [r.a, r.b])[1] = r.b
+    assert {r.k: [r.a, r.b] for r in found.collect()} == truth and found.columns == ["k", "a", "b"]
 
 
 def test_loads_leave_no_copies(spark, tmp_path):

@@ -91,7 +91,7 @@ def test_upsert_equals_row_by_row(spark, first, second):
     def collapsed(rows):
         frame = spark.createDataFrame([(k, q, n, i) for i, (k, q, n) in enumerate(rows)],
                                       "k int, q int, note string, place int")
-        return one_row_per_key(frame, "k", ["place"], ["q"])
+        return one_row_per_key(frame, "k", F.col("place"), ["place"], ["q"])
 
     result = upsert(collapsed(first), collapsed(second), "k", ["q"])
     got = {r.k: ((r.q, r.note), r.change) for r in result.collect()}
