@@ -9,11 +9,13 @@ blocks those are few, and Spark broadcasts them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.session import durable
+
 
 def ordinal_in_key(df: DataFrame, key: Sequence[str], chunk: str, row: str,
                    name: str) -> DataFrame:
@@ -46,3 +48,21 @@ def number_after(df: DataFrame, column: str, start: Column, name: str,
     return bucketed.withColumn("place", F.row_number().over(inside)).join(before, "bucket").withColumn(
         name, start + F.col("rows_before") + F.col("place")
     ).drop("bucket", "rows_before", "place")
+
+
+def place_in_order(ordered: DataFrame, name: str,
+                   cut: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
+    """Add `name`: 1, 2, ... in the order of a sorted frame.
+
+    Sorting deals rows to tasks by range, so a row's place is the number of rows of earlier tasks plus
+    its place within its own. The sorted rows are written (`cut`) with both, and the running sum
+    sees one row for each task.
+    """
+    made = F.monotonically_increasing_id()
+    rows = cut(ordered.withColumns({"__part": F.shiftright(made, 33), "__row": made.bitwiseAND(
+        F.lit((1 << 33) - 1))}))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return rows.join(before, "__part").withColumn(
+        name, F.col("__before") + F.col("__row") + 1).drop("__part", "__row", "__before")

@@ -694,6 +694,9 @@ def run_sql() -> dict[str, str]:
                   - (SELECT count(*) FROM fact1) - (SELECT count(*) FROM fact2) AS fact_rejected,
                 CAST(0 AS BIGINT) AS factories_added, CAST(0 AS BIGINT) AS products_added""",
             **sales, added=added, fact1=_sales_fact("first"), fact2=_sales_fact("added")),
+        "landing_refusals": """SELECT * FROM (VALUES ('empty.csv', 'empty_file'), ('notes-0.txt', 'wrong_suffix'),
+                ('short-0.csv', 'column_count')) AS refused(file, reject_reason)
+            UNION ALL SELECT 'rows read', CAST(count(*) AS VARCHAR) FROM lineitem""",
         "landed_sales_stream": _with(f"SELECT {_SALES_SHOWN} FROM fact", lines=_sales_rows(0),
                                      fact=_sales_fact("lines")),
         "landed_files_one_trigger": _LANDED,

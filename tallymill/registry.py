@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymill.params import DateRange
 from tallymill.operators.upsert import INSERTED, KEPT, insert_absent, upsert
+from tallymill.operators.ordinals import place_in_order
 from tallymill.operators.paging import page, page_after, row_count
 from tallymill.plans import (
     dimension_changes, dimension_lists, dimension_refresh, extracts, facts, materials, monthly, product_mix, product_pivot,
@@ -112,9 +113,8 @@ def _product_pivot(factory: list[str] | None, increase: bool) -> Query:
 
 
 def _ranked(build: Callable[[SampleWarehouse], DataFrame]) -> Query:
-    """A report with the place of each row in its order; reports have few rows."""
-    return _on_sample(lambda w: build(w).withColumn("place", F.monotonically_increasing_id()).withColumn(
-        "place", F.row_number().over(Window.orderBy("place"))))
+    """A report with the place of each row in its order."""
+    return _on_sample(lambda w: place_in_order(build(w), "place").withColumn("place", F.col("place").cast("int")))
 
 
 def report_queries() -> dict[str, Query]:
@@ -348,6 +348,25 @@ def _land_all(files: Files, extract: DataFrame, schema: T.StructType, code: str,
     _land(files, tenth, columns, code, folder, "0-corrected")
 
 
+def _refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch load of a folder that also holds an empty file, one with another suffix, one with a
+    suffix in capitals and one that lacks a column: what is refused, and how many rows are read."""
+    w, root = SampleWarehouse(spark, folder), _scratch(spark)
+    files, extract, columns = Files(spark, root), w.sales_extract(0), SALES_EXTRACT.names
+    share = F.pmod(F.xxhash64(F.coalesce("sales_code", F.lit(""))), F.lit(4))
+    for name, suffix, rows, cells in (
+            ("base", "csv", extract.filter(share < 2), columns), ("MORE", "CSV", extract.filter(share >= 2), columns),
+            ("notes", "txt", extract, columns), ("short", "csv", extract, columns[:-1])):
+        _land(files, rows, cells, "sales_code", f"{root}/landed", name, suffix)
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{root}/nothing")
+    files.move(next(f"{root}/nothing/{n}" for n in files.names(f"{root}/nothing") if n.startswith("part-")),
+               f"{root}/landed/empty.csv")
+    landed = read_sales_extract(spark, f"{root}/landed")
+    name = F.element_at(F.split("path", "/"), -1)
+    return landed.refused.select(name.alias("file"), "reject_reason").union(landed.rows.agg(
+        F.lit("rows read"), F.count(F.lit(1)).cast("string")))
+
+
 def _landed(max_files: int) -> Query:
     """Sales and orders that landed as files, taken by the stream `max_files` at a time."""
 
@@ -399,6 +418,7 @@ def run_queries() -> dict[str, Query]:
         "sales_load": lambda s, f: stored(_sales_run(s, f)[0].read("fact_sales"), _SALES_SHOWN,
                                           "import_timestamp"),
         "sales_load_counts": lambda s, f: _summed(_sales_run(s, f)[1]),
+        "landing_refusals": _refusals,
         "landed_sales_stream": _sales_stream,
         "landed_files_one_trigger": _landed(max_files=1_000),
         "landed_files_many_triggers": _landed(max_files=3),

@@ -7,8 +7,10 @@ a bounded run of rows (over all files, in their order), and the order within the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,13 +28,12 @@ ROWS_PER_CHUNK = 1 << 20
 # A row's number within its chunk takes so many bits of its place.
 ROW_BITS = 33
 
-# Spreadsheets write a quote inside a cell as two quotes. No suffix is looked at here, in
-# any case: what to read is the caller's choice.
+# Spreadsheets write a quote inside a cell as two quotes.
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 _RAGGED = "ragged_row"
 
 # Reasons of refusal.
-WRONG_SUFFIX, TOO_LARGE, COLUMN_COUNT = "wrong_suffix", "too_large", "column_count"
+WRONG_SUFFIX, EMPTY, TOO_LARGE, COLUMN_COUNT = "wrong_suffix", "empty_file", "too_large", "column_count"
 REFUSED_COLUMNS = TABLES["landing_rejects"].names
 
 Cut = Callable[[DataFrame], DataFrame]
@@ -61,22 +62,29 @@ def judged_files(files: DataFrame, suffixes: tuple[str, ...] = SUFFIXES,
     The suffix counts in any case. The size is not bounded unless the caller bounds it.
     """
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    reason = F.when(~suffix.isin(list(suffixes)), WRONG_SUFFIX)
+    reason = F.when(~suffix.isin(list(suffixes)), WRONG_SUFFIX).when(F.col("file_size") == 0, EMPTY)
     if max_bytes is not None:
         reason = reason.when(F.col("file_size") > max_bytes, TOO_LARGE)
     return files.withColumn("reject_reason", reason)
 
 
-def admit(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES,
-          max_bytes: int | None = None) -> Admission:
-    """Files of a folder that may be loaded, and the others with the reason.
+def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, file_size, modified_at) of all files below a path, from metadata only.
 
-    Lists metadata only: the file content is never selected, hence never read. Files of no
-    bytes hold no rows, and Spark does not list them.
+    Spark's readers leave files of no bytes out of their rows, but not out of the names they
+    list; such files have no time here.
     """
-    files = spark.read.format("binaryFile").load(folder).select(
-        "path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"))
-    judged = judged_files(files, suffixes, max_bytes)
+    held = spark.read.format("binaryFile").load(path)
+    files = held.select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"))
+    names = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in held.inputFiles()]
+    empty = spark.createDataFrame(names, "path string").join(files.select("path"), "path", "left_anti")
+    return files.union(empty.select("path", F.lit(0).cast("long"), F.lit(None).cast("timestamp")))
+
+
+def admit(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES,
+          max_bytes: int | None = None) -> Admission:
+    """Files of a folder that may be loaded, and the others with the reason; no content is read."""
+    judged = judged_files(listed_files(spark, folder), suffixes, max_bytes)
     return Admission(judged.filter("reject_reason IS NULL").drop("reject_reason"),
                      judged.filter("reject_reason IS NOT NULL"))
 
@@ -109,13 +117,14 @@ def _csv_rows(spark: SparkSession, path: str | list[str], schema: T.StructType,
               multiline: bool) -> DataFrame:
     checked = T.StructType([*schema.fields, T.StructField(_RAGGED, T.StringType())])
     raw = spark.read.schema(checked).options(
-        **CSV_OPTIONS, multiLine=multiline, columnNameOfCorruptRecord=_RAGGED).csv(path)
+        **CSV_OPTIONS, multiLine=multiline, columnNameOfCorruptRecord=_RAGGED,
+        pathGlobFilter=_glob(".csv")).csv(path)
     return raw.select(*schema.names, F.col(_RAGGED).isNotNull().alias(_RAGGED), *_place(
         F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
 
 
 def _parquet_rows(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    raw = spark.read.option("mergeSchema", True).parquet(*([path] if isinstance(path, str) else path))
+    raw = spark.read.options(mergeSchema=True, pathGlobFilter=_glob(".parquet")).parquet(*([path] if isinstance(path, str) else path))
     if len(raw.columns) != len(schema):
         raise ColumnMismatch(f"expected {len(schema)} columns, found {len(raw.columns)}")
     index = F.col("_metadata.row_index")
@@ -124,6 +133,11 @@ def _parquet_rows(spark: SparkSession, path: str | list[str], schema: T.StructTy
         F.floor(index / ROWS_PER_CHUNK), index))
 
 
+def _glob(suffix: str) -> str:
+    """Names with a suffix in any case."""
+    return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
 def _sorted_out(rows: DataFrame, cut: Cut) -> Landed:
     """Files with a row of another number of cells are refused whole."""
     rows = cut(rows)
@@ -137,21 +151,24 @@ def _sorted_out(rows: DataFrame, cut: Cut) -> Landed:
 
 
 def read_extract(spark: SparkSession, path: str | list[str], schema: T.StructType,
-                 file_format: str = "csv", multiline: bool = False, cut: Cut = durable) -> Landed:
+                 file_format: str = "csv", multiline: bool = False, cut: Cut = durable,
+                 max_bytes: int | None = None) -> Landed:
     """Extract files as text columns by position, with the place of each row.
 
+    Files of another suffix, of no bytes, or of more than `max_bytes` are refused unread.
+
     CSV files are split by Spark; pass `multiline=True` for files whose cells hold line breaks:
     each is then read by one task. A CSV file with a row of another number of cells is refused.
     Parquet files of one read share one schema; another number of columns raises.
     The rows are written once (`cut`), so that later steps do not parse the files again.
     """
-    if file_format == "parquet":
-        rows = _parquet_rows(spark, path, schema)
-    elif file_format == "csv":
-        rows = _csv_rows(spark, path, schema, multiline)
-    else:
+    if file_format not in ("csv", "parquet"):
         raise ValueError(f"unknown extract format {file_format}")
-    return _sorted_out(rows, cut)
+    refused = admit(spark, path, (f".{file_format}",), max_bytes).rejected
+    read = _parquet_rows(spark, path, schema) if file_format == "parquet" else _csv_rows(
+        spark, path, schema, multiline)
+    landed = _sorted_out(read if max_bytes is None else read.where(F.col("file_size") <= max_bytes), cut)
+    return Landed(landed.rows, landed.refused.unionByName(refused))
 
 
 def read_listed(spark: SparkSession, files: DataFrame, schema: T.StructType, multiline: bool,
@@ -189,12 +206,12 @@ def _literal(path: str) -> str:
 
 
 def read_order_extract(spark: SparkSession, path: str | list[str], file_format: str = "csv",
-                       multiline: bool = False, cut: Cut = durable) -> Landed:
+                       multiline: bool = False, cut: Cut = durable, max_bytes: int | None = None) -> Landed:
     """S3: 17 text columns by position; see `read_extract`."""
-    return read_extract(spark, path, ORDER_EXTRACT, file_format, multiline, cut)
+    return read_extract(spark, path, ORDER_EXTRACT, file_format, multiline, cut, max_bytes)
 
 
 def read_sales_extract(spark: SparkSession, path: str | list[str], file_format: str = "csv",
-                       multiline: bool = False, cut: Cut = durable) -> Landed:
+                       multiline: bool = False, cut: Cut = durable, max_bytes: int | None = None) -> Landed:
     """15 text columns by position; see `read_extract`."""
-    return read_extract(spark, path, SALES_EXTRACT, file_format, multiline, cut)
+    return read_extract(spark, path, SALES_EXTRACT, file_format, multiline, cut, max_bytes)

@@ -41,11 +41,14 @@ def test_admission(spark, tmp_path):
     (tmp_path / "plain").write_text("x")
     write_orders(tmp_path / "two words %.csv", {})
     (tmp_path / "large.csv").write_text("x" * 3000)
+    (tmp_path / "no bytes %41.csv").write_text("")
+    (tmp_path / "none.xlsx").write_text("")
     accepted, rejected = admit(spark, str(tmp_path), max_bytes=2000)
     names = [p.rsplit("/", 1)[1] for p in column(accepted, "path")]
     assert names == ["Also.CSV", "good.csv", "two words %.csv"]
     reasons = {r.path.rsplit("/", 1)[1]: r.reject_reason for r in rejected.collect()}
-    assert reasons == {"sheet.xlsx": "wrong_suffix", "plain": "wrong_suffix", "large.csv": "too_large"}
+    assert reasons == {"sheet.xlsx": "wrong_suffix", "plain": "wrong_suffix", "large.csv": "too_large",
+                       "no bytes %41.csv": "empty_file", "none.xlsx": "wrong_suffix"}
     assert admit(spark, str(tmp_path)).accepted.count() == 4
 
 
@@ -74,6 +77,19 @@ def test_files_of_another_width_are_refused(spark, tmp_path):
     assert store.read("landing_rejects").count() == 2 and store.read("fact_sales").count() == 2
 
 
+def test_batches_judge_files_too(spark, tmp_path):
+    write_sales(tmp_path / "good.CSV", {}, {})
+    write_sales(tmp_path / "a.txt", {})
+    (tmp_path / "e.csv").write_text("")
+    landed = read_sales_extract(spark, str(tmp_path))
+    assert landed.rows.count() == 2
+    refused = {r.path.rsplit("/", 1)[1]: r.reject_reason for r in landed.refused.collect()}
+    assert refused == {"a.txt": "wrong_suffix", "e.csv": "empty_file"}
+    bounded = read_sales_extract(spark, str(tmp_path), max_bytes=100)
+    assert bounded.rows.count() == 0
+    assert {r.reject_reason for r in bounded.refused.collect()} == {"wrong_suffix", "empty_file", "too_large"}
+
+
 DATES = {"31-12-2024": "2024-12-31", "31.12.2024": "2024-12-31", "2024/12/31": "2024-12-31",
          "31/12/2024 00:00:00": "2024-12-31", "2024-12-31T00:00:00": "2024-12-31", "1/3/2024": "2024-03-01",
          "2024-3-1 8:05": "2024-03-01", "01.03.2024T23:59:59.25": "2024-03-01", "31/02/2024": None,
@@ -383,6 +399,7 @@ def _land(folder, kind):
     table = csv.DictReader(open(folder.parent / f"{kind}.aside"))
     pq.write_table(pa.Table.from_pylist(list(table)), folder / "late.parquet")
     (folder / "notes.txt").write_text("x")
+    (folder / "empty.csv").write_text("")
     return raw
 
 
@@ -397,7 +414,8 @@ def test_tables_do_not_depend_on_triggers(spark, tmp_path, max_files):
     assert sales == {"2301-1-0001": 5, "2301-17-0001": 1, "2301-18-0001": 3, "2301-19-0001": 4}
     orders = {r.order_code: r.order_quantity for r in store.read("fact_order").collect()}
     assert orders == {"2201-1-0001": 30, "2201-17-0001": 1, "2201-18-0001": 3, "2201-19-0001": 4}
-    assert [r.reject_reason for r in store.read("landing_rejects").collect()] == ["wrong_suffix"] * 2
+    reasons = sorted(r.reject_reason for r in store.read("landing_rejects").collect())
+    assert reasons == ["empty_file"] * 2 + ["wrong_suffix"] * 2
 
 
 def test_large_files_are_loaded(spark, tmp_path):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallymill.functions.dates import parse_day_first
 from tallymill.functions.numbers import one_decimal_text, plain_text, round_half_even, round_half_up
 from tallymill.functions.text import drop_point_zero, missing_to_null, ordinal_text
-from tallymill.operators.ordinals import number_after, ordinal_in_key
+from tallymill.operators.ordinals import number_after, ordinal_in_key, place_in_order
 from tallymill.operators.paging import page, row_count
 from tallymill.operators.stacking import stacked_sums
 from tallymill.operators.upsert import insert_absent, one_row_per_key, upsert
@@ -193,3 +193,13 @@ def test_totals_read_each_fact_once(spark):
     scans = [line for line in plan.toString().splitlines() if "Relation" in line]
     assert sum("l_shipdate" in s for s in scans) == 1
     assert sum("o_orderdate" in s for s in scans) == 1
+
+
+def test_place_in_order(spark):
+    rows = spark.range(5000).selectExpr("(id * 7919) % 5000 AS v", "id % 3 AS w").repartition(6)
+    found = place_in_order(rows.orderBy("v"), "place")
+    assert found.where("place <> v + 1").count() == 0 and found.count() == 5000
+    assert found.columns == ["v", "w", "place"]
+    assert place_in_order(rows.where("v < 0").orderBy("v"), "place").count() == 0
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("Window [" in x and "row_number" in x for x in lines)
