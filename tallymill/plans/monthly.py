@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymill.functions.dates import days_within, in_any_range
 from tallymill.functions.numbers import or_zero, ratio
 from tallymill.functions.predicates import where_equal
+from tallymill.operators.reduction import may_hold
 from tallymill.operators.stacking import stacked_sums
 from tallymill.params import DateRange, code_list, number_list
 from tallymill.plans.calendars import days_of_years, on_calendar, year_spans
@@ -79,7 +80,8 @@ def same_month_sales(fact_sales: DataFrame, fact_order: DataFrame, dim_date: Dat
     """Per month of either range, sales whose order fell in the same month or not.
 
     Sales are summed per order and month before they meet their order: an order code
-    with very many sales lines shrinks to one row per month ahead of the join.
+    with very many sales lines shrinks to one row per month ahead of the join. Orders that
+    were not sold in the ranges are dropped by a bitmap of the sold codes before they are shuffled.
     """
     spans = [main or DateRange.month_to_date(), target or DateRange.previous_month_to_date()]
     calendar = _months_of(dim_date, spans)
@@ -91,7 +93,8 @@ def same_month_sales(fact_sales: DataFrame, fact_order: DataFrame, dim_date: Dat
     order_days = dim_date.select(F.col("date").alias("calendar_date"),
                                  F.col("year").alias("order_year"),
                                  F.col("month").alias("order_month"))
-    order_months = on_calendar(fact_order, "order_date", order_days).select(
+    sold = may_hold(fact_order.filter(F.col("order_code").isNotNull()), "order_code", per_order)
+    order_months = on_calendar(sold, "order_date", order_days).select(
         "order_code", "order_year", "order_month")
     same = (F.col("month") == F.col("order_month")) & (F.col("year") == F.col("order_year"))
     matched = per_order.join(order_months, "order_code").select(

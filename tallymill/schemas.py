@@ -153,6 +153,9 @@ KEYS = {
     "dim_factory": "factory_code", "dim_product": "product_name",
     "dim_retailer": "id", "blueprint": "id",
 }
+# What the rows of a bucket are sorted by, so that readers skip parts of files: the key, but for
+# orders the delivery date, by which reports read them over all months.
+SORTED_BY = {"fact_order": "estimated_delivery_date"}
 PARTITION_DATES = {
     "order_staging": "order_date", "sales_staging": "sales_date",
     "fact_order": "order_date", "fact_sales": "sales_date",

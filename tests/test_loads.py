@@ -537,6 +537,27 @@ def test_incremental_reads_open_newer_months_only(spark, tmp_path):
         "order_date_month").distinct(), "order_date_month") == ["2024-01-01"]
 
 
+def test_reports_by_delivery_date_skip_parts_of_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=1)
+    rows = spark.range(60_000).selectExpr(
+        "concat('2201-', uuid()) AS order_code", "date'2024-01-05' AS order_date",
+        "date_add(date'2024-02-01', int(id * 7919 % 300)) AS estimated_delivery_date")
+    spark._jsc.hadoopConfiguration().set("parquet.page.row.count.limit", "1000")
+    try:
+        store.append("fact_order", rows)
+    finally:
+        spark._jsc.hadoopConfiguration().unset("parquet.page.row.count.limit")
+    month = store.read("fact_order").where("estimated_delivery_date BETWEEN date'2024-03-01' AND date'2024-03-31'")
+    found = month.select("order_code", "estimated_delivery_date")
+    assert found.where("estimated_delivery_date IS NULL").count() == 0
+    assert found.count() == found.toPandas().shape[0] == 6200
+    scan = found._jdf.queryExecution().executedPlan()
+    found._jdf.queryExecution().toRdd().count()
+    while scan.children().size():
+        scan = scan.children().head()
+    assert scan.metrics().apply("numOutputRows").value() < 15_000
+
+
 def test_one_row_per_key_sorts_no_rows(spark):
     rows = durable(spark.range(2000).selectExpr(
         "if(id % 3 = 0, 'hot', concat('k', id % 500)) AS k", "id AS place_of", "concat('a', id) AS a",

@@ -14,6 +14,7 @@ from tallymill.functions.numbers import one_decimal_text, plain_text, round_half
 from tallymill.functions.text import drop_point_zero, missing_to_null, ordinal_text
 from tallymill.operators.ordinals import number_after, ordinal_in_key, place_in_order
 from tallymill.operators.paging import page, row_count
+from tallymill.operators.reduction import may_hold
 from tallymill.operators.stacking import stacked_sums
 from tallymill.operators.upsert import insert_absent, one_row_per_key, upsert
 from tallymill.plans import dimension_changes, dimension_lists
@@ -203,3 +204,37 @@ def test_place_in_order(spark):
     assert place_in_order(rows.where("v < 0").orderBy("v"), "place").count() == 0
     lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
     assert not any("Window [" in x and "row_number" in x for x in lines)
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15, 64])
+def test_may_hold_keeps_all_that_match(spark, bits):
+    rows = spark.range(20_000).selectExpr("concat('k', id) AS k", "id")
+    keys = spark.range(0, 20_000, 40).selectExpr("if(id = 0, null, concat('k', id)) AS k", "id AS other")
+    found = may_hold(rows, "k", keys, bits)
+    kept = {r.id for r in found.collect()}
+    assert found.columns == ["k", "id"] and kept >= set(range(40, 20_000, 40))
+    assert len(kept) <= (600 if bits > 1 << 20 else 20_000)
+    assert may_hold(rows, "k", keys.limit(0), bits).count() == 0
+
+
+def test_unsold_orders_are_not_shuffled(spark):
+    from tallymill.params import DateRange
+    from tallymill.plans.calendars import calendar_days
+    from tallymill.plans.monthly import same_month_sales
+
+    orders = spark.range(30_000).selectExpr(
+        "concat('o', id) AS order_code", "date_add(date'2024-01-01', int(id % 60)) AS order_date", "1.0D AS order_quantity")
+    sales = spark.range(200).selectExpr("concat('o', id * 100) AS order_code",
+                                        "date'2024-02-10' AS sales_date", "2.0D AS sales_quantity")
+    days = calendar_days(spark, DateRange.of("2024-01-01", "2024-12-31"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = same_month_sales(sales, orders, days, DateRange.of("2024-02-01", "2024-02-20"),
+                                 DateRange.of("2024-01-01", "2024-01-02"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        totals = {(r.month, r.same_month_sales, r.diff_month_sales) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "bitmap_construct_agg" in plan and "BroadcastHashJoin" in plan
+    same = sum(2.0 for i in range(200) if (i * 100) % 60 >= 31)
+    assert totals == {(1, 0.0, 0.0), (2, same, 400.0 - same)}
