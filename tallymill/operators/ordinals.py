@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tallymill.session import durable
 
+PART, ROW = "__part", "__row"
+
 
 def ordinal_in_key(df: DataFrame, key: Sequence[str], chunk: str, row: str,
                    name: str) -> DataFrame:
@@ -50,6 +52,13 @@ def number_after(df: DataFrame, column: str, start: Column, name: str,
     ).drop("bucket", "rows_before", "place")
 
 
+def in_ranges(ordered: DataFrame) -> DataFrame:
+    """A sorted frame with the number of each row's task (PART, in sort order) and its place there
+    (ROW, from 0). Write the result at once: another run may deal rows otherwise."""
+    made = F.monotonically_increasing_id()
+    return ordered.withColumns({PART: F.shiftright(made, 33), ROW: made.bitwiseAND(F.lit((1 << 33) - 1))})
+
+
 def place_in_order(ordered: DataFrame, name: str,
                    cut: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """Add `name`: 1, 2, ... in the order of a sorted frame.
@@ -58,11 +67,9 @@ def place_in_order(ordered: DataFrame, name: str,
     its place within its own. The sorted rows are written (`cut`) with both, and the running sum
     sees one row for each task.
     """
-    made = F.monotonically_increasing_id()
-    rows = cut(ordered.withColumns({"__part": F.shiftright(made, 33), "__row": made.bitwiseAND(
-        F.lit((1 << 33) - 1))}))
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
-        "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    return rows.join(before, "__part").withColumn(
-        name, F.col("__before") + F.col("__row") + 1).drop("__part", "__row", "__before")
+    rows = cut(in_ranges(ordered))
+    earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("__n")).select(
+        PART, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return rows.join(before, PART).withColumn(
+        name, F.col("__before") + F.col(ROW) + 1).drop(PART, ROW, "__before")

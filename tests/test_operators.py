@@ -238,3 +238,17 @@ def test_unsold_orders_are_not_shuffled(spark):
     assert "bitmap_construct_agg" in plan and "BroadcastHashJoin" in plan
     same = sum(2.0 for i in range(200) if (i * 100) % 60 >= 31)
     assert totals == {(1, 0.0, 0.0), (2, same, 400.0 - same)}
+
+
+def test_deep_pages_read_few_ranges(spark):
+    rows = spark.range(40_000).selectExpr("(id * 7919) % 40000 AS v", "id % 7 AS w").repartition(9)
+    found = page(rows, ["v"], 361, 100, deep=5_000)
+    assert [r.v for r in found.collect()] == list(range(36_000, 36_100))
+    assert found.columns == ["v", "w", "total_count"] and found.first().total_count == 40_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "__part" in plan.split("PushedFilters: [")[1].split("]")[0] and "Limit" not in plan
+    for number, expected in ((1, range(100)), (400, range(39_900, 40_000)), (401, range(0))):
+        assert [r.v for r in page(rows, ["v"], number, 100, deep=0).collect()] == list(expected)
+    wide = page(rows, ["v"], 2, 15_000, deep=5_000)
+    assert [r.v for r in wide.collect()] == list(range(15_000, 30_000))
+    assert page(rows.limit(0), ["v"], 3, 100, deep=0).count() == 0
