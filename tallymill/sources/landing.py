@@ -184,12 +184,16 @@ def read_listed(spark: SparkSession, files: DataFrame, schema: T.StructType, mul
     csv = [p for p in paths if not p.lower().endswith(".parquet")]
     if csv:
         parts.append(_csv_rows(spark, csv, schema, multiline))
+    # One read for all files of a layout, however many they are.
+    layouts: dict[tuple[str, ...], list[str]] = {}
     for path in sorted(set(paths) - set(csv)):
-        try:
-            parts.append(_parquet_rows(spark, path, schema))
-        except ColumnMismatch:
-            refused = refused.unionByName(judged.filter(F.col("path") == path.replace("\\", "")).withColumn(
-                "reject_reason", F.lit(COLUMN_COUNT)))
+        layouts.setdefault(tuple(spark.read.parquet(path).columns), []).append(path)
+    for columns, same in layouts.items():
+        if len(columns) == len(schema):
+            parts.append(_parquet_rows(spark, same, schema))
+        else:
+            refused = refused.unionByName(judged.filter(F.col("path").isin([p.replace("\\", "") for p in same]))
+                                          .withColumn("reject_reason", F.lit(COLUMN_COUNT)))
     if not parts:
         place = T.StructType([T.StructField(c, T.LongType()) for c in (SOURCE_FILE, SOURCE_CHUNK, SOURCE_ROW)])
         return Landed(spark.createDataFrame([], T.StructType([*schema.fields, *place.fields])), refused)

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from tallymill.plans import facts, staging
 from tallymill.operators.upsert import insert_absent, one_row_per_key, upsert
 from tallymill.plans.loads import load_order_files, load_orders, load_sales, load_sales_files
-from tallymill.sources.landing import ColumnMismatch, admit, read_order_extract, read_sales_extract
-from tallymill.schemas import ORDER_STAGING_COLUMNS
+from tallymill.schemas import ORDER_STAGING_COLUMNS, SALES_EXTRACT
+from tallymill.sources.landing import (
+    SUFFIXES, ColumnMismatch, admit, listed_files, read_listed, read_order_extract, read_sales_extract,
+)
 from tallymill.session import durable, shared_folder
 from tallymill.sources.tables import COPIED, Store, padded
 from tallymill.streaming.landing import load_landed_orders, load_landed_sales
@@ -418,6 +420,27 @@ def test_tables_do_not_depend_on_triggers(spark, tmp_path, max_files):
     assert reasons == ["empty_file"] * 2 + ["wrong_suffix"] * 2
 
 
+def test_many_parquet_files_make_one_scan(spark, tmp_path):
+    raw = csv.DictReader(open(write_sales(tmp_path / "raw.txt", {}, {})))
+    table = pa.Table.from_pylist(list(raw))
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    for i in range(12):
+        pq.write_table(table, folder / f"{i}.parquet")
+
+    def read():
+        files = listed_files(spark, str(folder))
+        return read_listed(spark, files, SALES_EXTRACT, False, SUFFIXES, None, lambda df: df)
+
+    plan = read().rows._jdf.queryExecution().analyzed().toString()
+    assert read().rows.count() == 24 and plan.count("Union") == 0
+    pq.write_table(table.select(table.column_names[:-1]), folder / "short.parquet")
+    landed = read()
+    assert landed.rows.count() == 24
+    assert [(r.path.rsplit("/", 1)[1], r.reject_reason) for r in landed.refused.collect()] == [
+        ("short.parquet", "column_count")]
+
+
 def test_large_files_are_loaded(spark, tmp_path):
     folder = tmp_path / "large"
     folder.mkdir()
