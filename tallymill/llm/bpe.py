@@ -3,6 +3,8 @@
 Texts are cut into added tokens and pieces (the pattern of byte-level vocabularies). Pieces not
 seen before by a worker are encoded together: their symbols lie in one flat array, and in each
 round every piece merges its lowest-ranked pair, found by binary search over sorted pair keys.
+Rounds over long pieces touch only the places they merge and their neighbours, so that a word of
+a million letters takes seconds.
 Documents are then put together from piece ids, and ids are turned back into bytes by gathers.
 
 Ids are kept packed (little-endian unsigned 32 bits), so that counting, hashing and storing
@@ -13,6 +15,7 @@ Repeated rows are encoded alike; other columns are carried along unless they are
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +33,8 @@ from tallymill.llm.common import slices
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Pieces that a worker remembers; beyond it the memory is emptied and filled again.
 REMEMBERED = 150_000
+# Pieces of more bytes are merged by rank; the number of rounds over the others is below this.
+LONG_PIECE = 64
 
 
 def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -38,6 +43,14 @@ def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return values[np.arange(len(shift)) + shift]
 
 
+def _every_second(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of places that follow each other (a pair like `aa` in `aaa`) every second one holds."""
+    at = np.arange(len(places))
+    head = np.ones(len(places), bool)
+    head[1:] = after[:-1] != places[1:]
+    return (at - np.maximum.accumulate(np.where(head, at, 0))) % 2 == 0
+
+
 class Merges:
     """The merge table: sorted keys of (left, right), with their rank and the merged id."""
 
@@ -74,7 +87,15 @@ class Merges:
         sizes = np.array([len(p) for p in pieces], np.int64)
         symbols = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         piece = np.repeat(np.arange(len(pieces)), sizes)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        long = np.repeat(sizes > LONG_PIECE, sizes)
+        done = [self._rounds(symbols[~long], piece[~long]), self._by_rank(symbols[long], piece[long])]
+        symbols, piece = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(piece, kind="stable")
+        return symbols[order].astype(np.uint32), np.bincount(piece, minlength=len(pieces))
+
+    def _rounds(self, symbols: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and their pieces after all merges: each round passes over all pieces not done."""
+        done: list[tuple[np.ndarray, np.ndarray]] = [(symbols[:0], piece[:0])]
         none = len(self.keys)
         while len(symbols):
             ranks = np.full(len(symbols), none)
@@ -84,24 +105,64 @@ class Merges:
             lowest = np.repeat(np.minimum.reduceat(ranks, heads), lengths)
             over = lowest == none
             if over.any():
-                done.append((piece[over], symbols[over]))
+                done.append((symbols[over], piece[over]))
                 symbols, piece, ranks, lowest = (x[~over] for x in (symbols, piece, ranks, lowest))
                 if not len(symbols):
                     break
             hit = ranks == lowest
-            # Of hits that follow each other (a pair like `aa` in `aaa`) every second one holds.
-            places = np.arange(len(hit))
-            since = places - np.maximum.accumulate(np.where(hit, -1, places))
-            hit &= since % 2 == 1
+            hit[hit] = _every_second(np.flatnonzero(hit), np.flatnonzero(hit) + 1)
             symbols = np.where(hit, self.merged[np.where(hit, ranks, 0)], symbols)
             keep = np.ones(len(hit), bool)
             keep[1:] = ~hit[:-1]
             symbols, piece = symbols[keep], piece[keep]
-        if not done:
-            return np.zeros(0, np.uint32), np.zeros(len(pieces), np.int64)
-        piece, symbols = (np.concatenate(x) for x in zip(*done))
-        order = np.argsort(piece, kind="stable")
-        return symbols[order].astype(np.uint32), np.bincount(piece, minlength=len(pieces))
+        symbols, piece = (np.concatenate(x) for x in zip(*done))
+        return symbols, piece
+
+    def _by_rank(self, symbols: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long pieces: places wait under the rank of their pair, a round takes the
+        lowest rank of all and touches the places under it and their neighbours only."""
+        n, none = len(symbols), len(self.keys)
+        symbols, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks = np.full(n, none)  # of the pair that begins at a place
+        if n:
+            ranks[:-1] = np.where(piece[:-1] == piece[1:], self.rank(symbols[:-1], symbols[1:]), none)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[ranks[places] < none]
+            places = places[np.argsort(ranks[places], kind="stable")]
+            under = ranks[places]
+            heads = np.flatnonzero(np.diff(under, prepend=-1))
+            for rank, a, b in zip(under[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(under)]):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(places[a:b])
+
+        wait(np.arange(n))
+        while heap:
+            rank = heapq.heappop(heap)
+            found = waiting.pop(rank)
+            places = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            places = places[ranks[places] == rank]  # others changed since they began to wait
+            places = places[_every_second(places, after[places])]
+            gone = after[places]
+            symbols[places] = self.merged[rank]
+            alive[gone], ranks[gone] = False, none
+            after[places] = after[gone]
+            within = after[places] < n
+            before[after[places][within]] = places[within]
+            left = before[places]
+            changed = np.concatenate([places, left[left >= 0]])
+            right = after[changed]
+            changed, right = changed[right < n], right[right < n]
+            ranks[places] = none
+            ranks[changed] = np.where(piece[changed] == piece[right],
+                                      self.rank(symbols[changed], symbols[right]), none)
+            wait(np.unique(changed))
+        return symbols[alive], piece[alive]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids; sequences that are no UTF-8 become U+FFFD."""
