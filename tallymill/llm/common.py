@@ -26,12 +26,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+def if_small(df: DataFrame, rows: int | None = None, weight: Column | None = None) -> DataFrame:
     """`df`, a written table of a few narrow columns, marked for broadcast if it has few rows.
 
-    Beyond the bound (BROADCAST_ROWS) Spark joins by shuffle and splits skewed partitions.
+    Where rows hold arrays, `weight` tells how many narrow rows each of them counts for. Beyond the bound
+    (BROADCAST_ROWS) Spark joins by shuffle and splits skewed partitions.
     """
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+    size = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
 _GIVEN: set[str] = set()

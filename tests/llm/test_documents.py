@@ -157,7 +157,7 @@ def test_removed_passages(documents, corpus):
         if r.doc_id is not None:
             spans[r.doc_id].append((r.begin, r.end))
             own = brute.words(texts[r.doc_id][r.begin:r.end])
-            assert len(own) == r.n_words >= substring_dedup.LEAST
+            assert len(own) == r.n_words >= substring_dedup.LINE_WORDS
     wanted = brute.repeats([(i, t) for i, t in corpus if i is not None], 51)
     for i, windows in wanted.items():
         assert all(any(a < end and begin < b for begin, end in spans[i]) for a, b in windows)
@@ -186,6 +186,65 @@ def test_texts_without_their_repeats(documents, corpus):
             assert kept[i].text == left and (not own or kept[i].n_chars == len(left))
 
 
+def _whole_lines(text, least):
+    """Words of each line and of each paragraph of more lines, with at least `least` words."""
+    out, paragraph = [], []
+    for line in (text or "").split("\n") + [""]:
+        own = brute.words(line)
+        if own:
+            paragraph.append(own)
+            out.append(tuple(own))
+            continue
+        if len(paragraph) > 1:
+            out.append(tuple(w for x in paragraph for w in x))
+        paragraph = []
+    return [x for x in out if len(x) >= max(least, 1)]
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_no_line_or_paragraph_of_the_least_length_stands_twice(spark, least):
+    rng = random.Random(5)
+    shared = [prose(rng, k).replace("\n", " ").strip() for k in (1, 2, 3, 4, 5, 9, 14, 30)]
+    texts = []
+    for _ in range(40):
+        own = [prose(rng, 12).replace("\n", " ").strip() + f" {len(texts)}" for _ in range(5)]
+        lines = own + rng.sample(shared, 4) + [""] * 2
+        rng.shuffle(lines)
+        texts.append("\n".join(x.upper() if rng.random() < 0.2 else "  " + x for x in lines))
+    wrapped = "\n".join(shared[7].split(" "))  # the same words as a paragraph of short lines
+    texts += ["before\n\n" + wrapped + "\n\nafter", None, "", "\n\n", wrapped, "x\r\n" + shared[5] + "\r\n"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spans = {}
+    for r in substring_dedup.removed(docs, line_words=least).collect():
+        spans.setdefault(r.doc_id, []).append((r.begin, r.end))
+    seen, wanted = set(), {}
+    for i, text in rows:
+        again = [x for k, x in enumerate(_whole_lines(text, least)) if x in seen or x in _whole_lines(
+            text, least)[:k]]
+        seen.update(_whole_lines(text, least))
+        wanted[i] = Counter(w for x in set(again) for w in x)
+    left = {}
+    for i, text in rows:
+        for begin, end in sorted(spans.get(i, []), reverse=True):
+            text = text[:begin] + text[end:]
+        left[i] = text
+    stays = Counter(x for t in left.values() for x in _whole_lines(t, least))
+    assert max(stays.values()) == 1
+    for i, text in rows:  # nothing else goes, and what goes stands before
+        gone = Counter(brute.words(text)) - Counter(brute.words(left[i]))
+        assert set(gone) <= set(wanted[i]) or sum(gone.values()) >= substring_dedup.LEAST
+        assert not wanted[i] or gone
+
+
+def test_rows_without_id_are_held_against_each_other(spark):
+    passage = prose(random.Random(9), 90)
+    docs = spark.createDataFrame([(None, "one " + passage), (None, "two " + passage), (None, "two " + passage)],
+                                 "doc_id long, text string")
+    (span,) = substring_dedup.removed(docs).collect()
+    assert span.doc_id is None and span.kept_doc_id is None and span.n_words > 60
+
+
 def test_units_are_cut_by_their_own_words():
     rng = random.Random(11)
     passage = " ".join(prose(rng, 70).split()[:51])
@@ -220,6 +279,18 @@ def test_encoding_is_that_of_the_library(documents, corpus, merges, spark):
         assert merges.decode(ids[a:b]).decode() == library.decode(wanted, skip_special_tokens=False)
 
 
+def test_long_pieces_are_merged_as_the_library_does(merges):
+    library = Tokenizer.from_file(vocabulary.default_path())
+    rng = random.Random(4)
+    texts = ["a" * n for n in (63, 64, 65, 66, 5001)] + [
+        "".join(rng.choice("ab") for _ in range(n)) for n in range(60, 90)] + [
+        "".join(rng.choice(letters) for _ in range(n)) for letters, n in (
+            ("acgt", 20_000), ("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("é漢ßx", 3_000))] + ["=" * 10_001]
+    ids, totals = bpe.Encoder(merges).encode(texts)
+    for text, part in zip(texts, np.split(ids, np.cumsum(totals)[:-1])):
+        assert part.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_round_trip(documents, corpus):
     library = Tokenizer.from_file(vocabulary.default_path())
     found = bpe.round_trip(documents, ["doc_id", "lang"])
