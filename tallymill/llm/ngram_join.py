@@ -46,6 +46,9 @@ from tallymill.session import cut_points, durable
 SHINGLE = 4
 PERCENT = 85
 BLOCK = 120_000
+BLOCK_SETS = 4_096
+TILE = 1 << 20
+DENSE = 64
 CHUNK = 2_048
 Cut = Callable[[DataFrame], DataFrame]
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64))
@@ -190,11 +193,56 @@ def hub_links(members: DataFrame, percent: int, cut: Cut) -> DataFrame:
         F.col("both") * 100 >= (F.col("n") + F.col("hub_n") - F.col("both")) * percent).alias("linked")))
 
 
+def _incidence(owner: np.ndarray, token: np.ndarray, sets_: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, place in `sets_`) of the shingles of some sets, by token and place."""
+    place = np.full(n, -1)
+    place[sets_] = np.arange(len(sets_))
+    on = place[owner] >= 0
+    order = np.lexsort((place[owner[on]], token[on]))
+    return token[on][order], place[owner[on]][order]
+
+
+def overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], height: int,
+             width: int) -> np.ndarray:
+    """Shingles in both, for each of `height` sets and each of `width`: a sparse product.
+
+    Most shingles stand in few sets: their pairs are listed and counted, TILE at a time. Shingles that
+    fill more than a part of the product of DENSE are multiplied as full columns, CHUNK at a time.
+    """
+    out = np.zeros((height, width), np.float32)
+    (a_token, a_place), (b_token, b_place) = left, right
+    first, behind = (np.searchsorted(b_token, a_token, side=x) for x in ("left", "right"))
+    times = behind - first
+    own = np.searchsorted(a_token, a_token, side="right") - np.searchsorted(a_token, a_token)
+    dense = times * own * DENSE > height * width
+    for low in range(0, len(heavy := np.unique(a_token[dense])), CHUNK):
+        some = heavy[low:low + CHUNK]
+        sides = []
+        for token, place, size in ((a_token, a_place, height), (b_token, b_place, width)):
+            column = np.minimum(np.searchsorted(some, token), len(some) - 1)
+            on = some[column] == token
+            side = np.zeros((size, len(some)), np.float32)
+            side[place[on], column[on]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    light = ~dense & (times > 0)
+    first, times, a_place = first[light], times[light], a_place[light]
+    ends = np.cumsum(times)
+    cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + TILE, TILE))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b:
+            size = times[a:b]
+            shift = np.repeat(first[a:b] - (np.cumsum(size) - size), size)
+            cells = np.repeat(a_place[a:b] * width, size) + b_place[np.arange(len(shift)) + shift]
+            out += np.bincount(cells, minlength=height * width).reshape(height, width)
+    return out
+
+
 def forest(shingles: pa.ChunkedArray | pa.Array, n: np.ndarray, rows: np.ndarray, columns: np.ndarray,
            percent: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between the sets `rows` and the sets `columns`.
 
-    Overlaps are products of incidence matrices, CHUNK shingles at a time.
+    Some rows meet all columns at a time, so that a matrix has about TILE cells at most.
     """
     flat = shingles.combine_chunks() if isinstance(shingles, pa.ChunkedArray) else shingles
     values = flat.flatten().to_numpy()
@@ -202,37 +250,50 @@ def forest(shingles: pa.ChunkedArray | pa.Array, n: np.ndarray, rows: np.ndarray
     _, token, times = np.unique(values, return_inverse=True, return_counts=True)
     shared = times[token] > 1
     owner, token = owner[shared], token[shared]
-    token = np.unique(token, return_inverse=True)[1]
-    order = np.argsort(token, kind="stable")
-    owner, token = owner[order], token[order]
-    overlap = np.zeros((len(rows), len(columns)), np.float32)
-    row_of, column_of = np.full(len(n), -1), np.full(len(n), -1)
-    row_of[rows], column_of[columns] = np.arange(len(rows)), np.arange(len(columns))
-    for low in range(0, int(token[-1]) + 1 if len(token) else 0, CHUNK):
-        a, b = np.searchsorted(token, [low, low + CHUNK])
-        left = np.zeros((len(rows), CHUNK), np.float32)
-        right = np.zeros((len(columns), CHUNK), np.float32)
-        who, what = owner[a:b], token[a:b] - low
-        on = row_of[who] >= 0
-        left[row_of[who[on]], what[on]] = 1
-        on = column_of[who] >= 0
-        right[column_of[who[on]], what[on]] = 1
-        overlap += left @ right.T
+    right = _incidence(owner, token, columns, len(n))
     # Whole numbers are exact in 32 bits up to 2 ** 24.
     exact = np.float32 if n.max(initial=0) * 200 < 1 << 24 else np.float64
-    sizes, overlap = n.astype(exact), overlap.astype(exact, copy=False)
-    union = sizes[rows][:, None] + sizes[columns][None, :] - overlap
-    linked = overlap * exact(100) >= union * exact(percent)
-    label = np.arange(len(n), dtype=np.int32)
+    sizes = n.astype(exact)
+    found = []
+    step = max(1, TILE // max(1, len(columns)))
+    for low in range(0, len(rows), step):
+        some = rows[low:low + step]
+        overlap = overlaps(_incidence(owner, token, some, len(n)), right, len(some), len(columns)).astype(
+            exact, copy=False)
+        union = sizes[some][:, None] + sizes[columns][None, :] - overlap
+        linked = overlap * exact(100) >= union * exact(percent)
+        if not linked.any():
+            continue
+        label = np.arange(len(n), dtype=np.int32)
+        while True:
+            before = label.copy()
+            for here, there, matrix in ((some, columns, linked), (columns, some, linked.T)):
+                least = np.where(matrix, label[there][None, :], np.int32(len(n))).min(1, initial=len(n))
+                label[here] = np.minimum(label[here], least)
+            label = label[label]
+            if (label == before).all():
+                break
+        joined = np.flatnonzero(label != np.arange(len(n)))
+        found.append((joined, label[joined]))
+    return _joined(found, len(n))
+
+
+def _joined(found: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One forest of several: each of `n` places that is not the first of its tree, and the first."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*found))
+    label = np.arange(n)
     while True:
-        before = label.copy()
-        for here, there, matrix in ((rows, columns, linked), (columns, rows, linked.T)):
-            least = np.where(matrix, label[there][None, :], np.int32(len(n))).min(1, initial=len(n))
-            label[here] = np.minimum(label[here], least)
-        label = label[label]
-        if (label == before).all():
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        for ends in (a, b, label[a], label[b]):
+            np.minimum.at(after, ends, least)
+        after = after[after]
+        if (after == label).all():
             break
-    joined = np.flatnonzero(label != np.arange(len(n)))
+        label = after
+    joined = np.flatnonzero(label != np.arange(n))
     return joined, label[joined]
 
 
@@ -262,10 +323,11 @@ def block_links(members: DataFrame, hubs: DataFrame, meeting: DataFrame, percent
         hubs.where("rep <> hub").select("rep", (~F.col("linked")).alias("open")), "rep")
     light = cut(rest.select("rep", "grp", "n", "home", "open"))
     # Large groups are cut by the rarest candidate shingle, and a part that is still large at random.
-    many = light.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("n") / BLOCK_SETS))
+    many = light.groupBy("grp").agg(blocks.alias("parts"))
     placed = light.join(many, "grp").withColumn(
         "part", F.expr("pmod(xxhash64(home), parts)"))
-    pieces = placed.groupBy("grp", "part").agg(F.ceil(F.sum("n") / BLOCK).alias("pieces"))
+    pieces = placed.groupBy("grp", "part").agg(blocks.alias("pieces"))
     placed = cut(placed.join(pieces, ["grp", "part"]).select(
         "rep", "grp", "open", F.xxhash64(
             "part", F.expr("pmod(xxhash64(rep), pieces)")).alias("block")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import brute
@@ -149,6 +150,38 @@ def test_forest_joins_what_links():
     assert list(zip(a, b)) == [(1, 0), (3, 0), (4, 2)]
 
 
+@pytest.mark.parametrize("tile, dense", [(1 << 20, 64), (37, 64), (200, 4), (200, 10 ** 9), (1 << 20, 0)])
+def test_forest_of_tiles_against_all_pairs(tile, dense, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    rng = random.Random(tile)
+    for _ in range(12):
+        base = [rng.randrange(60) for _ in range(30)]
+        sets = {i: frozenset((base if rng.random() < 0.6 else [rng.randrange(60) for _ in range(30)])[
+            :rng.randrange(1, 30)] + [rng.randrange(2000) for _ in range(rng.randrange(6))]) for i in range(40)}
+        arrays = pa.array([sorted(x) for x in sets.values()], pa.list_(pa.int64()))
+        sizes = np.array([len(x) for x in sets.values()])
+        a, b = ngram_join.forest(arrays, sizes, np.arange(40), np.arange(40), 60)
+        wanted = brute.components(sets, 60)
+        label = list(range(40))
+        for x, y in sorted(zip(a.tolist(), b.tolist())):
+            assert y < x
+            label[x] = label[y]
+        assert label == [wanted[i] for i in range(40)]
+
+
+def test_memory_of_many_short_sets_is_bounded():
+    rng = np.random.default_rng(8)
+    n = 2 * ngram_join.BLOCK_SETS
+    values = np.concatenate([np.tile([1, 2], (n, 1)), rng.integers(10, 10 ** 9, (n, 4))], axis=1)
+    arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, 6 * n + 1, 6), pa.int32()), pa.array(values.ravel()))
+    tracemalloc.start()
+    a, _ = ngram_join.forest(arrays, np.full(n, 6), np.arange(n // 2), np.arange(n // 2, n), 85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 0 and peak < 100 << 20
+
+
 def test_removed_passages(documents, corpus):
     rows = substring_dedup.removed(documents).collect()
     texts = {i: t for i, t in corpus if i is not None}
