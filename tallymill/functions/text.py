@@ -21,14 +21,15 @@ def drop_point_zero(text: Column) -> Column:
     """Remove every `.0`: numbers that a spreadsheet turned into `30673.0`.
 
     All occurrences go, so `30895.01` becomes `308951`: the codes already stored
-    were made by this rule.
+    were made by this rule. Looking for it first is several times as fast as replacing it.
     """
-    return F.replace(text, F.lit(".0"), F.lit(""))
+    return F.when(text.contains(".0"), F.replace(text, F.lit(".0"), F.lit(""))).otherwise(text)
 
 
 def ordinal_text(number: Column) -> Column:
     """At least four digits; longer numbers stay whole (padding would cut them)."""
-    return F.format_string("%04d", number)
+    return F.when(number.between(0, 9999), F.lpad(number.cast("string"), 4, "0")).otherwise(
+        F.format_string("%04d", number))
 
 
 def code_prefix(code: Column) -> Column:

@@ -6,7 +6,7 @@ the row, the later ones change only the listed update columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,28 +15,29 @@ INSERTED, UPDATED, KEPT = "inserted", "updated", "kept"
 
 
 def one_row_per_key(new: DataFrame, key: str, place: Column, without: Sequence[str] = (),
-                    update_columns: Sequence[str] = ()) -> DataFrame:
+                    update_columns: Sequence[str] = (),
+                    cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """First row of each key by `place`, update columns from the key's last row.
 
-    `place` is a long that no two rows of a key share. `new` is read three times: write it first.
-    Keys are reduced to their first and last place by hash, on the map side too; rows then meet
-    these by key and place, so a key with very many rows is spread over all tasks. The columns
-    `without` are left out of the result.
+    `place` is a long that no two rows of a key share. `new` is read several times: write it first.
+    Keys are reduced to their first and last place by hash, on the map side too. Only keys that
+    have several places are joined. `cut` writes these, so that their size is known: if they are
+    few, Spark broadcasts them and no row is shuffled; else rows meet them by key, and skewed
+    partitions are split. Rows without key or place, and the columns `without`, are left out.
     """
-    placed = new.withColumn("__place", place).drop(*without)
-    ends = placed.select(key, "__place").groupBy(key).agg(
-        F.min("__place").alias("__first"), F.max("__place").alias("__last"))
+    placed = new.withColumn("__place", place).where(F.col(key).isNotNull() & F.col("__place").isNotNull())
     names = [c for c in new.columns if c not in without]
-    first = placed.join(ends.select(key, F.col("__first").alias("__place")), [key, "__place"]).drop("__place")
-    if not update_columns:
-        return first.select(*names)
-    last = placed.select(key, "__place", F.struct(*update_columns).alias("__row")).join(
-        ends.where("__first < __last").select(key, F.col("__last").alias("__place")),
-        [key, "__place"]).drop("__place")
-    several = F.col("__row").isNotNull()
-    return first.join(last, key, "left").select(*[
-        F.when(several, F.col(f"__row.{c}")).otherwise(F.col(c)).alias(c) if c in update_columns
-        else F.col(c) for c in names])
+    several = placed.groupBy(key).agg(F.min("__place").alias("__first"), F.max("__place").alias("__last")).where(
+        "__first < __last")
+    if update_columns:
+        last = placed.select(key, F.col("__place").alias("__last"), F.struct(*update_columns).alias("__row"))
+        several = (cut(several) if cut else several).join(last, [key, "__last"])
+    if cut:
+        several = cut(several)
+    first = F.col("__first").isNull() | (F.col("__place") == F.col("__first"))
+    return placed.join(several.drop("__last"), key, "left").where(first).select(*[
+        F.when(F.col("__row").isNotNull(), F.col(f"__row.{c}")).otherwise(F.col(c)).alias(c)
+        if c in update_columns else F.col(c) for c in names])
 
 
 def upsert(current: DataFrame, new: DataFrame, key: str,

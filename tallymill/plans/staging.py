@@ -14,7 +14,8 @@ from tallymill.operators.upsert import one_row_per_key
 from tallymill.schemas import (
     ORDER_EXTRACT_COLUMNS, ORDER_STAGING_TEXT, SALES_EXTRACT_COLUMNS, SALES_STAGING_TEXT, TABLES,
 )
-from tallymill.sources.landing import SOURCE_CHUNK, SOURCE_FILE, SOURCE_ROW, place_in_source
+from tallymill.session import durable
+from tallymill.sources.landing import Cut, SOURCE_CHUNK, SOURCE_FILE, SOURCE_ROW, place_in_source
 
 REASON = "reject_reason"
 # True for a row with a date cell that is no date; the row is kept, its date is null.
@@ -95,7 +96,7 @@ def clean_sales(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
     """
     rows = _cells(extract, SALES_EXTRACT_COLUMNS)
     coded = ordinal_in_key(rows.filter(F.col("sales_code").isNotNull()),
-                           [SOURCE_FILE, "sales_code"], SOURCE_CHUNK, SOURCE_ROW, "ordinal")
+                           ["sales_code", SOURCE_FILE], SOURCE_CHUNK, SOURCE_ROW, "ordinal")
     ordinal = ordinal_text(F.col("ordinal"))
     coded = coded.withColumns({
         REASON: F.when(_not_a_number("sales_quantity"), "bad_quantity"),
@@ -117,17 +118,17 @@ def rejected(cleaned: DataFrame) -> DataFrame:
     return cleaned.filter(F.col(REASON).isNotNull())
 
 
-def staged_orders(cleaned: DataFrame) -> DataFrame:
+def staged_orders(cleaned: DataFrame, cut: Cut = durable) -> DataFrame:
     """One staging row per order code, ready for the upsert. Write `cleaned` first: it is read thrice."""
-    return one_row_per_key(accepted(cleaned), "order_code", place_in_source(), SOURCE_ORDER, ORDER_UPDATES)
+    return one_row_per_key(accepted(cleaned), "order_code", place_in_source(), SOURCE_ORDER, ORDER_UPDATES, cut)
 
 
-def staged_sales(cleaned: DataFrame) -> DataFrame:
+def staged_sales(cleaned: DataFrame, cut: Cut = durable) -> DataFrame:
     """One staging row per sales code, ready to be inserted if absent. Write `cleaned` first.
 
     Codes are numbered within a file, so only rows of different files share one.
     """
-    return one_row_per_key(accepted(cleaned), "sales_code", F.col(SOURCE_FILE).cast("long"), SOURCE_ORDER)
+    return one_row_per_key(accepted(cleaned), "sales_code", F.col(SOURCE_FILE).cast("long"), SOURCE_ORDER, cut=cut)
 
 
 def watermark(fact: DataFrame) -> Column:

@@ -613,3 +613,12 @@ def test_newest_sales_date_reads_one_month(spark, tmp_path):
     assert newest.first()[0] == "2024-12-03"
     plan = newest._jdf.queryExecution().executedPlan().toString()
     assert "sales_date_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_rows_of_few_repeated_keys_are_not_shuffled(spark):
+    rows = durable(spark.range(2000).selectExpr(
+        "concat('k', id % 1990) AS k", "id AS place_of", "concat('a', id) AS a"))
+    found = one_row_per_key(rows, "k", F.col("place_of"), ["place_of"], cut=durable)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert {(r.k, r.a) for r in found.collect()} == {(f"k{i}", f"a{i}") for i in range(1990)}
