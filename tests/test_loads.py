@@ -622,3 +622,29 @@ def test_rows_of_few_repeated_keys_are_not_shuffled(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert {(r.k, r.a) for r in found.collect()} == {(f"k{i}", f"a{i}") for i in range(1990)}
+
+
+def test_a_batch_from_written_rows_is_not_written_again(spark, tmp_path, monkeypatch):
+    from tallymill import session
+
+    store = _stored_orders(spark, tmp_path, 900)
+    rows = [(f"2201-{i}", date(2024, 5, i % 3 + 1), 1.0, T2) for i in range(890, 910)]
+    new, batch = durable(_batch(spark, *rows)), {"n": 20, "least": "2201-890", "most": "2201-909"}
+    copies = []
+    monkeypatch.setattr(session, "durable", lambda df, folder=None: copies.append(1) or durable(df, folder))
+    shuffles = []
+    write = Store._write
+
+    def seen(self, table, rows, overwrite=False):
+        rows = rows.repartition(self.buckets, "order_code")
+        shuffles.append(rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        write(self, table, rows, overwrite)
+
+    monkeypatch.setattr(Store, "_write", seen)
+    assert store.insert_absent("fact_order", new, batch=batch) == {"inserted": 10}
+    assert not copies and shuffles == [1]
+    noted = store._table("loads").where("load = 2").orderBy("month").collect()
+    assert [(r.month, r.n_rows) for r in noted] == [(date(2024, 5, 1), 10)]
+    assert store.upsert("fact_order", new.withColumn("order_code", F.concat("order_code", F.lit("x"))),
+                        ["order_quantity"], {**batch, "most": "2201-909x"}) == {"inserted": 20, "updated": 0}
+    assert not copies and store.read("fact_order").count() == 930
