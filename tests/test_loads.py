@@ -648,3 +648,41 @@ def test_a_batch_from_written_rows_is_not_written_again(spark, tmp_path, monkeyp
     assert store.upsert("fact_order", new.withColumn("order_code", F.concat("order_code", F.lit("x"))),
                         ["order_quantity"], {**batch, "most": "2201-909x"}) == {"inserted": 20, "updated": 0}
     assert not copies and store.read("fact_order").count() == 930
+
+
+def test_landed_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from tallymill import registry
+    from tallymill.sources.files import Files
+    from tallymill.sources.sample import SampleWarehouse
+
+    spark.range(4000).selectExpr(
+        "id div 4 AS l_orderkey", "id % 90 AS l_partkey", "id % 12 AS l_suppkey", "int(id % 4) AS l_linenumber",
+        "double(id % 50) AS l_quantity", "'N' AS l_returnflag", "'O' AS l_linestatus",
+        "timestamp_ntz '1997-05-01 00:00:00' AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    w = SampleWarehouse(spark, str(tmp_path))
+    monkeypatch.setattr(registry, "LANDED_BYTES", w.size("lineitem") // 3 + 1)
+    landing = registry._Landing(Files(spark, str(tmp_path)), w, "lineitem", str(tmp_path / "landed"), part=1)
+    landing.land(F.lit(True), SALES_EXTRACT.names, "lines")
+    files = sorted((tmp_path / "landed").rglob("*.csv"))
+    assert [f"{f.parent.name}/{f.name}" for f in files] == [f"{i}/lines-0.csv" for i in range(3)]
+    lines = [list(csv.DictReader(f.open())) for f in files]
+    assert sum(map(len, lines)) == 4000 and max(map(len, lines)) < 2000
+    orders = [{r["order_code"] for r in rows} for rows in lines]
+    assert sum(map(len, orders)) == len(set.union(*orders)) == 1000
+    assert {(r.file, r.reject_reason) for r in registry._refusals(spark, str(tmp_path)).collect()} == {
+        ("empty.csv", "empty_file"), ("notes-0.txt", "wrong_suffix"), ("short-0.csv", "column_count"),
+        ("rows read", "4000")}
+
+
+def test_copies_of_an_order_lie_in_one_extract(spark, tmp_path):
+    """The last of an order's rows counts, whichever file was written first."""
+    from tallymill import registry
+
+    spark.range(3000).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "5000.0D AS o_totalprice",
+        "timestamp_ntz '1998-05-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    spark.range(10).selectExpr("id AS s_suppkey", "'s' AS s_name", "1 AS s_nationkey").write.parquet(
+        str(tmp_path / "supplier.parquet"))
+    store = registry._order_run(spark, str(tmp_path))[0]
+    assert [r[0] for r in store.read("fact_order").select("order_quantity").distinct().collect()] == [14.0]
