@@ -20,6 +20,7 @@ from tallymill.sources.landing import Cut, SOURCE_CHUNK, SOURCE_FILE, SOURCE_ROW
 REASON = "reject_reason"
 # True for a row with a date cell that is no date; the row is kept, its date is null.
 BAD_DATE = "bad_date"
+BAD_NUMBER = "__bad_number"
 SOURCE_ORDER = [SOURCE_FILE, SOURCE_CHUNK, SOURCE_ROW]
 ORDER_UPDATES = ["order_quantity", "delivered_quantity", "import_timestamp"]
 FIRST_WATERMARK = datetime(1900, 1, 1)
@@ -37,6 +38,7 @@ def _typed(table: str, rows: DataFrame, import_timestamp: datetime) -> DataFrame
     and joins would make rows several times as wide.
     """
     columns, dates = [], []
+    given = F.lit(0)
     for field in TABLES[table]:
         if field.name == "import_timestamp":
             columns.append(timestamp_literal(import_timestamp).alias(field.name))
@@ -45,23 +47,37 @@ def _typed(table: str, rows: DataFrame, import_timestamp: datetime) -> DataFrame
             kind = field.dataType.typeName()
             if kind == "date":
                 dates.append(field.name)
+                given = given + value.isNotNull().cast("int")
                 value = parse_day_first(value)
             elif kind == "double":
                 value = value.try_cast("double")
             columns.append(value.alias(field.name))
-    given = F.array(*[F.col(c).isNotNull() for c in dates]).alias("given")
-    typed = rows.select(*columns, REASON, given, *SOURCE_ORDER)
-    bad_date = F.lit(False)
-    for i, c in enumerate(dates):
-        bad_date = bad_date | (F.col("given")[i] & F.col(c).isNull())
-    return typed.withColumn(BAD_DATE, bad_date).drop("given")
+    typed = rows.select(*columns, REASON, given.alias("given"), *SOURCE_ORDER)
+    found = F.lit(0)
+    for c in dates:
+        found = found + F.col(c).isNotNull().cast("int")
+    return typed.withColumn(BAD_DATE, F.col("given") > found).drop("given")
 
 
-def _not_a_number(*columns: str) -> Column:
+def _with_numbers(rows: DataFrame, *columns: str) -> DataFrame:
+    """Cells read as numbers, and in BAD_NUMBER whether one of them is no number."""
+    read = rows.withColumns({f"__{c}": F.col(c).try_cast("double") for c in columns})
     bad = F.lit(False)
     for c in columns:
-        bad = bad | (F.col(c).isNotNull() & F.col(c).try_cast("double").isNull())
-    return bad
+        bad = bad | (F.col(c).isNotNull() & F.col(f"__{c}").isNull())
+    return read.withColumns({BAD_NUMBER: bad, **{c: F.col(f"__{c}") for c in columns}}).drop(
+        *[f"__{c}" for c in columns])
+
+
+def _without_point_zero(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Text columns without `.0`, by one function over the array of them.
+
+    Spark makes one method of all steps of a stage, and Java runs a method of more than 8,000 bytes
+    uncompiled, several times as slowly. A copy of the function for each of so many columns takes the
+    steps from an extract to typed rows beyond that; a function over an array parts them.
+    """
+    done = rows.withColumn("__texts", F.transform(F.array(*columns), drop_point_zero))
+    return done.withColumns({c: F.col("__texts")[i] for i, c in enumerate(columns)}).drop("__texts")
 
 
 def clean_orders(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
@@ -70,20 +86,20 @@ def clean_orders(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
     The ordinal of the line becomes part of the order code. Rows without code or ordinal,
     and rows whose ordinal or quantities are no numbers, carry a reason.
     """
-    rows = _cells(extract, ORDER_EXTRACT_COLUMNS)
-    number = F.col("numerical_order").try_cast("double").try_cast("bigint")
+    rows = _with_numbers(_cells(extract, ORDER_EXTRACT_COLUMNS), "order_quantity", "delivered_quantity")
+    rows = rows.withColumn("__number", F.col("numerical_order").try_cast("double").try_cast("bigint"))
+    rows = rows.withColumn("__ordinal", ordinal_text(F.col("__number")))
     reason = (
         F.when(F.col("order_code").isNull() | F.col("numerical_order").isNull(), "missing_code")
-        .when(number.isNull(), "bad_ordinal")
-        .when(_not_a_number("order_quantity", "delivered_quantity"), "bad_quantity")
+        .when(F.col("__number").isNull(), "bad_ordinal")
+        .when(F.col(BAD_NUMBER), "bad_quantity")
     )
-    ordinal = ordinal_text(number)
     rows = rows.withColumns({
         REASON: reason,
-        "order_code": F.concat(F.col("order_code"), F.lit("-"), ordinal),
-        "numerical_order": ordinal,
+        "order_code": F.concat(F.col("order_code"), F.lit("-"), F.col("__ordinal")),
+        "numerical_order": F.col("__ordinal"),
     })
-    rows = rows.withColumns({c: drop_point_zero(F.col(c)) for c in ORDER_STAGING_TEXT})
+    rows = _without_point_zero(rows, ORDER_STAGING_TEXT)
     return _typed("order_staging", rows, import_timestamp)
 
 
@@ -95,11 +111,12 @@ def clean_sales(extract: DataFrame, import_timestamp: datetime) -> DataFrame:
     repeats a code of an earlier one makes the same codes again.
     """
     rows = _cells(extract, SALES_EXTRACT_COLUMNS)
+    rows = _with_numbers(rows, "sales_quantity")
     coded = ordinal_in_key(rows.filter(F.col("sales_code").isNotNull()),
                            ["sales_code", SOURCE_FILE], SOURCE_CHUNK, SOURCE_ROW, "ordinal")
     ordinal = ordinal_text(F.col("ordinal"))
     coded = coded.withColumns({
-        REASON: F.when(_not_a_number("sales_quantity"), "bad_quantity"),
+        REASON: F.when(F.col(BAD_NUMBER), "bad_quantity"),
         "factory_code": drop_point_zero(F.col("factory_code")),
         "sales_code": F.concat(F.col("sales_code"), F.lit("-"), ordinal),
         "numerical_order": ordinal,

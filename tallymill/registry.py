@@ -235,9 +235,11 @@ def _whole(table: str, rows: DataFrame) -> DataFrame:
     return _times_as_text(padded(table, rows))
 
 
-def _order_staging(w: SampleWarehouse) -> DataFrame:
-    """Staging after both uploads, each row with its change in the second one."""
-    first, second = (_staged_orders(w, u) for u in (1, 2))
+def _order_staging(w: SampleWarehouse, first: DataFrame | None = None) -> DataFrame:
+    """Staging after both uploads, each row with its change in the second one.
+
+    `first` is staging after the first upload, where that is at hand."""
+    first, second = first or _staged_orders(w, 1), _staged_orders(w, 2)
     return upsert(first, second, "order_code", staging.ORDER_UPDATES)
 
 
@@ -276,8 +278,9 @@ def _sales_reload(w: SampleWarehouse) -> DataFrame:
 
 def _incremental(w: SampleWarehouse) -> DataFrame:
     """Staging rows newer than what the fact of the first upload holds."""
-    fact = _accepted(_order_facts(w, 1))
-    rows = staging.staged_since(_order_staging(w), staging.watermark(fact))
+    first = _staged_orders(w, 1)
+    fact = _accepted(facts.order_facts(first, FIRST))
+    rows = staging.staged_since(_order_staging(w, first), staging.watermark(fact))
     return rows.select(*_ORDER_SHOWN, _time_text("import_timestamp"))
 
 

@@ -686,3 +686,33 @@ def test_copies_of_an_order_lie_in_one_extract(spark, tmp_path):
         str(tmp_path / "supplier.parquet"))
     store = registry._order_run(spark, str(tmp_path))[0]
     assert [r[0] for r in store.read("fact_order").select("order_quantity").distinct().collect()] == [14.0]
+
+
+def test_cleaning_of_orders_fits_compiled_methods(spark, tmp_path):
+    """Java leaves methods of more than 8,000 bytes uncompiled."""
+    import re
+
+    from tallymill import registry
+    from tallymill.sources.sample import SAMPLE_SCHEMAS, SampleWarehouse
+
+    row = (6, 3, "O", 5000.0, datetime(1998, 5, 1), "1-URGENT")
+    spark.createDataFrame([row], SAMPLE_SCHEMAS["orders"]).write.parquet(str(tmp_path / "orders.parquet"))
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    for upload in (0, 1, 2):
+        cleaned = registry._clean_orders(SampleWarehouse(spark, str(tmp_path)), upload)
+        code = debug.codegenString(cleaned._jdf.queryExecution().executedPlan())
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        assert sizes and max(sizes) < 8000
+
+
+def test_incremental_read_cleans_each_upload_once(spark, tmp_path, monkeypatch):
+    from tallymill import registry
+    from tallymill.sources.sample import SAMPLE_SCHEMAS
+
+    rows = [(k, 3, "O", 5000.0, datetime(year, 5, 1), "1-URGENT") for k, year in ((1, 1997), (2, 1998), (3, 1999))]
+    spark.createDataFrame(rows, SAMPLE_SCHEMAS["orders"]).write.parquet(str(tmp_path / "orders.parquet"))
+    uploads, clean = [], registry._clean_orders
+    monkeypatch.setattr(registry, "_clean_orders", lambda w, upload=0: uploads.append(upload) or clean(w, upload))
+    found = registry.load_queries()["staging_incremental_read"](spark, str(tmp_path))
+    assert column(found, "order_code") == ["2201-2-0001", "2201-3-0001"]
+    assert sorted(uploads) == [1, 2]
