@@ -143,8 +143,13 @@ def staged_orders(cleaned: DataFrame, cut: Cut = durable) -> DataFrame:
 def staged_sales(cleaned: DataFrame, cut: Cut = durable) -> DataFrame:
     """One staging row per sales code, ready to be inserted if absent. Write `cleaned` first.
 
-    Codes are numbered within a file, so only rows of different files share one.
+    Codes are numbered within a file, so only rows of different files share one: the rows of a single
+    file are neither grouped nor joined.
     """
+    files = cleaned.agg(F.min(SOURCE_FILE).alias("first"), F.max(SOURCE_FILE).alias("last")).first()
+    if files["first"] == files["last"]:
+        placed = F.col("sales_code").isNotNull() & F.col(SOURCE_FILE).isNotNull()
+        return accepted(cleaned).where(placed).drop(*SOURCE_ORDER)
     return one_row_per_key(accepted(cleaned), "sales_code", F.col(SOURCE_FILE).cast("long"), SOURCE_ORDER, cut=cut)
 
 

@@ -716,3 +716,16 @@ def test_incremental_read_cleans_each_upload_once(spark, tmp_path, monkeypatch):
     found = registry.load_queries()["staging_incremental_read"](spark, str(tmp_path))
     assert column(found, "order_code") == ["2201-2-0001", "2201-3-0001"]
     assert sorted(uploads) == [1, 2]
+
+
+def test_sales_of_one_file_are_not_grouped_again(spark, tmp_path):
+    write_sales(tmp_path / "1.csv", {"sales_quantity": "1"}, {"sales_quantity": "2"})
+    write_sales(tmp_path / "2.csv", {"sales_quantity": "3"})
+    one, two = (durable(staging.clean_sales(read_sales_extract(spark, str(path)).rows, T1))
+                for path in (tmp_path / "1.csv", tmp_path))
+    assert two.select("source_file").distinct().count() == 2
+    plan = staging.staged_sales(one)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert column(staging.staged_sales(one), "sales_quantity") == ["1.0", "2.0"]
+    assert staging.staged_sales(two).columns == staging.staged_sales(one).columns
+    assert staging.staged_sales(two).count() == 2
