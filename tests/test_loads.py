@@ -729,3 +729,53 @@ def test_sales_of_one_file_are_not_grouped_again(spark, tmp_path):
     assert column(staging.staged_sales(one), "sales_quantity") == ["1.0", "2.0"]
     assert staging.staged_sales(two).columns == staging.staged_sales(one).columns
     assert staging.staged_sales(two).count() == 2
+
+
+def test_compressed_extracts_are_read(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    whole = Path(write_sales(tmp_path / "raw.txt", {"sales_code": "2301-1"}, {"sales_code": "2301-2"})).read_bytes()
+    short = b"\n".join(x.rsplit(b",", 1)[0] for x in whole.splitlines()) + b"\n"
+    for name, content in (("a.csv.gz", whole), ("B.CSV.gz", whole), ("short.csv.gz", short), ("c.parquet.gz", whole),
+                          ("notes.txt.gz", whole), ("other.gz", whole), ("LOUD.csv.GZ", whole)):
+        (folder / name).write_bytes(gzip.compress(content))
+    write_sales(folder / "plain.csv", {"sales_code": "2301-3"})
+    (folder / "empty.csv.gz").write_bytes(b"")
+    refused = {"short.csv.gz": "column_count", "c.parquet.gz": "wrong_suffix", "notes.txt.gz": "wrong_suffix",
+               "other.gz": "wrong_suffix", "LOUD.csv.GZ": "wrong_suffix", "empty.csv.gz": "empty_file"}
+    landed = read_sales_extract(spark, str(folder))
+    assert landed.rows.count() == 5 and landed.rows.select("source_file").distinct().count() == 3
+    assert {r.path.rsplit("/", 1)[1]: r.reject_reason for r in landed.refused.collect()} == refused
+    store = Store(spark, str(tmp_path / "warehouse"))
+    load_landed_sales(store, str(folder), str(tmp_path / "progress")).awaitTermination()
+    assert column(store.read("fact_sales"), "sales_code") == ["2301-1-0001", "2301-2-0001", "2301-3-0001"]
+    found = {r.path.rsplit("/", 1)[1]: r.reject_reason for r in store.read("landing_rejects").collect()}
+    assert found == refused
+
+
+def test_landed_rows_are_not_shuffled_by_file(spark, tmp_path):
+    """Files are few, so a shuffle by them leaves most tasks without rows. Their number shows once they are written."""
+    for i in range(3):
+        write_sales(tmp_path / f"{i}.csv", *[{"sales_code": f"2301-{k}"} for k in range(200)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6000")
+    try:
+        landed = read_sales_extract(spark, str(tmp_path))
+        plan = landed.rows._jdf.queryExecution().executedPlan().toString()
+        assert landed.rows.count() == 600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_loads_pack_what_they_write(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "warehouse"))
+    landed = read_sales_extract(spark, write_sales(tmp_path / "1.csv", {}))
+    load_sales_files(store, landed, T1)
+    files = [*landed.rows.inputFiles(), *store.read("sales_staging").inputFiles(), *store.read("fact_sales").inputFiles()]
+    assert files
+    for name in files:
+        part = pq.ParquetFile(name.removeprefix("file://")).metadata.row_group(0).column(0)
+        assert part.compression == "ZSTD", name
